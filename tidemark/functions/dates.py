@@ -61,7 +61,7 @@ def week_harmonics(day: Column) -> dict[str, Column]:
 
 def months_between_30(later: Column, earlier: Column) -> Column:
     """Days over 30.44, halves to the even month."""
-    return F.bround(F.date_diff(later, earlier) / F.lit(30.44), 0).cast("long")
+    return F.rint(F.date_diff(later, earlier) / F.lit(30.44)).cast("long")
 
 
 def days_between(later: Column, earlier: Column) -> Column:

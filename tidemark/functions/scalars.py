@@ -111,15 +111,15 @@ def severity_rank(severity: Column) -> Column:
 
 def forecast_warning(mape: Column, r2: Column) -> Column:
     return (
-        F.when(mape > C.FORECAST_MAPE_LIMIT, F.format_string(C.FORECAST_MAPE_TEXT, mape))
-        .when(r2 < C.R2_LIMIT, F.format_string(C.FORECAST_R2_TEXT, r2))
+        F.when(mape > C.FORECAST_MAPE_LIMIT, F.format_string(C.FORECAST_MAPE_TEXT, round_to(mape, 1)))
+        .when(r2 < C.R2_LIMIT, F.format_string(C.FORECAST_R2_TEXT, round_to(r2, 2)))
     )
 
 
 def mix_warning(mape: Column, r2: Column) -> Column:
     return (
-        F.when(mape > C.MIX_MAPE_LIMIT, F.format_string(C.MIX_MAPE_TEXT, mape))
-        .when(r2 < C.R2_LIMIT, F.format_string(C.MIX_R2_TEXT, r2))
+        F.when(mape > C.MIX_MAPE_LIMIT, F.format_string(C.MIX_MAPE_TEXT, round_to(mape, 1)))
+        .when(r2 < C.R2_LIMIT, F.format_string(C.MIX_R2_TEXT, round_to(r2, 2)))
     )
 
 

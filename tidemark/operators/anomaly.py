@@ -38,7 +38,7 @@ def null_spike_alerts(df: DataFrame, table: str, exclude=(), threshold: float =
     """Columns with too many nulls."""
     rate, name = F.col("null_rate"), F.col("column_name")
     severity = F.when(rate > C.NULL_CRITICAL, "critical").otherwise("warning")
-    hint = F.format_string(C.NULL_HINT, rate * 100, name)
+    hint = F.format_string(C.NULL_HINT, round_to(rate * 100, 1), name)
     return null_rates(df, exclude).filter(rate > threshold).select(
         *_alert(table, name, F.lit("overall"), rate, _range(F.lit(0.0), F.lit(threshold)), severity, hint, "null_spike")
     )
@@ -51,7 +51,7 @@ def _long(df: DataFrame, date_col: str, columns, keys=()) -> DataFrame:
 
 
 def _one_decimal(number: Column) -> Column:
-    return F.when(number == float("inf"), "inf").otherwise(F.format_string("%.1f", number))
+    return F.when(number == float("inf"), "inf").otherwise(F.format_string("%.1f", round_to(number, 1)))
 
 
 def _iso(column: str) -> Column:

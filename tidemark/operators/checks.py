@@ -61,9 +61,9 @@ def check_row_count(df: DataFrame, date_col: str, table: str, lookback: int = C.
         .when(dropped & (lost >= C.ROWS_DROP_CRITICAL), "critical").when(dropped, "warning").otherwise("ok")
     )
     detail = F.when(few_rows, C.TOO_FEW_ROWS_DETAIL).when(few_weeks, C.TOO_FEW_PERIODS_DETAIL).otherwise(
-        F.format_string(C.ROWS_DETAIL, F.col("recent"), F.col("before"))
+        F.format_string(C.ROWS_DETAIL, F.col("recent"), round_to("before"))
     )
-    hint = F.when(dropped, F.format_string(C.ROWS_HINT, lost * 100, F.col("recent"), F.col("before")))
+    hint = F.when(dropped, F.format_string(C.ROWS_HINT, round_to(lost * 100), F.col("recent"), round_to("before")))
     return found.select(
         *_result(table, "row_count", status, detail, F.when(compared, round_to(lost, 4)), F.when(compared, F.lit(drop)), hint)
     )

@@ -66,7 +66,7 @@ _VIEWS = {
     "account_revenue": """
         SELECT s.*, coalesce(monthly_revenue, 0) AS monthly_revenue FROM account_months s LEFT JOIN (
             SELECT CAST(o_custkey AS VARCHAR) AS account_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
-                   sum(round(o_totalprice * 100)) / 100 AS monthly_revenue
+                   round_even(sum(round(o_totalprice * 100)) / 100, 0) AS monthly_revenue
             FROM orders GROUP BY 1, 2) e ON s.account_id = e.account_id AND s.month = e.month
         WHERE months_since_close <= 120""",
     "account_figures": """
@@ -74,7 +74,7 @@ _VIEWS = {
                coalesce(avg(monthly_revenue) FILTER (WHERE monthly_revenue > 0), 0) AS mean,
                coalesce(avg(monthly_revenue) FILTER (WHERE month >= DATE '2001-05-01'), 0) AS last3,
                coalesce(avg(monthly_revenue) FILTER (WHERE month >= DATE '2001-02-01' AND month < DATE '2001-05-01'), 0) AS prev3,
-               coalesce(regr_slope(monthly_revenue, months_since_close) FILTER (WHERE month >= DATE '2001-02-01'), 0) AS slope,
+               CASE WHEN count(*) FILTER (WHERE month >= DATE '2001-02-01') >= 2 THEN regr_slope(monthly_revenue, months_since_close) FILTER (WHERE month >= DATE '2001-02-01') ELSE 0 END AS slope,
                coalesce(max(month) FILTER (WHERE monthly_revenue > 0), min(month)) AS last_order,
                coalesce(stddev_samp(monthly_revenue) FILTER (WHERE monthly_revenue > 0), 0) AS spread,
                CAST(count(*) FILTER (WHERE month >= DATE '2001-05-01') = 3

@@ -173,13 +173,13 @@ def account_deals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def account_revenue(spark: SparkSession, folder: str, deals: DataFrame | None = None) -> DataFrame:
-    """Account × month after the close, silent months at 0."""
+    """Account × month after the close in whole units of money, silent months at 0."""
     deals = account_deals(spark, folder) if deals is None else deals
     months = month_spine(deals.drop("deal_value"), "close_date", ACCOUNT_AS_OF, ACCOUNT_MONTH_CAP)
     earned = (
         read_table(spark, folder, "orders")
         .groupBy(F.col("o_custkey").cast("string").alias("account_id"), dates.month_period(_day("o_orderdate")).alias("month"))
-        .agg(_sum_money(_cents(F.col("o_totalprice"))).alias("monthly_revenue"))
+        .agg(F.rint(_sum_money(_cents(F.col("o_totalprice")))).alias("monthly_revenue"))
     )
     return months.join(earned, ["account_id", "month"], "left").fillna(0.0, ["monthly_revenue"])
 
