@@ -12,6 +12,11 @@ def round_to(column: Column | str, digits: int = 0) -> Column:
     return F.rint(column * scale) / scale + F.lit(0.0)
 
 
+def whole_money(column: Column | str) -> Column:
+    """Money in whole units. Cents come first, so that summation noise cannot tip an exact half."""
+    return round_to(round_to(column, 2))
+
+
 def safe_ratio(top: Column, bottom: Column) -> Column:
     """top / bottom with the divisor held at 1 or more."""
     return top / F.greatest(bottom.cast("double"), F.lit(1.0))

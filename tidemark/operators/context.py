@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import constants as C
 from tidemark.functions.dates import month_period
-from tidemark.functions.scalars import percent_of, round_to, safe_ratio, sum_or_zero
+from tidemark.functions.scalars import percent_of, round_to, safe_ratio, sum_or_zero, whole_money
 from tidemark.operators import kpis
 from tidemark.operators.filters import FilterParams, apply_filters
 from tidemark.operators.funnel import best_and_worst
@@ -87,22 +87,22 @@ def context_metrics(online: DataFrame, offline: DataFrame, media: DataFrame, crm
         ),
         _scalars(
             revenue, "revenue",
-            online_total=round_to("web", 0), offline_total=round_to("shop", 0), combined_total=round_to(total, 0),
+            online_total=whole_money("web"), offline_total=whole_money("shop"), combined_total=whole_money(total),
             online_share_pct=percent_of(F.col("web"), total, 1), mom_online_change_pct=F.col("mom_change_pct"),
         ),
-        _grouped(web, "revenue", "by_channel", "channel", round_to(by("revenue"), 0)),
-        _grouped(web, "revenue", "by_category", "category", round_to(by("revenue"), 0)),
-        _grouped(shop, "revenue", "offline_by_region", "region", round_to(by("revenue"), 0)),
+        _grouped(web, "revenue", "by_channel", "channel", whole_money(by("revenue"))),
+        _grouped(web, "revenue", "by_category", "category", whole_money(by("revenue"))),
+        _grouped(shop, "revenue", "offline_by_region", "region", whole_money(by("revenue"))),
         _scalars(
-            paid, "media", total_spend=round_to("spend", 0),
+            paid, "media", total_spend=whole_money("spend"),
             blended_roas=round_to(safe_ratio(F.col("incremental"), F.col("spend")), 2),
         ),
         _grouped(spend, "media", "roas_by_channel", "channel", round_to(F.max("roas"), 3)),
-        _grouped(spend, "media", "spend_by_channel", "channel", round_to(by("spend"), 0)),
+        _grouped(spend, "media", "spend_by_channel", "channel", whole_money(by("spend"))),
         _scalars(
             deals, "crm", total_leads=F.col("leads"), win_rate_pct=percent_of(F.col("won"), F.col("leads")),
-            pipeline_closed_won=round_to("pipeline", 0),
-            avg_deal_value=round_to(safe_ratio(F.col("pipeline"), F.col("deals")), 0),
+            pipeline_closed_won=whole_money("pipeline"),
+            avg_deal_value=whole_money(safe_ratio(F.col("pipeline"), F.col("deals"))),
         ),
         _scalars(
             best_and_worst(rated, "lead_source", "win_rate"), "crm",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import scalars
 from tidemark.functions.dates import as_date, month_period
-from tidemark.functions.scalars import percent_of, round_to, safe_ratio, sum_or_zero
+from tidemark.functions.scalars import percent_of, round_to, safe_ratio, sum_or_zero, whole_money
 from tidemark.operators.buckets import bucket
 from tidemark.operators.filters import FilterParams, apply_filters, reliability_warning
 
@@ -78,9 +78,9 @@ def spend_efficiency(media: DataFrame) -> DataFrame:
     return by_channel.agg(round_to(F.sum("spend"), 3).alias("total_spend"), *counts, *means)
 
 
-def revenue_by(df: DataFrame, dim: str, value: str = "revenue", digits: int = 0) -> DataFrame:
-    """Sum by a dimension, largest first."""
-    totals = df.filter(F.col(dim).isNotNull()).groupBy(dim).agg(round_to(sum_or_zero(value), digits).alias(value))
+def revenue_by(df: DataFrame, dim: str, value: str = "revenue") -> DataFrame:
+    """Sum by a dimension in whole units, largest first."""
+    totals = df.filter(F.col(dim).isNotNull()).groupBy(dim).agg(whole_money(sum_or_zero(value)).alias(value))
     return totals.orderBy(F.desc(value), dim)
 
 

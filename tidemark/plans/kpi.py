@@ -221,7 +221,7 @@ def _(spark, folder):
 
 
 def _revenue_sql(table, dim, value="revenue"):
-    return over(table, f"SELECT {dim}, round_even(sum({value}), 0) AS {value} FROM {table} GROUP BY {dim}")
+    return over(table, f"SELECT {dim}, round_even(round_even(sum({value}), 2), 0) AS {value} FROM {table} GROUP BY {dim}")
 
 
 @query("revenue_by_channel", _revenue_sql("online_sales", "channel"))
@@ -371,22 +371,22 @@ _CONTEXT = over(
         [
             _row("period", "start", "web", text="lo"),
             _row("period", "end", "web", text="hi"),
-            _row("revenue", "online_total", "web", "round_even(v, 0)"),
-            _row("revenue", "offline_total", "shop", "round_even(v, 0)"),
-            _row("revenue", "combined_total", "web, shop", "round_even(web.v + shop.v, 0)"),
+            _row("revenue", "online_total", "web", "round_even(round_even(v, 2), 0)"),
+            _row("revenue", "offline_total", "shop", "round_even(round_even(v, 2), 0)"),
+            _row("revenue", "combined_total", "web, shop", "round_even(round_even(web.v + shop.v, 2), 0)"),
             _row("revenue", "online_share_pct", "web, shop", "round_even(web.v / greatest(web.v + shop.v, 1) * 100, 1)"),
             _row("revenue", "mom_online_change_pct", "(SELECT month, curr, lag(curr) OVER (ORDER BY month) AS prev FROM months ORDER BY month DESC LIMIT 1)", "round_even((curr - prev) / greatest(prev, 1) * 100, 2)"),
-            _row("revenue", "by_channel", "online_sales GROUP BY channel", "round_even(sum(revenue), 0)", "channel"),
-            _row("revenue", "by_category", "online_sales GROUP BY category", "round_even(sum(revenue), 0)", "category"),
-            _row("revenue", "offline_by_region", "offline_sales GROUP BY region", "round_even(sum(total_revenue), 0)", "region"),
-            _row("media", "total_spend", "media_spend", "round_even(sum(spend), 0)"),
+            _row("revenue", "by_channel", "online_sales GROUP BY channel", "round_even(round_even(sum(revenue), 2), 0)", "channel"),
+            _row("revenue", "by_category", "online_sales GROUP BY category", "round_even(round_even(sum(revenue), 2), 0)", "category"),
+            _row("revenue", "offline_by_region", "offline_sales GROUP BY region", "round_even(round_even(sum(total_revenue), 2), 0)", "region"),
+            _row("media", "total_spend", "media_spend", "round_even(round_even(sum(spend), 2), 0)"),
             _row("media", "blended_roas", "media_spend", "round_even(sum(incremental_revenue) / greatest(sum(spend), 1), 2)"),
             _row("media", "roas_by_channel", "media_spend GROUP BY channel", "round_even(avg(roas), 3)", "channel"),
-            _row("media", "spend_by_channel", "media_spend GROUP BY channel", "round_even(sum(spend), 0)", "channel"),
+            _row("media", "spend_by_channel", "media_spend GROUP BY channel", "round_even(round_even(sum(spend), 2), 0)", "channel"),
             _row("crm", "total_leads", "crm_funnel", "count(*)"),
             _row("crm", "win_rate_pct", "crm_funnel", "round_even(count(*) FILTER (WHERE outcome = 'Closed Won') / greatest(count(*), 1) * 100, 2)"),
-            _row("crm", "pipeline_closed_won", "crm_funnel", "round_even(sum(deal_value) FILTER (WHERE outcome = 'Closed Won'), 0)"),
-            _row("crm", "avg_deal_value", "crm_funnel", "round_even(avg(deal_value) FILTER (WHERE outcome = 'Closed Won'), 0)"),
+            _row("crm", "pipeline_closed_won", "crm_funnel", "round_even(round_even(sum(deal_value) FILTER (WHERE outcome = 'Closed Won'), 2), 0)"),
+            _row("crm", "avg_deal_value", "crm_funnel", "round_even(round_even(avg(deal_value) FILTER (WHERE outcome = 'Closed Won'), 2), 0)"),
             _row("crm", "top_lead_source", "(SELECT * FROM p ORDER BY win_rate DESC, lead_source LIMIT 1)", text="lead_source"),
             _row("crm", "bottom_lead_source", "(SELECT * FROM p ORDER BY win_rate, lead_source DESC LIMIT 1)", text="lead_source"),
         ]

@@ -182,7 +182,7 @@ def _(spark, folder):
 
 
 def _warning_sql(limit, mape_text, r2_text):
-    return f"""SELECT category, CASE WHEN mape > {limit} THEN printf('{mape_text}', mape) WHEN r2 < 0.5 THEN printf('{r2_text}', r2) END AS warning
+    return f"""SELECT category, CASE WHEN mape > {limit} THEN printf('{mape_text}', round_even(mape, 1)) WHEN r2 < 0.5 THEN printf('{r2_text}', round_even(r2, 2)) END AS warning
                FROM (SELECT category, mape, r2 FROM quality UNION ALL SELECT category || ' x 10', mape * 10, r2 FROM quality)"""
 
 

@@ -21,8 +21,8 @@ def _flat(found):
 
 
 def _alert_sql(column, value, lo, hi, severity, hint, kind, source, where, date="strftime(date, '%Y-%m-%d')", key="metric"):
-    return f"""SELECT {key} AS metric, 'events' AS table_name, {column} AS column_name, {date} AS date, round_even({value}, 2) AS value,
-        round_even({lo}, 2) AS lo, round_even({hi}, 2) AS hi, {severity} AS severity, {hint} AS root_cause_hint,
+    return f"""SELECT {key} AS metric, 'events' AS table_name, {column} AS column_name, {date} AS date, round_even(round_even({value}, 4), 2) AS value,
+        round_even(round_even({lo}, 4), 2) AS lo, round_even(round_even({hi}, 4), 2) AS hi, {severity} AS severity, {hint} AS root_cause_hint,
         '{kind}' AS check_type FROM {source} WHERE {where}"""
 
 
