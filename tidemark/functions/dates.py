@@ -23,7 +23,7 @@ def month_period(day: Column) -> Column:
 
 def week_period(day: Column) -> Column:
     """First day of the Monday-to-Sunday week."""
-    return F.date_trunc("week", day).cast("date")
+    return F.trunc(day, "week")
 
 
 def closing_monday(day: Column) -> Column:

@@ -4,27 +4,29 @@ The columns to check are unpivoted, so one shuffle serves every column, check an
 windows cover one column of one series each, with one row per date: bounded by the calendar.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import constants as C
 from tidemark.functions.scalars import round_to, severity_rank
 from tidemark.operators import series as S
-
-_WHO = ("table_name", "column_name")
-
+from tidemark.session import pin
 
 def _range(low: Column, high: Column) -> Column:
     return F.struct(low.cast("double").alias("lo"), high.cast("double").alias("hi"))
 
 
-def _alert(table: str, column: Column, when: Column, value: Column, span: Column, severity: Column, hint: Column, kind: str, keys=()):
-    return [
-        *keys, F.lit(table).alias("table_name"), column.alias("column_name"), when.alias("date"),
+def _alert(table: str, column: Column, when: Column, value: Column, span: Column, severity: Column, hint: Column, kind: str) -> Column:
+    return F.struct(
+        F.lit(table).alias("table_name"), column.alias("column_name"), when.alias("date"),
         round_to(value.cast("double"), 4).alias("value"), span.alias("expected_range"),
         severity.alias("severity"), hint.alias("root_cause_hint"), F.lit(kind).alias("check_type"),
-    ]
+    )
+
+
+def _raised(df: DataFrame, keys, *alerts: tuple[Column, Column]) -> DataFrame:
+    """The alerts, given as (condition, alert), that hold on each row."""
+    held = F.array_compact(F.array(*[F.when(condition, alert) for condition, alert in alerts]))
+    return df.select(*keys, F.explode(held).alias("_alert")).select(*keys, "_alert.*")
 
 
 def null_rates(df: DataFrame, exclude=()) -> DataFrame:
@@ -39,9 +41,9 @@ def null_spike_alerts(df: DataFrame, table: str, exclude=(), threshold: float =
     rate, name = F.col("null_rate"), F.col("column_name")
     severity = F.when(rate > C.NULL_CRITICAL, "critical").otherwise("warning")
     hint = F.format_string(C.NULL_HINT, round_to(rate * 100, 1), name)
-    return null_rates(df, exclude).filter(rate > threshold).select(
-        *_alert(table, name, F.lit("overall"), rate, _range(F.lit(0.0), F.lit(threshold)), severity, hint, "null_spike")
-    )
+    span = _range(F.lit(0.0), F.lit(threshold))
+    alert = _alert(table, name, F.lit("overall"), rate, span, severity, hint, "null_spike")
+    return _raised(null_rates(df, exclude), (), (rate > threshold, alert))
 
 
 def _long(df: DataFrame, date_col: str, columns, keys=()) -> DataFrame:
@@ -58,56 +60,55 @@ def _iso(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd")
 
 
-def _zscore_rows(long: DataFrame, table: str, threshold: float, keys=()) -> DataFrame:
+def _with_zscore(long: DataFrame, keys) -> DataFrame:
     group = [*keys, "column_name"]
     whole = Window.partitionBy(*group)
-    known = long.filter(F.col("x").isNotNull()).withColumns(
-        {"z": S.zscore("x", group), "_mean": F.avg("x").over(whole), "_std": F.stddev_samp("x").over(whole)}
+    return long.withColumns(
+        {"_z": S.zscore("x", group), "_mean": F.avg("x").over(whole), "_std": F.stddev_samp("x").over(whole)}
     )
-    z, mean, half = F.col("z"), F.col("_mean"), F.col("_std") * threshold
+
+
+def _zscore_alert(table: str, threshold: float) -> tuple[Column, Column]:
+    z, mean, half = F.col("_z"), F.col("_mean"), F.col("_std") * threshold
     severity = F.when(z > C.Z_CRITICAL, "critical").otherwise("warning")
+    span = _range(round_to(mean - half, 4), round_to(mean + half, 4))
     hint = F.format_string(C.Z_HINT, _one_decimal(z))
-    return known.filter(z > threshold).select(
-        *_alert(table, F.col("column_name"), _iso("date"), F.col("x"),
-                _range(round_to(mean - half, 4), round_to(mean + half, 4)), severity, hint, "zscore", keys)
-    )
+    return z > threshold, _alert(table, F.col("column_name"), _iso("date"), F.col("x"), span, severity, hint, "zscore")
 
 
-def _shift_rows(long: DataFrame, table: str, window: int, threshold: float, keys=()) -> DataFrame:
+def _with_shift(long: DataFrame, window: int, keys) -> DataFrame:
     group = [*keys, "column_name"]
-    rolled = long.withColumn("_mean", S.rolling_mean("x", "date", group, window))
-    moved = rolled.withColumn("_moved", F.abs(S.pct_change("_mean", "date", group)))
-    hint = F.format_string(C.SHIFT_HINT, _one_decimal(F.col("_moved") * 100), F.col("column_name"))
-    return moved.filter(F.col("_moved") > threshold).select(
-        *_alert(table, F.col("column_name"), _iso("date"), F.col("_moved"), _range(F.lit(0.0), F.lit(threshold)),
-                F.lit("warning"), hint, "level_shift", keys)
-    )
+    rolled = long.withColumn("_rolled", S.rolling_mean("x", "date", group, window))
+    return rolled.withColumn("_moved", F.abs(S.pct_change("_rolled", "date", group)))
+
+
+def _shift_alert(table: str, threshold: float) -> tuple[Column, Column]:
+    moved, name = F.col("_moved"), F.col("column_name")
+    hint = F.format_string(C.SHIFT_HINT, _one_decimal(moved * 100), name)
+    span = _range(F.lit(0.0), F.lit(threshold))
+    return moved > threshold, _alert(table, name, _iso("date"), moved, span, F.lit("warning"), hint, "level_shift")
 
 
 def zscore_alerts(df: DataFrame, date_col: str, columns, table: str, threshold: float = C.Z_WARN, keys=()) -> DataFrame:
     """Values too far from the mean of their series. Nulls are passed over."""
-    return _zscore_rows(_long(df, date_col, columns, keys), table, threshold, keys)
+    return _raised(_with_zscore(_long(df, date_col, columns, keys), keys), keys, _zscore_alert(table, threshold))
 
 
 def level_shift_alerts(df: DataFrame, date_col: str, columns, table: str, window: int = C.SHIFT_WINDOW, threshold: float = C.SHIFT_WARN, keys=()) -> DataFrame:
     """Dates where the rolling mean jumps against the row before."""
-    return _shift_rows(_long(df, date_col, columns, keys), table, window, threshold, keys)
+    return _raised(_with_shift(_long(df, date_col, columns, keys), window, keys), keys, _shift_alert(table, threshold))
 
 
 def iqr_alerts(df: DataFrame, date_col: str, columns, table: str, fence: float = C.IQR_FENCE, keys=()) -> DataFrame:
     """Values outside the interquartile fences of their series (an extension)."""
-    group = [*keys, "column_name"]
-    whole = Window.partitionBy(*group)
-    known = _long(df, date_col, columns, keys).filter(F.col("x").isNotNull()).withColumn(
-        "_q", F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).over(whole)
-    )
-    q1, q3 = F.col("_q")[0], F.col("_q")[1]
+    whole = Window.partitionBy(*keys, "column_name")
+    quartiles = F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).over(whole)
+    known = _long(df, date_col, columns, keys).withColumn("_q", quartiles)
+    q1, q3, x, name = F.col("_q")[0], F.col("_q")[1], F.col("x"), F.col("column_name")
     low, high = q1 - (q3 - q1) * fence, q3 + (q3 - q1) * fence
-    outside = (F.col("x") < low) | (F.col("x") > high)
-    return known.filter(outside).select(
-        *_alert(table, F.col("column_name"), _iso("date"), F.col("x"), _range(round_to(low, 4), round_to(high, 4)),
-                F.lit("warning"), F.format_string(C.IQR_HINT, F.col("column_name")), "iqr", keys)
-    )
+    span = _range(round_to(low, 4), round_to(high, 4))
+    alert = _alert(table, name, _iso("date"), x, span, F.lit("warning"), F.format_string(C.IQR_HINT, name), "iqr")
+    return _raised(known, keys, ((x < low) | (x > high), alert))
 
 
 def detect_anomalies(
@@ -115,27 +116,23 @@ def detect_anomalies(
     shift_threshold: float = C.SHIFT_WARN, keys=(), ordered: bool = True,
 ) -> DataFrame:
     """Null spikes on every column as loaded; z-scores and level shifts on the listed ones that
-    exist, after carrying the last value over nulls. Critical alerts come first."""
+    exist, after carrying the last value over nulls. Critical alerts come first.
+
+    The series are pinned, as the null rates and the windows both read them.
+    """
+    df = pin(df)
     present = [c for c in columns if c in df.columns]
-    spikes = null_spike_alerts(df, table, (date_col, *keys))
-    for key in keys:
-        spikes = spikes.withColumn(key, F.lit(None).cast(df.schema[key].dataType))
-    parts = [spikes]
+    alerts = null_spike_alerts(df, table, (date_col, *keys))
+    alerts = alerts.select(*[F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], *alerts.columns)
     if present:
-        group = [*keys, "column_name"]
-        long = _long(df, date_col, present, keys).withColumn("x", S.ffill("x", "date", group))
-        parts += [
-            _zscore_rows(long, table, z_threshold, keys),
-            _shift_rows(long, table, C.SHIFT_WINDOW, shift_threshold, keys),
-        ]
-    alerts = reduce(DataFrame.unionByName, [p.select(*keys, *_columns()) for p in parts])
+        filled = S.ffill("x", "date", [*keys, "column_name"])
+        long = _long(df, date_col, present, keys).withColumn("x", filled)
+        judged = _with_zscore(_with_shift(long, C.SHIFT_WINDOW, keys), keys)
+        odd = _raised(judged, keys, _zscore_alert(table, z_threshold), _shift_alert(table, shift_threshold))
+        alerts = alerts.unionByName(odd)
     return by_severity(alerts, "severity", (*keys, "table_name", "column_name", "date", "check_type")) if ordered else alerts
 
 
-def _columns() -> list[str]:
-    return [*_WHO, "date", "value", "expected_range", "severity", "root_cause_hint", "check_type"]
-
-
 def by_severity(df: DataFrame, severity: str, ties=()) -> DataFrame:
     """Critical, warning, then the rest; ties in a fixed order."""
     return df.orderBy(severity_rank(F.col(severity)), *ties)

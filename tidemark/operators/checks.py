@@ -10,20 +10,24 @@ from tidemark.functions.dates import week_period
 from tidemark.functions.scalars import round_to, safe_ratio
 from tidemark.operators.anomaly import by_severity
 from tidemark.schemas import CHECK_RESULT
+from tidemark.session import pin
 
 def _result(table: str, check: str, status: Column, detail: Column, metric: Column, threshold: Column, hint: Column):
     columns = (F.lit(table), F.lit(check), status, detail, metric, threshold, hint)
     return [c.cast(f.dataType).alias(f.name) for c, f in zip(columns, CHECK_RESULT.fields)]
 
 
-def check_freshness(
-    df: DataFrame, date_col: str, table: str, now: dt.datetime,
-    warning_days: int = C.FRESH_WARN_DAYS, critical_days: int = C.FRESH_CRITICAL_DAYS,
-) -> DataFrame:
-    """Age of the newest record in whole days at `now`."""
+def _weekly(df: DataFrame, date_col: str) -> DataFrame:
+    """Rows and newest record per week: all that the freshness and volume checks need."""
+    return df.groupBy(week_period(F.col(date_col).cast("date")).alias("week")).agg(
+        F.count("*").alias("rows"), F.max(date_col).alias("latest")
+    )
+
+
+def _freshness(weeks: DataFrame, table: str, now: dt.datetime, warning_days: int, critical_days: int) -> DataFrame:
     latest, age = F.col("latest"), F.col("age")
     seconds = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(latest.cast("timestamp"))
-    found = df.agg(F.count("*").alias("rows"), F.max(date_col).alias("latest"))
+    found = weeks.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.max("latest").alias("latest"))
     found = found.withColumn("age", F.floor(seconds / 86400))
     empty = (F.col("rows") == 0) | latest.isNull()
     stale, late = age >= critical_days, age >= warning_days
@@ -35,15 +39,22 @@ def check_freshness(
     )
 
 
+def check_freshness(
+    df: DataFrame, date_col: str, table: str, now: dt.datetime,
+    warning_days: int = C.FRESH_WARN_DAYS, critical_days: int = C.FRESH_CRITICAL_DAYS,
+) -> DataFrame:
+    """Age of the newest record in whole days at `now`."""
+    return _freshness(_weekly(df, date_col), table, now, warning_days, critical_days)
+
+
 def rows_per_week(df: DataFrame, date_col: str) -> DataFrame:
     """Rows per Monday-to-Sunday week that has any."""
     dated = df.filter(F.col(date_col).isNotNull())
     return dated.groupBy(week_period(F.col(date_col)).alias("week")).agg(F.count("*").alias("rows"))
 
 
-def check_row_count(df: DataFrame, date_col: str, table: str, lookback: int = C.ROWS_LOOKBACK, drop: float = C.ROWS_DROP_WARN) -> DataFrame:
-    """The last week's rows against the mean of the weeks before it. The window is over weeks."""
-    weeks = df.groupBy(week_period(F.col(date_col)).alias("week")).agg(F.count("*").alias("rows"))
+def _row_count(weeks: DataFrame, table: str, lookback: int, drop: float) -> DataFrame:
+    """The window is over weeks, so the calendar bounds it."""
     back = F.row_number().over(Window.partitionBy().orderBy(F.col("week").desc_nulls_last()))
     known = F.col("week").isNotNull()
     found = weeks.withColumn("_back", back).agg(
@@ -69,6 +80,11 @@ def check_row_count(df: DataFrame, date_col: str, table: str, lookback: int = C.
     )
 
 
+def check_row_count(df: DataFrame, date_col: str, table: str, lookback: int = C.ROWS_LOOKBACK, drop: float = C.ROWS_DROP_WARN) -> DataFrame:
+    """The last week's rows against the mean of the weeks before it."""
+    return _row_count(_weekly(df, date_col), table, lookback, drop)
+
+
 def missing_columns(df: DataFrame, expected) -> list[str]:
     return [c for c in expected if c not in df.columns]
 
@@ -90,8 +106,16 @@ def check_schema(df: DataFrame, table: str, expected, types: dict[str, str] | No
 
 
 def run_all_checks(tables: dict[str, tuple[DataFrame, str, list[str]]], now: dt.datetime) -> DataFrame:
-    """All checks of all tables, worst first. `tables` maps a name to (rows, date column, columns)."""
+    """All checks of all tables, worst first. `tables` maps a name to (rows, date column, columns).
+
+    Each table is read once, for its weekly counts.
+    """
     parts = []
     for name, (df, date_col, expected) in tables.items():
-        parts += [check_freshness(df, date_col, name, now), check_row_count(df, date_col, name), check_schema(df, name, expected)]
+        weeks = pin(_weekly(df, date_col))
+        parts += [
+            _freshness(weeks, name, now, C.FRESH_WARN_DAYS, C.FRESH_CRITICAL_DAYS),
+            _row_count(weeks, name, C.ROWS_LOOKBACK, C.ROWS_DROP_WARN),
+            check_schema(df, name, expected),
+        ]
     return by_severity(reduce(DataFrame.unionByName, parts), "status", ("table_name", "check"))

@@ -3,7 +3,7 @@
 import datetime as dt
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import constants as C
 from tidemark.functions.dates import as_date
@@ -61,18 +61,21 @@ def require_won(deals: DataFrame) -> DataFrame:
     return deals.dropna(subset=["deal_value", "close_date"])
 
 
+def warning_text(rows: Column, context: str = "") -> Column:
+    """The warning for a row count, null from the minimum on."""
+    suffix = f" ({context})" if context else ""
+    return F.when(rows == 0, F.lit(C.NO_DATA_TEXT % suffix)).when(
+        rows < C.MIN_RELIABLE_ROWS, F.format_string(C.FEW_ROWS_TEXT, rows, F.lit(suffix))
+    )
+
+
 def reliability_warning(df: DataFrame, context: str = "") -> DataFrame:
     """One row with the warning text, or null when there are rows enough.
 
     The text depends on the count only below the minimum, so each task stops at that many rows.
     """
-    suffix = f" ({context})" if context else ""
     rows = df.select(F.lit(1).alias("one")).limit(C.MIN_RELIABLE_ROWS).agg(F.count("*").alias("n"))
-    n = F.col("n")
-    text = F.when(n == 0, F.lit(C.NO_DATA_TEXT % suffix)).when(
-        n < C.MIN_RELIABLE_ROWS, F.format_string(C.FEW_ROWS_TEXT, n, F.lit(suffix))
-    )
-    return rows.select(text.alias("warning"))
+    return rows.select(warning_text(F.col("n"), context).alias("warning"))
 
 
 def require_points(series: DataFrame, minimum: int = C.MIN_MODEL_POINTS) -> DataFrame:

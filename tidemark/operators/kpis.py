@@ -8,7 +8,7 @@ from tidemark.functions import scalars
 from tidemark.functions.dates import as_date, month_period
 from tidemark.functions.scalars import percent_of, round_to, safe_ratio, sum_or_zero, whole_money
 from tidemark.operators.buckets import bucket
-from tidemark.operators.filters import FilterParams, apply_filters, reliability_warning
+from tidemark.operators.filters import FilterParams, apply_filters, warning_text
 
 
 def _one_row(*frames: DataFrame) -> DataFrame:
@@ -25,14 +25,15 @@ def kpi_summary(online: DataFrame, offline: DataFrame, media: DataFrame, crm: Da
     media = apply_filters(media, "week_start", params)
     won = F.col("outcome") == "Closed Won"
     sums = _one_row(
-        online.agg(sum_or_zero("revenue").alias("online"), sum_or_zero("orders").alias("orders")),
+        online.agg(
+            sum_or_zero("revenue").alias("online"), sum_or_zero("orders").alias("orders"), F.count("*").alias("rows")
+        ),
         offline.agg(sum_or_zero("total_revenue").alias("offline")),
         media.agg(sum_or_zero("spend").alias("spend"), sum_or_zero("incremental_revenue").alias("incremental")),
         crm.agg(
             F.count("*").alias("leads"), F.count_if(won).alias("won"),
             sum_or_zero(F.when(won, F.col("deal_value"))).alias("pipeline"),
         ),
-        reliability_warning(online, "online sales"),
     )
     total = F.col("online") + F.col("offline")
     return sums.select(
@@ -46,7 +47,7 @@ def kpi_summary(online: DataFrame, offline: DataFrame, media: DataFrame, crm: Da
         F.col("leads").alias("total_leads"),
         round_to("pipeline", 2).alias("pipeline_closed_won"),
         percent_of(F.col("won"), F.col("leads")).alias("win_rate_pct"),
-        "warning",
+        warning_text(F.col("rows"), "online sales").alias("warning"),
     )
 
 

@@ -185,7 +185,11 @@ def run_mix(
     alpha: float = 1.0, decay: float = C.MIX_DECAY, k: float = C.MIX_SATURATION,
     date_col: str = "week_start", sales_col: str = "total_revenue",
 ) -> MixResult:
-    """Fit on the train weeks, measure on the validation weeks, explain all weeks."""
+    """Fit on the train weeks, measure on the validation weeks, explain all weeks.
+
+    The spend is reduced to week × channel once; features and totals both come from there.
+    """
+    media = pin(media.groupBy(date_col, "channel").agg(F.sum("spend").alias("spend")))
     features = pin(mix_features(media, sales, channels, decay, k, date_col, sales_col))
     marked = chrono_split(features, date_col, train, validation)
     fit = nonneg_ridge(marked.filter(F.col("split") == "train"), feature_columns(channels), sales_col, alpha)

@@ -9,6 +9,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalars import round_to, safe_ratio
+from tidemark.session import lookup_join
 
 
 def _ordered(keys, order):
@@ -89,23 +90,23 @@ def share_of_total(df: DataFrame, x: str, period: str, digits: int = 4) -> DataF
     """Add `share`: x over its period's total (1 or more).
 
     The totals come from a partial aggregate and a join, so a period with very many rows is
-    never gathered in one task.
+    never gathered in one task. Reads `df` twice: pin a derived table first.
     """
     totals = df.groupBy(period).agg(F.sum(x).alias("_total"))
-    return (
-        df.join(totals, period)
-        .withColumn("share", round_to(safe_ratio(F.col(x), F.col("_total")), digits))
-        .drop("_total")
-    )
+    share = round_to(safe_ratio(F.col(x), F.col("_total")), digits)
+    return lookup_join(df, totals, period, "inner").withColumn("share", share).drop("_total")
 
 
 def map_by_period(df: DataFrame, per_period: DataFrame, period: str) -> DataFrame:
-    """Attach a per-period value to every row. The lookup has one row per calendar date at most."""
-    return df.join(F.broadcast(per_period), period, "left")
+    """Attach a per-period value to every row."""
+    return lookup_join(df, per_period, period)
 
 
 def scale_to_total(df: DataFrame, x: str, period: str, targets: DataFrame, target: str) -> DataFrame:
-    """Share out each period's target over its rows in proportion to x (2 decimals)."""
+    """Share out each period's target over its rows in proportion to x (2 decimals).
+
+    Reads `df` twice: pin a derived table first.
+    """
     totals = df.groupBy(period).agg(F.sum(x).alias("_total"))
     factors = totals.join(targets, period, "left").select(
         period, safe_ratio(F.col(target), F.col("_total")).alias("_factor")

@@ -8,6 +8,7 @@ from tidemark.operators import buckets, context, filters, funnel, kpis, series
 from tidemark.operators.filters import FilterParams
 from tidemark.plans.registry import query
 from tidemark.plans.views import over
+from tidemark.session import pin
 from tidemark.sources import bridge, sinks
 
 
@@ -420,7 +421,7 @@ def _(spark, folder):
     over("media_spend", "SELECT week_start, channel, round_even(incremental_revenue / greatest(sum(incremental_revenue) OVER (PARTITION BY week_start), 1), 4) AS share FROM media_spend"),
 )
 def _(spark, folder):
-    media = bridge.media_spend(spark, folder).select("week_start", "channel", "incremental_revenue")
+    media = pin(bridge.media_spend(spark, folder).select("week_start", "channel", "incremental_revenue"))
     return series.share_of_total(media, "incremental_revenue", "week_start").drop("incremental_revenue")
 
 
@@ -436,7 +437,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    offline = bridge.offline_sales(spark, folder)
+    offline = pin(bridge.offline_sales(spark, folder))
     target = bridge.online_sales(spark, folder, ()).groupBy(
         F.date_trunc("week", "date").cast("date").alias("week_start")
     ).agg(F.sum("revenue").alias("target"))

@@ -2,7 +2,10 @@
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# Rows up to which a lookup table is broadcast; a row of a key and a few numbers is below 200 bytes.
+BROADCAST_ROWS = 1_000_000
 
 
 def build_session(app_name: str = "tidemark", master: str | None = None, **conf) -> SparkSession:
@@ -49,3 +52,14 @@ def pin(df: DataFrame) -> DataFrame:
     """
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def lookup_join(df: DataFrame, lookup: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join a small lookup to a big table.
+
+    The lookup is computed once and counted. Up to BROADCAST_ROWS rows it is broadcast, so the
+    big table is not shuffled; a larger one is joined by key and AQE splits its hot keys.
+    """
+    lookup = pin(lookup)
+    small = lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(lookup) if small else lookup, on, how)
