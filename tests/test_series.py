@@ -79,10 +79,21 @@ def test_bounded_and_range_partitioned_ranks_agree_with_pandas_on_a_hot_group(sp
         pd.testing.assert_series_equal(found, expected, check_names=False)
 
 
-def test_ranks_are_spread_over_ranges(spark):
-    df = spark.range(20_000).select(F.lit("hot").alias("k"), F.col("id").alias("x"))
-    counted = ranks.running_counts(df, "x", ["k"])
-    assert counted.filter((F.col("below") != F.col("x")) | (F.col("total") != 20_000)).count() == 0
+def test_a_hot_group_is_ranked_over_many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = spark.range(20_000).select(F.lit("hot").alias("k"), (F.col("id") * 7 % 20_000).alias("x"))
+        cold = spark.range(100).select(F.lit("cold").alias("k"), F.col("id").alias("x"))
+        df = hot.unionByName(cold)
+        assert df.repartitionByRange("k", "x").select(F.spark_partition_id()).distinct().count() == 8
+        counted = ranks.running_counts(df, "x", ["k"])
+        size = F.when(F.col("k") == "hot", 20_000).otherwise(100)
+        assert counted.count() == 20_100
+        assert counted.filter((F.col("below") != F.col("x")) | (F.col("total") != size)).count() == 0
+        median = ranks.exact_quantiles(df, "x", (0.5,), ["k"]).collect()
+        assert {r["k"]: r["quantile"] for r in median} == {"hot": 9999.5, "cold": 49.5}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

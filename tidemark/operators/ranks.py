@@ -61,15 +61,19 @@ def pct_rank_avg(df: DataFrame, value: str, cohort, max_distinct: int | None = N
 def exact_quantiles(df: DataFrame, value: str, probs, keys=()) -> DataFrame:
     """Long table (keys, prob, quantile), linear between neighbours."""
     counts = running_counts(df, value, keys)
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-    place = F.col("prob") * (F.col("total") - 1)
-    low, high = F.floor(place), F.ceil(place)
     first, last = F.col("below"), F.col("below") + F.col("n") - 1
-    # A row of the counts covers the places first..last; keep those that hold a wanted place.
-    near = (
-        counts.select("*", wanted.alias("prob"))
-        .filter(((low >= first) & (low <= last)) | ((high >= first) & (high <= last)))
-        .withColumns({"_low": (low >= first) & (low <= last), "_part": place - low})
+
+    def place(prob):
+        return prob * (F.col("total") - 1)
+
+    # A row of the counts covers the places first..last; only the probabilities it serves are spread.
+    def served(prob):
+        return F.floor(place(prob)).between(first, last) | F.ceil(place(prob)).between(first, last)
+
+    wanted = F.filter(F.array(*[F.lit(float(p)) for p in probs]), served)
+    low = F.floor(place(F.col("prob")))
+    near = counts.select("*", F.explode(wanted).alias("prob")).withColumns(
+        {"_low": low.between(first, last), "_part": place(F.col("prob")) - low}
     )
     ends = near.groupBy(*keys, "prob").agg(
         F.max(F.when(F.col("_low"), F.col(value))).alias("_a"),

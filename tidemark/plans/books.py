@@ -14,7 +14,7 @@ from tidemark.sources import bridge
 
 _CUTOFF = dt.date(1995, 10, 1)
 # Boosting rounds of the registered model queries; the operators default to the full 400 and 300.
-_ROUNDS = 10
+_ROUNDS = 40
 
 
 def _summary(spark, folder):
@@ -127,7 +127,9 @@ def _(spark, folder):
     "one_hot",
     over(
         "account_summary",
-        """SELECT account_id, list_transform(names, lambda n: CAST(n = industry AS DOUBLE)) AS industry_flags
+        """SELECT account_id, CAST(names[1] = industry AS DOUBLE) AS flag_1, CAST(names[2] = industry AS DOUBLE) AS flag_2,
+                  CAST(names[3] = industry AS DOUBLE) AS flag_3, CAST(names[4] = industry AS DOUBLE) AS flag_4,
+                  CAST(names[5] = industry AS DOUBLE) AS flag_5
            FROM account_summary, (SELECT list(industry ORDER BY n DESC, industry) AS names FROM (SELECT industry, count(*) AS n FROM account_summary GROUP BY 1))""",
     ),
 )
@@ -136,8 +138,8 @@ def _(spark, folder):
     indexer, encoder = accounts.one_hot(["industry"])
     indexed = indexer.fit(rows).transform(rows)
     encoded = encoder.fit(indexed).transform(indexed)
-    known = F.slice(vector_to_array("industry_flags"), 1, 5)
-    return encoded.select("account_id", known.alias("industry_flags"))
+    flags = vector_to_array("industry_flags")
+    return encoded.select("account_id", *[flags[i].alias(f"flag_{i + 1}") for i in range(5)])
 
 
 @query("align_features")
