@@ -10,7 +10,7 @@ from tidemark.functions.dates import week_period
 from tidemark.functions.scalars import round_to, safe_ratio
 from tidemark.operators.anomaly import by_severity
 from tidemark.schemas import CHECK_RESULT
-from tidemark.session import pin
+from tidemark.session import pin_all
 
 def _result(table: str, check: str, status: Column, detail: Column, metric: Column, threshold: Column, hint: Column):
     columns = (F.lit(table), F.lit(check), status, detail, metric, threshold, hint)
@@ -110,9 +110,9 @@ def run_all_checks(tables: dict[str, tuple[DataFrame, str, list[str]]], now: dt.
 
     Each table is read once, for its weekly counts.
     """
+    counted = pin_all(*[_weekly(df, date_col) for df, date_col, _ in tables.values()])
     parts = []
-    for name, (df, date_col, expected) in tables.items():
-        weeks = pin(_weekly(df, date_col))
+    for (name, (df, _, expected)), weeks in zip(tables.items(), counted):
         parts += [
             _freshness(weeks, name, now, C.FRESH_WARN_DAYS, C.FRESH_CRITICAL_DAYS),
             _row_count(weeks, name, C.ROWS_LOOKBACK, C.ROWS_DROP_WARN),

@@ -14,7 +14,7 @@ from tidemark.functions.scalars import percent_of, round_to, safe_ratio, sum_or_
 from tidemark.operators import kpis
 from tidemark.operators.filters import FilterParams, apply_filters
 from tidemark.operators.funnel import best_and_worst
-from tidemark.session import pin
+from tidemark.session import pin_all
 
 
 def _grouped(cube: DataFrame, section: str, metric: str, dim: str, value: Column) -> DataFrame:
@@ -27,38 +27,32 @@ def _grouped(cube: DataFrame, section: str, metric: str, dim: str, value: Column
     )
 
 
-def _scalars(one_row: DataFrame, section: str, **figures: Column) -> DataFrame:
-    """Named figures of a one-row table as rows; text figures go to `text`."""
-    is_text = {n: dict(one_row.select(c.alias(n)).dtypes)[n] in ("string", "date") for n, c in figures.items()}
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(section).alias("section"), F.lit(n).alias("metric"), F.lit(None).cast("string").alias("name"),
-                (F.lit(None) if is_text[n] else c).cast("double").alias("value"),
-                (c if is_text[n] else F.lit(None)).cast("string").alias("text"),
-            )
-            for n, c in figures.items()
-        ]
-    )
-    return one_row.select(F.inline(rows))
+def _figures(one_row: DataFrame, section: str, column: str, **figures: Column) -> DataFrame:
+    """Named figures of a one-row table as rows, in the `value` or the `text` column."""
+    none = F.lit(None)
+
+    def row(name, figure):
+        return F.struct(
+            F.lit(section).alias("section"), F.lit(name).alias("metric"), none.cast("string").alias("name"),
+            (figure if column == "value" else none).cast("double").alias("value"),
+            (figure if column == "text" else none).cast("string").alias("text"),
+        )
+
+    return one_row.select(F.inline(F.array(*[row(n, c) for n, c in figures.items()])))
 
 
 def context_metrics(online: DataFrame, offline: DataFrame, media: DataFrame, crm: DataFrame, start=None, end=None) -> DataFrame:
     """Long table: section, metric, name (of the group, if any), value, text."""
     params = FilterParams(start, end)
     won = F.col("outcome") == C.CLOSED_WON
-    web = pin(
+    web, shop, spend, funnel = pin_all(
         apply_filters(online, "date", params)
         .groupBy("channel", "category", month_period(F.col("date")).alias("month"))
-        .agg(F.sum("revenue").alias("revenue"), F.min("date").alias("first"), F.max("date").alias("last"))
-    )
-    shop = pin(apply_filters(offline, "week_start", params).groupBy("region").agg(F.sum("total_revenue").alias("revenue")))
-    spend = pin(
+        .agg(F.sum("revenue").alias("revenue"), F.min("date").alias("first"), F.max("date").alias("last")),
+        apply_filters(offline, "week_start", params).groupBy("region").agg(F.sum("total_revenue").alias("revenue")),
         apply_filters(media, "week_start", params)
         .groupBy("channel")
-        .agg(F.sum("spend").alias("spend"), F.sum("incremental_revenue").alias("incremental"), F.avg("roas").alias("roas"))
-    )
-    funnel = pin(
+        .agg(F.sum("spend").alias("spend"), F.sum("incremental_revenue").alias("incremental"), F.avg("roas").alias("roas")),
         apply_filters(crm, "lead_date", params)
         .groupBy("lead_source")
         .agg(
@@ -66,7 +60,7 @@ def context_metrics(online: DataFrame, offline: DataFrame, media: DataFrame, crm
             sum_or_zero("reached_close").alias("reached"), F.count_if(won).alias("won"),
             F.sum(F.when(won, F.col("deal_value"))).alias("pipeline"),
             F.count(F.when(won, F.col("deal_value"))).alias("deals"),
-        )
+        ),
     )
     revenue = kpis._one_row(
         web.agg(sum_or_zero("revenue").alias("web"), F.min("first").alias("first"), F.max("last").alias("last")),
@@ -81,31 +75,31 @@ def context_metrics(online: DataFrame, offline: DataFrame, media: DataFrame, crm
     )
     by = F.sum
     parts = [
-        _scalars(
-            revenue, "period",
+        _figures(
+            revenue, "period", "text",
             start=F.lit(str(start)) if start else F.col("first"), end=F.lit(str(end)) if end else F.col("last"),
         ),
-        _scalars(
-            revenue, "revenue",
+        _figures(
+            revenue, "revenue", "value",
             online_total=whole_money("web"), offline_total=whole_money("shop"), combined_total=whole_money(total),
             online_share_pct=percent_of(F.col("web"), total, 1), mom_online_change_pct=F.col("mom_change_pct"),
         ),
         _grouped(web, "revenue", "by_channel", "channel", whole_money(by("revenue"))),
         _grouped(web, "revenue", "by_category", "category", whole_money(by("revenue"))),
         _grouped(shop, "revenue", "offline_by_region", "region", whole_money(by("revenue"))),
-        _scalars(
-            paid, "media", total_spend=whole_money("spend"),
+        _figures(
+            paid, "media", "value", total_spend=whole_money("spend"),
             blended_roas=round_to(safe_ratio(F.col("incremental"), F.col("spend")), 2),
         ),
         _grouped(spend, "media", "roas_by_channel", "channel", round_to(F.max("roas"), 3)),
         _grouped(spend, "media", "spend_by_channel", "channel", whole_money(by("spend"))),
-        _scalars(
-            deals, "crm", total_leads=F.col("leads"), win_rate_pct=percent_of(F.col("won"), F.col("leads")),
+        _figures(
+            deals, "crm", "value", total_leads=F.col("leads"), win_rate_pct=percent_of(F.col("won"), F.col("leads")),
             pipeline_closed_won=whole_money("pipeline"),
             avg_deal_value=whole_money(safe_ratio(F.col("pipeline"), F.col("deals"))),
         ),
-        _scalars(
-            best_and_worst(rated, "lead_source", "win_rate"), "crm",
+        _figures(
+            best_and_worst(rated, "lead_source", "win_rate"), "crm", "text",
             top_lead_source=F.col("best"), bottom_lead_source=F.col("worst"),
         ),
     ]

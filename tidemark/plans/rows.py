@@ -167,7 +167,7 @@ def _(spark, folder):
               count(*) AS rows, min(l_extendedprice) AS lowest, max(l_extendedprice) AS highest FROM lineitem GROUP BY 1""",
 )
 def _(spark, folder):
-    line = tables.read_table(spark, folder, "lineitem")
+    line = bridge.star(spark, folder, "lineitem")
     band = scalars.deal_size_band(F.col("l_extendedprice")).alias("band")
     return line.groupBy(band).agg(
         F.count("*").alias("rows"), F.min("l_extendedprice").alias("lowest"), F.max("l_extendedprice").alias("highest")
@@ -256,7 +256,7 @@ def _(spark, folder):
          FROM lineitem GROUP BY 1)""",
 )
 def _(spark, folder):
-    line = tables.read_table(spark, folder, "lineitem")
+    line = bridge.star(spark, folder, "lineitem")
     found = ranks.exact_quantiles(line, "l_extendedprice", (0.1, 0.5, 0.9), ["l_returnflag"])
     return found.withColumn("quantile", round_to("quantile", 4))
 
@@ -267,7 +267,7 @@ def _(spark, folder):
               WHEN length(text) > 90 THEN substr(text, 1, 90) || '…' ELSE text END AS headline FROM documents""",
 )
 def _(spark, folder):
-    documents = tables.read_table(spark, folder, "documents")
+    documents = bridge.star(spark, folder, "documents")
     return documents.select("doc_id", reports.headline(F.col("text")).alias("headline"))
 
 
@@ -286,7 +286,7 @@ def _(spark, folder):
         .when(kind == "click", F.concat(F.lit("```\n"), props, F.lit("\n```")))
         .otherwise(props)
     )
-    events = tables.read_table(spark, folder, "events").select("event_id", text.alias("text"))
+    events = bridge.star(spark, folder, "events").select("event_id", text.alias("text"))
     parsed = reports.report_fields(events, "text", T.StructType([T.StructField("k", T.LongType())]))
     return parsed.select("event_id", "report.k", "raw_response")
 
@@ -298,6 +298,6 @@ def _(spark, folder):
 )
 def _(spark, folder):
     months = F.sort_array(F.collect_set("o_orderkey")).alias("orders")
-    listed = tables.read_table(spark, folder, "orders").groupBy("o_custkey").agg(months)
+    listed = bridge.star(spark, folder, "orders").groupBy("o_custkey").agg(months)
     found = reports.first_entries(listed, "orders", 3, ["o_custkey"])
     return found.withColumn("position", F.col("position").cast("long"))

@@ -8,7 +8,7 @@ from tidemark.functions.scalars import round_to
 from tidemark.operators import alerts, anomaly, checks
 from tidemark.plans.registry import query
 from tidemark.plans.views import over
-from tidemark.sources import bridge, tables
+from tidemark.sources import bridge
 
 _KEY = ["metric"]
 _NOW = dt.datetime(2024, 2, 4, 12, 0)
@@ -136,13 +136,13 @@ def _(spark, folder):
 
 @query("rows_per_week", "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS rows FROM events GROUP BY 1")
 def _(spark, folder):
-    events = tables.read_table(spark, folder, "events").withColumn("date", F.col("ts").cast("date"))
+    events = bridge.star(spark, folder, "events").withColumn("date", F.col("ts").cast("date"))
     return checks.rows_per_week(events, "date")
 
 
 def _events(spark, folder):
     """Events as loaded, with a half-empty last week: only purchases from its start on."""
-    events = tables.read_table(spark, folder, "events").withColumn("date", F.col("ts").cast("date"))
+    events = bridge.star(spark, folder, "events").withColumn("date", F.col("ts").cast("date"))
     return events.filter((F.col("date") < dt.date(2024, 1, 29)) | (F.col("event_type") == "purchase"))
 
 
@@ -183,7 +183,7 @@ def _(spark, folder):
 
 @query("check_freshness_empty", _fresh_sql("orders", "SELECT * FROM orders WHERE o_orderdate > TIMESTAMP '2030-01-01'", "o_orderdate"))
 def _(spark, folder):
-    orders = tables.read_table(spark, folder, "orders")
+    orders = bridge.star(spark, folder, "orders")
     none = orders.filter(F.col("o_orderdate") > F.lit(dt.datetime(2030, 1, 1)).cast("timestamp_ntz"))
     return checks.check_freshness(none, "o_orderdate", "orders", _NOW)
 

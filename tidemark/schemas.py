@@ -9,6 +9,8 @@ _KINDS = {
     "int": T.LongType(),
     "num": T.DoubleType(),
     "bool": T.BooleanType(),
+    "short": T.IntegerType(),
+    "moment": T.TimestampNTZType(),
 }
 
 
@@ -125,3 +127,23 @@ CHECK_RESULT = _table(
     table_name="str", check="str", status="str", detail="str", metric_value="num", threshold="num",
     root_cause_hint="str",
 )
+
+# The star schema that `sources.bridge` reads. A declared schema saves a look into the files.
+STAR = {
+    "region": _table(r_regionkey="short", r_name="str"),
+    "nation": _table(n_nationkey="short", n_name="str", n_regionkey="short"),
+    "customer": _table(c_custkey="int", c_name="str", c_nationkey="short", c_acctbal="num", c_mktsegment="str"),
+    "supplier": _table(s_suppkey="int", s_name="str", s_nationkey="short", s_acctbal="num"),
+    "part": _table(p_partkey="int", p_name="str", p_brand="str", p_type="str", p_size="short", p_retailprice="num"),
+    "orders": _table(
+        o_orderkey="int", o_custkey="int", o_orderstatus="str", o_totalprice="num", o_orderdate="moment",
+        o_orderpriority="str",
+    ),
+    "lineitem": _table(
+        l_orderkey="int", l_partkey="int", l_suppkey="int", l_linenumber="short", l_quantity="num",
+        l_extendedprice="num", l_discount="num", l_tax="num", l_returnflag="str", l_linestatus="str",
+        l_shipdate="moment",
+    ),
+    "events": _table(event_id="int", ts="moment", user_id="int", event_type="str", value="num", props="str"),
+    "documents": _table(doc_id="int", text="str", lang="str", source="str", n_chars="int"),
+}

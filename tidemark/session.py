@@ -1,6 +1,7 @@
 """Session settings and lineage cuts."""
 
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,6 +22,8 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Call sites per column expression are a debugging aid that slows the building of wide plans.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     builder = SparkSession.builder.appName(app_name)
@@ -54,6 +57,13 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pin_all(*frames: DataFrame) -> list[DataFrame]:
+    """Pin several tables at the same time, so that small jobs do not wait for each other."""
+    _ensure_checkpoint_dir(frames[0].sparkSession)
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(pin, frames))
+
+
 def lookup_join(df: DataFrame, lookup: DataFrame, on, how: str = "left") -> DataFrame:
     """Join a small lookup to a big table.
 

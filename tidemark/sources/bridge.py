@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark import constants as C
 from tidemark.functions import dates, scalars
 from tidemark.operators.buckets import month_spine
+from tidemark.schemas import STAR
 from tidemark.sources.tables import read_table
 
 CHANNELS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -18,6 +19,10 @@ ACCOUNT_AS_OF = dt.date(2001, 7, 31)
 ACCOUNT_MONTH_CAP = 120
 
 
+def star(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return read_table(spark, folder, name, STAR[name])
+
+
 def _day(name: str) -> Column:
     return F.col(name).cast("date")
 
@@ -37,9 +42,9 @@ def _sum_money(cents: Column) -> Column:
 
 def online_sales(spark: SparkSession, folder: str, dims=("channel", "category")) -> DataFrame:
     """Day × channel × category from orders and customers."""
-    orders = read_table(spark, folder, "orders")
+    orders = star(spark, folder, "orders")
     if "category" in dims:
-        customer = read_table(spark, folder, "customer")
+        customer = star(spark, folder, "customer")
         orders = orders.join(customer, orders.o_custkey == customer.c_custkey)
     named = {"channel": "o_orderpriority", "category": "c_mktsegment"}
     return (
@@ -49,7 +54,7 @@ def online_sales(spark: SparkSession, folder: str, dims=("channel", "category"))
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    line = read_table(spark, folder, "lineitem")
+    line = star(spark, folder, "lineitem")
     price, discount = F.col("l_extendedprice"), F.col("l_discount")
     return line.select(
         "l_partkey", "l_suppkey", "l_returnflag", "l_quantity",
@@ -64,14 +69,14 @@ def offline_sales(spark: SparkSession, folder: str, dims=("region", "store_forma
     lines = _lines(spark, folder)
     if "region" in dims:
         places = (
-            read_table(spark, folder, "supplier")
-            .join(read_table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(read_table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            star(spark, folder, "supplier")
+            .join(star(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+            .join(star(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select("s_suppkey", "r_name")
         )
         lines = lines.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
     if "store_format" in dims:
-        part = read_table(spark, folder, "part").select("p_partkey", "p_type")
+        part = star(spark, folder, "part").select("p_partkey", "p_type")
         lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     named = {"region": "r_name", "store_format": "p_type", "category": "l_returnflag"}
     return (
@@ -86,7 +91,7 @@ def offline_sales(spark: SparkSession, folder: str, dims=("region", "store_forma
 
 def media_spend(spark: SparkSession, folder: str) -> DataFrame:
     """Week × channel from order lines and parts, with the derived ratios."""
-    part = read_table(spark, folder, "part").select("p_partkey", "p_type")
+    part = star(spark, folder, "part").select("p_partkey", "p_type")
     facts = (
         _lines(spark, folder)
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -108,7 +113,7 @@ def crm_funnel(spark: SparkSession, folder: str, dims=("industry",)) -> DataFram
     """One contact per order; the stages follow from the order's lines."""
     flag, status, shipped = F.col("l_returnflag") == "A", F.col("l_linestatus") == "F", _day("l_shipdate")
     seen = (
-        read_table(spark, folder, "lineitem")
+        star(spark, folder, "lineitem")
         .groupBy("l_orderkey")
         .agg(
             F.bool_or(status).alias("any_f"),
@@ -119,9 +124,9 @@ def crm_funnel(spark: SparkSession, folder: str, dims=("industry",)) -> DataFram
             F.max(shipped).alias("last_ship"),
         )
     )
-    orders = read_table(spark, folder, "orders")
+    orders = star(spark, folder, "orders")
     if "industry" in dims:
-        customer = read_table(spark, folder, "customer").select("c_custkey", F.col("c_mktsegment").alias("industry"))
+        customer = star(spark, folder, "customer").select("c_custkey", F.col("c_mktsegment").alias("industry"))
         orders = orders.join(customer, orders.o_custkey == customer.c_custkey)
     joined = orders.join(seen, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     mql = F.col("l_orderkey").isNotNull()
@@ -160,8 +165,8 @@ def crm_funnel(spark: SparkSession, folder: str, dims=("industry",)) -> DataFram
 def account_deals(spark: SparkSession, folder: str) -> DataFrame:
     """One row per customer: the first order closes the deal."""
     first = F.min(F.struct(_day("o_orderdate").alias("close_date"), "o_orderkey", "o_totalprice", "o_orderpriority"))
-    deals = read_table(spark, folder, "orders").groupBy("o_custkey").agg(first.alias("d"))
-    customer = read_table(spark, folder, "customer")
+    deals = star(spark, folder, "orders").groupBy("o_custkey").agg(first.alias("d"))
+    customer = star(spark, folder, "customer")
     return deals.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_custkey").cast("string").alias("account_id"),
         F.col("c_mktsegment").alias("industry"),
@@ -177,7 +182,7 @@ def account_revenue(spark: SparkSession, folder: str, deals: DataFrame | None =
     deals = account_deals(spark, folder) if deals is None else deals
     months = month_spine(deals.drop("deal_value"), "close_date", ACCOUNT_AS_OF, ACCOUNT_MONTH_CAP)
     earned = (
-        read_table(spark, folder, "orders")
+        star(spark, folder, "orders")
         .groupBy(F.col("o_custkey").cast("string").alias("account_id"), dates.month_period(_day("o_orderdate")).alias("month"))
         .agg(F.rint(_sum_money(_cents(F.col("o_totalprice")))).alias("monthly_revenue"))
     )
@@ -188,7 +193,7 @@ def metric_series(spark: SparkSession, folder: str) -> DataFrame:
     """Day × event type, with a planted outlier, a planted step and planted nulls."""
     day = F.col("ts").cast("date")
     series = (
-        read_table(spark, folder, "events")
+        star(spark, folder, "events")
         .groupBy(day.alias("date"), F.col("event_type").alias("metric"))
         .agg(F.count("*").alias("events"), _sum_money(_cents(F.col("value"))).alias("revenue"))
     )
