@@ -14,7 +14,7 @@ from tidemark.sources import bridge
 
 _CUTOFF = dt.date(1995, 10, 1)
 # Boosting rounds of the registered model queries; the operators default to the full 400 and 300.
-_ROUNDS = 40
+_ROUNDS = 20
 
 
 def _summary(spark, folder):
