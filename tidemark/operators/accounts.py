@@ -135,7 +135,10 @@ def churn_score(accounts: DataFrame, cutoff: dt.date = C.CHURN_TRAIN_BEFORE, rou
 
 
 def growth_score(accounts: DataFrame, max_distinct: int | None = None) -> DataFrame:
-    """Add growth_score (percentile of mom_growth_3m in the industry, 0–100) and growth_tier."""
+    """Add growth_score (percentile of mom_growth_3m in the industry, 0–100) and growth_tier.
+
+    Reads `accounts` twice: pin a derived table first.
+    """
     ranked = pct_rank_avg(accounts, "mom_growth_3m", "industry", max_distinct)
     scored = ranked.withColumn("growth_score", round_to(F.col("pct_rank") * 100, 1)).drop("pct_rank")
     return scored.withColumn("growth_tier", scalars.growth_tier(F.col("growth_score"))).select(
@@ -149,8 +152,8 @@ def with_action(accounts: DataFrame) -> DataFrame:
 
 
 def score_accounts(accounts: DataFrame, cutoff: dt.date = C.CHURN_TRAIN_BEFORE, rounds: int = 400, max_distinct: int | None = None) -> DataFrame:
-    """Churn, growth and action for every account of a summary table."""
-    return with_action(growth_score(churn_score(accounts, cutoff, rounds), max_distinct))
+    """Churn, growth and action for every account of a summary table. The trees score once."""
+    return with_action(growth_score(pin(churn_score(accounts, cutoff, rounds)), max_distinct))
 
 
 def portfolio_kpis(scored: DataFrame) -> DataFrame:

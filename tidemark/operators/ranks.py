@@ -48,7 +48,10 @@ def running_counts(df: DataFrame, value: str, keys=(), max_distinct: int | None
 
 
 def pct_rank_avg(df: DataFrame, value: str, cohort, max_distinct: int | None = None) -> DataFrame:
-    """Add `pct_rank`: mean rank of equal values over the cohort's non-null count, in (0, 1]."""
+    """Add `pct_rank`: mean rank of equal values over the cohort's non-null count, in (0, 1].
+
+    Reads `df` twice: pin a derived table first.
+    """
     cohort = [cohort] if isinstance(cohort, str) else list(cohort)
     counts = running_counts(df, value, cohort, max_distinct)
     ranks = counts.select(

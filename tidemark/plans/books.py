@@ -10,6 +10,7 @@ from tidemark.functions.scalars import round_to
 from tidemark.operators import accounts, filters, funnel, ranks
 from tidemark.plans.registry import query
 from tidemark.plans.views import over
+from tidemark.session import pin
 from tidemark.sources import bridge
 
 _CUTOFF = dt.date(1995, 10, 1)
@@ -31,7 +32,7 @@ def _with_risk(spark, folder):
 
 
 def _scored(spark, folder):
-    return accounts.with_action(accounts.growth_score(_with_risk(spark, folder), accounts.GROWTH_VALUES))
+    return accounts.with_action(accounts.growth_score(pin(_with_risk(spark, folder)), accounts.GROWTH_VALUES))
 
 
 @query("account_revenue", over("account_revenue", "SELECT account_id, month, months_since_close, monthly_revenue FROM account_revenue"))
@@ -66,13 +67,13 @@ def _(spark, folder):
 
 @query("pct_rank_avg", over("growth_ranks", "SELECT account_id, round_even(pct_rank, 8) AS pct_rank FROM growth_ranks"))
 def _(spark, folder):
-    ranked = ranks.pct_rank_avg(_summary(spark, folder), "mom_growth_3m", "industry")
+    ranked = ranks.pct_rank_avg(pin(_summary(spark, folder)), "mom_growth_3m", "industry")
     return ranked.select("account_id", round_to("pct_rank", 8).alias("pct_rank"))
 
 
 @query("growth_score", over("scored_accounts", "SELECT account_id, growth_score, growth_tier FROM scored_accounts"))
 def _(spark, folder):
-    scored = accounts.growth_score(_summary(spark, folder), accounts.GROWTH_VALUES)
+    scored = accounts.growth_score(pin(_summary(spark, folder)), accounts.GROWTH_VALUES)
     return scored.select("account_id", "growth_score", "growth_tier")
 
 

@@ -350,8 +350,10 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    by_channel = bridge.media_spend(spark, folder).groupBy("channel").agg(
-        F.sum("spend").alias("spend"), F.sum("incremental_revenue").alias("revenue")
+    by_channel = pin(
+        bridge.media_spend(spark, folder).groupBy("channel").agg(
+            F.sum("spend").alias("spend"), F.sum("incremental_revenue").alias("revenue")
+        )
     )
     third = round_to(F.col("spend") * 0.3, 2)
     moved = F.when(F.col("channel") == "ECONOMY", third).when(F.col("channel") == "SMALL", -third)

@@ -12,6 +12,7 @@ from tidemark.operators import buckets, forecast, metrics, mix
 from tidemark.plans.books import _ROUNDS
 from tidemark.plans.registry import query
 from tidemark.plans.views import over
+from tidemark.session import pin
 from tidemark.sources import bridge
 
 # The last channel has no rows, as a channel without spend.
@@ -93,7 +94,7 @@ _TRAIN_END = "(SELECT min(week_start) + CAST(floor((max(week_start) - min(week_s
     ),
 )
 def _(spark, folder):
-    marked = buckets.chrono_split(_features(spark, folder), "week_start")
+    marked = buckets.chrono_split(pin(_features(spark, folder)), "week_start")
     scaled = mix.standardize(marked, _COLUMNS, F.col("split") == "train")
     return scaled.select("week_start", *[round_to(c, 6).alias(c) for c in _COLUMNS])
 
@@ -112,7 +113,7 @@ _PAIRS = [(a, b) for i, a in enumerate([*_COLUMNS, "total_revenue"]) for b in [*
     ),
 )
 def _(spark, folder):
-    gram = mix.feature_gram(_features(spark, folder), _COLUMNS, "total_revenue")
+    gram = pin(mix.feature_gram(_features(spark, folder), _COLUMNS, "total_revenue"))
     spread = gram.filter(F.col("a") == F.col("b"))
     va = spread.select("a", (F.col("cross") / F.col("n")).alias("va"))
     vb = spread.select("b", (F.col("cross") / F.col("n")).alias("vb"))
@@ -145,7 +146,7 @@ def _(spark, folder):
 
 @query("mix_weights")
 def _(spark, folder):
-    marked = buckets.chrono_split(_features(spark, folder), "week_start")
+    marked = buckets.chrono_split(pin(_features(spark, folder)), "week_start")
     train = marked.filter(F.col("split") == "train")
     fit = mix.nonneg_ridge(train, _COLUMNS, "total_revenue")
     values = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(w).alias("weight")) for c, w in fit.weights.items()])
@@ -187,7 +188,7 @@ def _warning_sql(limit, mape_text, r2_text):
 
 
 def _graded(spark, folder, warning):
-    found = _quality(spark, folder)
+    found = pin(_quality(spark, folder))
     worse = found.select(F.concat("category", F.lit(" x 10")).alias("category"), (F.col("mape") * 10).alias("mape"), "rmse", "r2")
     return found.unionByName(worse).select("category", warning(F.col("mape"), F.col("r2")).alias("warning"))
 

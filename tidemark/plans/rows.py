@@ -293,11 +293,15 @@ def _(spark, folder):
 
 @query(
     "first_entries",
-    """SELECT o_custkey, position, entry FROM (SELECT o_custkey, o_orderkey AS entry,
-         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position FROM orders) WHERE position <= 3""",
+    over(
+        "metric_series",
+        """SELECT metric, position, entry FROM (SELECT metric, date AS entry,
+             row_number() OVER (PARTITION BY metric ORDER BY events DESC, date) AS position FROM metric_series) WHERE position <= 3""",
+    ),
 )
 def _(spark, folder):
-    months = F.sort_array(F.collect_set("o_orderkey")).alias("orders")
-    listed = bridge.star(spark, folder, "orders").groupBy("o_custkey").agg(months)
-    found = reports.first_entries(listed, "orders", 3, ["o_custkey"])
-    return found.withColumn("position", F.col("position").cast("long"))
+    """The busiest days of each metric, out of a list with one entry per day."""
+    days = F.array_sort(F.collect_list(F.struct((-F.col("events")).alias("down"), "date")))
+    listed = bridge.metric_series(spark, folder).groupBy("metric").agg(days.alias("days"))
+    found = reports.first_entries(listed, "days", 3, ["metric"])
+    return found.select("metric", F.col("position").cast("long").alias("position"), F.col("entry.date").alias("entry"))
