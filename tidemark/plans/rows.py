@@ -2,12 +2,12 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tidemark import constants as C
 from tidemark.functions import dates, scalars
 from tidemark.functions.scalars import round_to
-from tidemark.operators import accounts, buckets, filters, ranks, reports
+from tidemark.operators import accounts, filters, ranks, reports
 from tidemark.operators.filters import FilterParams
 from tidemark.plans.registry import query
 from tidemark.plans.views import over
@@ -16,8 +16,6 @@ from tidemark.sources import bridge, ingest, tables
 
 @query("read_table", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def _(spark, folder):
-    from pyspark.sql import types as T
-
     schema = T.StructType(
         [T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()),
          T.StructField("o_totalprice", T.DoubleType())]
@@ -277,8 +275,6 @@ def _(spark, folder):
               CASE WHEN event_type = 'error' THEN 'no ' || props END AS raw_response FROM events""",
 )
 def _(spark, folder):
-    from pyspark.sql import types as T
-
     props, kind = F.col("props"), F.col("event_type")
     text = (
         F.when(kind == "error", F.concat(F.lit("no "), props))
