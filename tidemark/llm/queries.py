@@ -1,11 +1,18 @@
 """The registered queries of this subpackage, and their SQL where SQL can state them."""
 
-from tidemark.llm import quality
+from tidemark.llm import decontam, linededup, pieces, pii, quality, secrets, toxicity
 from tidemark.llm.common import read
 
 QUERIES = {
+    "op2_pii": pii.query,
+    "op5_toxicity": toxicity.query,
     "op6_quality_rules": lambda spark, folder: quality.digest(read(spark, folder, "documents")),
+    "op7_line_dedup": linededup.query,
+    "op8_secret_scans": secrets.query,
+    "op9_decontamination": decontam.query,
+    "op10_sentencepiece": pieces.query,
 }
 ORACLES = {
     "op6_quality_rules": quality.SQL,
+    "op9_decontamination": decontam.SQL,
 }
