@@ -36,7 +36,7 @@ from tidemark.session import pin
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, BLOCK = 32_768, 128
-CACHED_UNITS, BATCH_CODES = 200_000, 200_000
+CACHED_UNITS, BATCH_CODES = 300_000, 200_000
 MARK, OWN_MARK = "▁", "\U0010ffff"  # the mark, and what stands for it where a text itself has it
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NEVER = -1e8
@@ -56,10 +56,13 @@ class Pieces:
         self.bytes = {int(self.text[i][3:5], 16): i for i in ids if model.is_byte(i)}
         special = {i for i in ids if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         self.unknown = model.unk_id()
-        usable = [i for i in ids if i not in special and model.get_score(i) > _NEVER and OWN_MARK not in self.text[i]]
-        self.longest = max(len(self.text[i]) for i in usable)
         self.scores = np.array([model.get_score(i) for i in ids])
-        self.fallback = float(self.scores[usable].min()) - 10
+        usable = [i for i in ids if i not in special and OWN_MARK not in self.text[i]]
+        self.fallback = float(min(self.scores[i] for i in usable if self.scores[i] > _NEVER)) - 10
+        # A single character stays a piece whatever its score.
+        self.scores = np.where(self.scores > _NEVER, self.scores, self.fallback)
+        usable = [i for i in usable if model.get_score(i) > _NEVER or len(self.text[i]) == 1]
+        self.longest = max(len(self.text[i]) for i in usable)
         if any(MARK in self.text[i].lstrip(MARK) for i in usable):
             raise ValueError("a piece has the space mark inside, so units are not independent")
         codes, at = codes_of("".join(self.text[i] for i in usable)), np.cumsum([0] + [len(self.text[i]) for i in usable])
@@ -69,28 +72,31 @@ class Pieces:
         slot = (self.keys >> _SLOT).astype(np.int64)
         self.slots = np.zeros(1 << 21, np.bool_)
         self.slots[slot] = True
-        self.decoded = [bytes([b]) for b in range(256)]
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        # Bytes are written as Python's escapes of undecodable bytes, and decoded together at the end.
+        self.plain = [t.replace(MARK, " ") for t in self.text]
+        for b, i in self.bytes.items():
+            self.plain[i] = chr(b) if b < 128 else chr(0xDC00 + b)
 
-    def lookups(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def lookups(self, codes: np.ndarray, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each length and start: the piece there (-1 if none) and its score; lengths in the first axis.
 
         A single character always has a score: the fallback's, and id -2, if it is no piece.
+        `room` says how many characters may be used from each start.
         """
         n = len(codes)
         ids = np.full((self.longest, n), -1, np.int32)
         scores = np.full((self.longest, n), _LOW)
         sums = prefix_sums(code_values(codes))
         for k in range(1, min(self.longest, n) + 1):
-            start = np.arange(n - k + 1)
+            start = np.arange(n - k + 1) if room is None else np.flatnonzero(room[: n - k + 1] >= k)
             h = stretch_hashes(sums, start, start + k)
             maybe = np.flatnonzero(self.slots[(h >> _SLOT).astype(np.int64)])
             at = np.searchsorted(self.keys, h[maybe])
             at[at == len(self.keys)] = 0
             hit = self.keys[at] == h[maybe]
             found = self.ids[at[hit]]
-            ids[k - 1, maybe[hit]] = found
-            scores[k - 1, maybe[hit]] = self.scores[found]
+            ids[k - 1, start[maybe[hit]]] = found
+            scores[k - 1, start[maybe[hit]]] = self.scores[found]
         none = ids[0] < 0
         ids[0, none], scores[0, none] = -2, self.fallback
         return ids, scores
@@ -109,18 +115,8 @@ class Pieces:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "surrogatepass"))
-                raw.clear()
-            out.append(self.text[i].replace(MARK, " "))
-        if raw:
-            out.append(raw.decode("utf-8", "surrogatepass"))
-        return "".join(out)[1:]
+        text = "".join(map(self.plain.__getitem__, ids))[1:]
+        return text if text.isascii() else text.encode("utf-8", "surrogateescape").decode("utf-8")
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -148,36 +144,43 @@ def solve_units(pieces: Pieces, units: list[str]) -> list[list[int]]:
         part = order[at:end]
         at = end
         text = "".join(units[i] for i in part)
-        ids, scores = pieces.lookups(codes_of(text))
         size = np.array([len(units[i]) for i in part])
         first = np.cumsum(size) - size
+        room = np.repeat(first + size, size) - np.arange(len(text))
+        ids, scores = pieces.lookups(codes_of(text), room)
         node = first + np.arange(len(part))  # a unit has one node more than characters
         best = np.full(len(text) + len(part), _LOW)
         back = np.zeros(len(best), np.int32)
         best[node] = 0.0
         for t in range(1, int(size[0]) + 1 if len(size) else 0):
             n = int(np.searchsorted(-size, -t, "right"))
-            top, length = np.full(n, -np.inf), np.zeros(n, np.int32)
-            for k in range(1, min(t, pieces.longest) + 1):
+            top, length = best[node[:n] + t - 1] + scores[0, first[:n] + t - 1], np.ones(n, np.int32)
+            for k in range(2, min(t, pieces.longest) + 1):
                 value = best[node[:n] + t - k] + scores[k - 1, first[:n] + t - k]
-                better = value >= top
-                top, length = np.where(better, value, top), np.where(better, k, length)
+                better = np.flatnonzero(value >= top)
+                top[better], length[better] = value[better], k
             best[node[:n] + t], back[node[:n] + t] = top, length
-        paths: list[list[int]] = []
-        for u, i in enumerate(part):
-            t, cuts = int(size[u]), []
-            b = back[node[u] : node[u] + t + 1].tolist()
-            while t:
-                cuts.append(t - b[t])
-                t -= b[t]
-            paths.append(cuts[::-1])
-        flat = np.array([first[u] + c for u, p in enumerate(paths) for c in p], np.int64)
-        lens = np.array([e - c for u, p in enumerate(paths) for c, e in zip(p, [*p[1:], int(size[u])])], np.int64)
-        found = ids[lens - 1, flat]
-        a = 0
-        for u, p in enumerate(paths):
-            out[part[u]] = pieces.written(found[a : a + len(p)], text, flat[a : a + len(p)])
-            a += len(p)
+        unit, at_end, cuts = np.arange(len(part)), size.copy(), []
+        while len(unit):
+            k = back[node[unit] + at_end]
+            at_end = at_end - k
+            cuts.append((unit, at_end, k))
+            unit, at_end = unit[at_end > 0], at_end[at_end > 0]
+        if not cuts:
+            continue
+        unit, start, length = (np.concatenate(x) for x in zip(*cuts))
+        flat = first[unit] + start
+        order_flat = np.argsort(flat)
+        flat, length, unit = flat[order_flat], length[order_flat], unit[order_flat]
+        found = ids[length - 1, flat]
+        ends = np.cumsum(np.bincount(unit, minlength=len(part))).tolist()
+        plain, a = found.tolist(), 0
+        for u, e in enumerate(ends):
+            out[part[u]] = plain[a:e]
+            a = e
+        for u in np.unique(unit[found < 0]).tolist():
+            a = ends[u - 1] if u else 0
+            out[part[u]] = pieces.written(found[a : ends[u]], text, flat[a : ends[u]])
     return out
 
 

@@ -1,10 +1,12 @@
 """The registered queries of this subpackage, and their SQL where SQL can state them."""
 
-from tidemark.llm import decontam, linededup, pieces, pii, quality, secrets, toxicity
+from tidemark.llm import decontam, html, jaccard, linededup, pieces, pii, quality, secrets, toxicity
 from tidemark.llm.common import read
 
 QUERIES = {
     "op2_pii": pii.query,
+    "op3_jaccard_join": jaccard.query,
+    "op4_html_text": html.query,
     "op5_toxicity": toxicity.query,
     "op6_quality_rules": lambda spark, folder: quality.digest(read(spark, folder, "documents")),
     "op7_line_dedup": linededup.query,
@@ -13,6 +15,7 @@ QUERIES = {
     "op10_sentencepiece": pieces.query,
 }
 ORACLES = {
+    "op3_jaccard_join": jaccard.SQL,
     "op6_quality_rules": quality.SQL,
     "op9_decontamination": decontam.SQL,
 }

@@ -20,15 +20,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.llm.common import prefix_sums, read, slices, stretch_hashes, texts_of
 from tidemark.session import pin
 
 # Parameters of the method.
-SAMPLE, TRAIN_CHARS = 2000, 12_000
+SAMPLE, TRAIN_CHARS = 1500, 8_000
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, GRAM_ROWS, DIM, HIDDEN = 8192, 4096, 16, 8
-EPOCHS, BATCH, RATE = 6, 256, 0.01
+EPOCHS, BAG_EPOCHS, BATCH_BYTES, RATE, DECAY = 2, 2, 1 << 15, 0.01, 1e-4
 EMPTY_SCORE = 0.0
 
 _LETTER = np.ones(256, bool)
@@ -143,6 +144,7 @@ class Network:
         g["att"] = np.einsum("tbk,tbh->kh", states, d_keys)
         d_states = d_states + d_keys @ p["att"].T
         d_gates = np.zeros_like(gates)
+        d_steps = np.zeros((*index.shape, 6 * h), np.float32)
         for d in (0, 1):
             carry = np.zeros((len(start), h), np.float32)
             rec = p[f"rec{d}"]
@@ -156,7 +158,8 @@ class Network:
                 g[f"rec{d}"] += now.T @ d_u
                 carry = dh * z + d_u @ rec.T
                 d_g = np.concatenate([d_z, d_r, d_n], axis=1)
-                np.add.at(d_gates, (index[t], slice(3 * h * d, 3 * h * (d + 1))), d_g)
+                d_steps[t, :, 3 * h * d : 3 * h * (d + 1)] = d_g
+        np.add.at(d_gates, index.ravel(), d_steps.reshape(-1, 6 * h))
         d_gates = d_gates[:-1]
         g["in"], g["bias"] = x.T @ d_gates, d_gates.sum(axis=0)
         d_x = d_gates @ p["in"].T
@@ -167,16 +170,17 @@ class Network:
 
 
 class Adam:
-    def __init__(self, p: dict):
+    def __init__(self, p: dict, rate: float = RATE):
+        self.rate = rate
         self.m, self.v, self.t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
 
     def step(self, p: dict, g: dict) -> None:
         self.t += 1
-        fix = np.float32(RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
+        fix = np.float32(self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for k in p:
             self.m[k] += 0.1 * (g[k] - self.m[k])
             self.v[k] += 0.001 * (g[k] * g[k] - self.v[k])
-            p[k] -= fix * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
+            p[k] -= fix * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8)) + np.float32(self.rate * DECAY) * p[k]
 
 
 def best_windows(net: Network, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,41 +205,47 @@ def calibrate(best: np.ndarray, count: np.ndarray, toxic: np.ndarray) -> np.ndar
     return w
 
 
-def train(texts: list[str], toxic: list[int]) -> Network | None:
-    """A network fitted to whole texts with 0/1 labels; None unless both occur."""
+def train(texts: list[str], toxic: list[int], prior: float | None = None) -> Network | None:
+    """A network fitted to whole texts with 0/1 labels; None unless both occur.
+
+    `prior` is the share of toxic rows where the texts come from, if the sample has another one.
+    """
     if len(set(toxic)) < 2:
         return None
     rng, net = np.random.default_rng(5), Network()
     order = rng.permutation(len(texts))
-    held = [Words(d, o) for _, _, d, o in slices(pa.array([texts[i] for i in order], pa.string()), 1 << 17)]
-    marks = np.array([toxic[i] for i in order], float)
-    runs, at = [], 0
-    for words in held:
-        n = len(words.first) - 1
-        runs.append((words, marks[at : at + n]))
-        at += n
-    adam, share = Adam(net.p), max(0.02, marks.mean())
-    for epoch in range(EPOCHS):
+    cut = len(texts) - len(texts) // 5
+    runs = _runs([texts[i] for i in order[:cut]], [toxic[i] for i in order[:cut]])
+    adam, share = Adam(net.p), max(0.02, float(np.mean(toxic)))
+    for epoch in range(EPOCHS + BAG_EPOCHS):
         for i in rng.permutation(len(runs)):
             words, mark = runs[i]
             start, size, text = words.windows()
             if not len(start):
                 continue
             target, weigh = mark[text], np.ones(len(text))
-            if epoch >= 2:
+            if epoch >= EPOCHS:
                 best, _, logits = best_windows(net, words)
                 weigh = np.where((target == 0) | (logits >= best[text] - 1e-6), 1.0, 0.0)
-            weigh = weigh * np.where(target > 0, 0.5 / share, 1.0)
-            for chunk in np.array_split(rng.permutation(len(start)), -(-len(start) // BATCH)):
-                g, _ = net.gradients(words, start[chunk], size[chunk], target[chunk], weigh[chunk])
-                adam.step(net.p, g)
-    found = [best_windows(net, w)[:2] for w, _ in runs]
+            g, _ = net.gradients(words, start, size, target, weigh * np.where(target > 0, 0.5 / share, 1.0))
+            adam.step(net.p, g)
+    # The calibration takes texts that the weights have not seen.
+    unseen = _runs([texts[i] for i in order[cut:]], [toxic[i] for i in order[cut:]]) or runs
+    found = [best_windows(net, w)[:2] for w, _ in unseen]
     best, count = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     used = count > 0
-    net.calibration = calibrate(best[used], count[used], marks[used])
+    net.calibration = calibrate(best[used], count[used], np.concatenate([m for _, m in unseen])[used])
+    odds = np.mean(toxic)
+    if prior is not None:
+        net.calibration[2] += np.log(prior / (1 - prior)) - np.log(odds / (1 - odds))
     return net
 
 
+def _runs(texts: list[str], toxic: list[int]) -> list[tuple[Words, np.ndarray]]:
+    marks = np.array(toxic, float)
+    return [(Words(d, o), marks[a:e]) for a, e, d, o in slices(pa.array(texts, pa.string()), BATCH_BYTES)]
+
+
 def scores(net: Network | None, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.full(len(offsets) - 1, EMPTY_SCORE)
     if net is None:
@@ -260,36 +270,33 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
         ids = known.filter(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE)
         own = texts_of(docs).join(F.broadcast(ids), "doc_id").filter((F.length("text") > 0) & (F.length("text") <= TRAIN_CHARS))
         rows += own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id", "text", "toxic").collect()
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    prior = counts.get(1, 0) / max(1, sum(counts.values()))
+    return train([r["text"] for r in rows], [r["toxic"] for r in rows], prior)
 
 
-def score(docs: DataFrame, net: Network | None, *keep: str) -> DataFrame:
-    """(doc_id, keep…, score) for every document."""
+def score(docs: DataFrame, net: Network | None) -> DataFrame:
+    """All columns of docs, and _score."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of weights, under 1 MB
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             parts = [scores(shared.value, d, o) for _, _, d, o in slices(batch.column("text"))]
             found = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
-            names = [n for n in batch.schema.names if n != "text" or "text" in keep]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), found], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_score"])
 
-    frame = texts_of(docs, *[k for k in keep if k != "text"])
-    kinds = dict(frame.dtypes)
-    names = [n for n in frame.columns if n != "text" or "text" in keep]
-    return frame.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
 
 
 def query(spark, folder: str) -> DataFrame:
-    docs = read(spark, folder, "documents")
-    found = score(docs, fit(docs, read(spark, folder, "labels")))
-    return found.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    kept = score(docs, fit(docs, read(spark, folder, "labels")))
+    return kept.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
     )
 
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that are not toxic."""
-    net = fit(docs, read(spark, folder, "labels"))
-    bad = pin(score(docs, net).filter("score >= 0.5 AND doc_id IS NOT NULL").select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return score(docs, fit(docs, read(spark, folder, "labels"))).filter("_score < 0.5").drop("_score")
