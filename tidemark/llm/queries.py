@@ -1,9 +1,10 @@
 """The registered queries of this subpackage, and their SQL where SQL can state them."""
 
-from tidemark.llm import decontam, html, jaccard, linededup, pieces, pii, quality, secrets, toxicity
+from tidemark.llm import decontam, html, jaccard, linededup, pieces, pii, quality, secrets, substrings, toxicity
 from tidemark.llm.common import read
 
 QUERIES = {
+    "op1_substring_dedup": substrings.query,
     "op2_pii": pii.query,
     "op3_jaccard_join": jaccard.query,
     "op4_html_text": html.query,
