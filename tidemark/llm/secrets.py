@@ -34,9 +34,6 @@ GATE = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[A-Za-z0-9+/_=-]{16}"
 # Parameters of the method.
 SAMPLE, ALPHA, MARGIN = 400, 0.05, 1.0
 
-_END = "$"
-
-
 def _class(c: str) -> str:
     if "0" <= c <= "9":
         return "d"
@@ -110,8 +107,7 @@ class Automaton:
 
     def merge(self) -> "Automaton":
         """Red and blue states: a blue state merges into the first compatible red one, or turns red."""
-        red, at = [0], 0
-        seen = {0}
+        red, seen = [0], {0}
         while True:
             blue = next(((p, c, to[0]) for p in red for c, to in sorted(self.step[p].items()) if to[0] not in seen), None)
             if blue is None:
@@ -124,7 +120,16 @@ class Automaton:
             else:
                 self.step[p][c][0] = into
                 self.fold(into, q)
-            at += 1
+
+    def states(self) -> set[int]:
+        """The states that are left, from the start."""
+        found, stack = {0}, [0]
+        while stack:
+            for to, _ in self.step[stack.pop()].values():
+                if to not in found:
+                    found.add(to)
+                    stack.append(to)
+        return found
 
     def bits(self, word: str) -> float:
         """log2 likelihood per symbol, with one count shared by the seven outcomes of a state."""

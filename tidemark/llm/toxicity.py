@@ -29,7 +29,7 @@ from tidemark.session import pin
 SAMPLE, TRAIN_CHARS = 1500, 8_000
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, GRAM_ROWS, DIM, HIDDEN = 8192, 4096, 16, 8
-EPOCHS, BAG_EPOCHS, BATCH_BYTES, RATE, DECAY = 2, 2, 1 << 15, 0.01, 1e-4
+EPOCHS, BAG_EPOCHS, BATCH_BYTES, RATE, DECAY, LEAST_UPDATES = 2, 2, 1 << 15, 0.01, 1e-4, 120
 EMPTY_SCORE = 0.0
 
 _LETTER = np.ones(256, bool)
@@ -217,14 +217,16 @@ def train(texts: list[str], toxic: list[int], prior: float | None = None) -> Net
     cut = len(texts) - len(texts) // 5
     runs = _runs([texts[i] for i in order[:cut]], [toxic[i] for i in order[:cut]])
     adam, share = Adam(net.p), max(0.02, float(np.mean(toxic)))
-    for epoch in range(EPOCHS + BAG_EPOCHS):
+    # A small sample is read again, so that the weights get enough updates.
+    again = max(1, -(-LEAST_UPDATES // (EPOCHS * max(1, len(runs)))))
+    for epoch in range((EPOCHS + BAG_EPOCHS) * again):
         for i in rng.permutation(len(runs)):
             words, mark = runs[i]
             start, size, text = words.windows()
             if not len(start):
                 continue
             target, weigh = mark[text], np.ones(len(text))
-            if epoch >= EPOCHS:
+            if epoch >= EPOCHS * again:
                 best, _, logits = best_windows(net, words)
                 weigh = np.where((target == 0) | (logits >= best[text] - 1e-6), 1.0, 0.0)
             g, _ = net.gradients(words, start, size, target, weigh * np.where(target > 0, 0.5 / share, 1.0))
