@@ -49,6 +49,7 @@ def test_month_spine_starts_after_the_close_and_is_capped(spark):
     spine = buckets.month_spine(deals, "close", D(2024, 12, 31), 24)
     found = {r["id"]: (r["n"], r["lo"], r["hi"]) for r in spine.groupBy("id").agg(F.max("months_since_close").alias("n"), F.min("month").alias("lo"), F.max("month").alias("hi")).collect()}
     assert found == {"a": (11, D(2024, 2, 1), D(2024, 12, 1)), "c": (24, D(2020, 6, 1), D(2022, 5, 1))}
+    assert buckets.month_spine(deals, "close", D(2024, 12, 31)).filter("id = 'c'").count() == 55
 
 
 def test_week_spine_holds_mondays(spark):

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture
 def no_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     for name in names:
         spark.conf.set(name, "-1")
@@ -45,3 +45,15 @@ def test_a_hot_period_is_aggregated_before_it_moves(spark):
     df = spark.range(50_000).select(F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id")).alias("week"), F.lit(2.0).alias("x"))
     found = S.share_of_total(df, "x", "week", 8).filter("week = 0").agg(F.sum("share"), F.count("*")).first()
     assert found[1] == 35_000 and found[0] == pytest.approx(1.0, abs=1e-3)
+
+
+def test_a_wide_lookup_is_measured_by_its_bytes(spark):
+    wide = session.pin(spark.range(200).select("id", F.repeat(F.lit("x"), 100_000).alias("note")))
+    assert session.pinned_bytes(wide) > 20_000_000
+    assert session.broadcast_if_small(wide) is wide
+    small = session.pin(spark.range(5))
+    assert session.broadcast_if_small(small) is not small
+
+
+def test_pinned_tables_are_removed(spark):
+    assert spark.conf.get("spark.cleaner.referenceTracking.cleanCheckpoints") == "true"

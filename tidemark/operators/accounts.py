@@ -22,9 +22,8 @@ CHURN_NUMBERS = (
     "revenue_volatility", "deal_value", "months_active",
 )
 CHURN_CATEGORIES = ("industry", "deal_size_band")
-
-# mom_growth_3m is clipped to [-0.5, 1] and has 4 decimals in the account summary.
-GROWTH_VALUES = 15_001
+# Bytes of features that a partition of the training table holds; every boosting round reads it.
+_TRAIN_BYTES = 32 << 20
 
 
 def _months_back(as_of: dt.date, months: int) -> dt.date:
@@ -89,11 +88,14 @@ def account_summary(monthly: DataFrame, deals: DataFrame, as_of: dt.date) -> Dat
 
 
 def one_hot(columns) -> list:
-    """Stages that turn text columns into one indicator per value; unseen values get none of them."""
+    """Stages that turn text columns into one indicator per fitted value; other values and nulls get zeros.
+
+    The indexer puts what it has not seen behind the fitted labels, and the encoder drops that place.
+    """
     indexer = StringIndexer(inputCols=list(columns), outputCols=[f"{c}_index" for c in columns], handleInvalid="keep")
     encoder = OneHotEncoder(
         inputCols=[f"{c}_index" for c in columns], outputCols=[f"{c}_flags" for c in columns],
-        dropLast=False, handleInvalid="keep",
+        dropLast=True, handleInvalid="error",
     )
     return [indexer, encoder]
 
@@ -103,6 +105,13 @@ def feature_stages(numbers=CHURN_NUMBERS, categories=CHURN_CATEGORIES) -> Pipeli
     return Pipeline(stages=[*one_hot(categories), assembler])
 
 
+def packed(vectors: DataFrame) -> DataFrame:
+    """A training table in as few partitions as its bytes need: each of many short rounds reads it."""
+    vectors = pin(vectors)
+    size = vectors.agg(F.coalesce(F.sum(F.size(vector_to_array("features"))), F.lit(0))).first()[0] * 8
+    return vectors.coalesce(max(1, -(-size // _TRAIN_BYTES)))
+
+
 def class_weight(accounts: DataFrame, label: str = "is_churned") -> DataFrame:
     """Weight of a positive row: negatives over positives, 1 without positives."""
     positives, negatives = F.count_if(F.col(label) == 1), F.count_if(F.col(label) != 1)
@@ -123,8 +132,9 @@ def churn_score(accounts: DataFrame, cutoff: dt.date = C.CHURN_TRAIN_BEFORE, rou
         "features", F.col("is_churned").cast("double").alias("label"),
         F.when(F.col("is_churned") == 1, F.lit(float(weight))).otherwise(F.lit(1.0)).alias("weight"),
     )
+    weighted = packed(weighted)
     trees = GBTClassifier(
-        maxIter=rounds, maxDepth=3, stepSize=0.04, subsamplingRate=0.8, featureSubsetStrategy="0.8",
+        cacheNodeIds=True, checkpointInterval=10, maxIter=rounds, maxDepth=3, stepSize=0.04, subsamplingRate=0.8, featureSubsetStrategy="0.8",
         minInstancesPerNode=3, seed=42, weightCol="weight",
     ).fit(weighted)
     scored = trees.transform(stages.transform(filled))
@@ -134,12 +144,12 @@ def churn_score(accounts: DataFrame, cutoff: dt.date = C.CHURN_TRAIN_BEFORE, rou
     ).withColumn("risk_tier", scalars.risk_tier(F.col("churn_probability")))
 
 
-def growth_score(accounts: DataFrame, max_distinct: int | None = None) -> DataFrame:
+def growth_score(accounts: DataFrame) -> DataFrame:
     """Add growth_score (percentile of mom_growth_3m in the industry, 0–100) and growth_tier.
 
     Reads `accounts` twice: pin a derived table first.
     """
-    ranked = pct_rank_avg(accounts, "mom_growth_3m", "industry", max_distinct)
+    ranked = pct_rank_avg(accounts, "mom_growth_3m", "industry")
     scored = ranked.withColumn("growth_score", round_to(F.col("pct_rank") * 100, 1)).drop("pct_rank")
     return scored.withColumn("growth_tier", scalars.growth_tier(F.col("growth_score"))).select(
         *accounts.columns, "growth_score", "growth_tier"
@@ -151,9 +161,9 @@ def with_action(accounts: DataFrame) -> DataFrame:
     return accounts.withColumn("recommended_action", action)
 
 
-def score_accounts(accounts: DataFrame, cutoff: dt.date = C.CHURN_TRAIN_BEFORE, rounds: int = 400, max_distinct: int | None = None) -> DataFrame:
+def score_accounts(accounts: DataFrame, cutoff: dt.date = C.CHURN_TRAIN_BEFORE, rounds: int = 400) -> DataFrame:
     """Churn, growth and action for every account of a summary table. The trees score once."""
-    return with_action(growth_score(pin(churn_score(accounts, cutoff, rounds)), max_distinct))
+    return with_action(growth_score(pin(churn_score(accounts, cutoff, rounds))))
 
 
 def portfolio_kpis(scored: DataFrame) -> DataFrame:

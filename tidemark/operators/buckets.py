@@ -56,10 +56,12 @@ def bucket(df: DataFrame, date_col: str, granularity: str, value: str, keys=())
     return fill_gaps(totals, "period", [value], granularity, keys)
 
 
-def month_spine(df: DataFrame, close_col: str, end: dt.date, cap: int = 24) -> DataFrame:
-    """One row per month start after the close up to `end`, at most `cap` months, numbered from 1."""
+def month_spine(df: DataFrame, close_col: str, end: dt.date, cap: int | None = None) -> DataFrame:
+    """One row per month start after the close up to `end`, numbered from 1; `cap` limits the months."""
     first = F.add_months(F.trunc(close_col, "MM"), 1)
-    months = F.slice(F.sequence(first, F.lit(end), F.expr("interval 1 month")), 1, cap)
+    months = F.sequence(first, F.lit(end), F.expr("interval 1 month"))
+    if cap is not None:
+        months = F.slice(months, 1, cap)
     return (
         df.filter(first <= F.lit(end))
         .select("*", F.posexplode(months).alias("_at", "month"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tidemark import constants as C
 from tidemark.functions.dates import calendar_features
 from tidemark.functions.scalars import forecast_warning
+from tidemark.operators.accounts import packed
 from tidemark.operators.buckets import chrono_split, horizon_spine
 from tidemark.operators.metrics import regression_metrics
 from tidemark.session import pin
@@ -105,10 +106,11 @@ def forecast_trees(
     vectors = pin(
         VectorAssembler(inputCols=names, outputCol="features").transform(ready).select(*rows.columns, "features")
     )
+    train = packed(vectors.filter((F.col("split") == "train") & F.col("actual").isNotNull()).select("features", "actual"))
     trees = GBTRegressor(
-        labelCol="actual", predictionCol="yhat", maxIter=rounds, stepSize=rate, maxDepth=depth,
+        cacheNodeIds=True, checkpointInterval=10, labelCol="actual", predictionCol="yhat", maxIter=rounds, stepSize=rate, maxDepth=depth,
         subsamplingRate=sample, featureSubsetStrategy=str(sample), seed=seed,
-    ).fit(vectors.filter((F.col("split") == "train") & F.col("actual").isNotNull()))
+    ).fit(train)
     return prediction_interval(trees.transform(vectors).drop("features"), keys=keys)
 
 

@@ -14,13 +14,16 @@ from tidemark.functions.dates import week_harmonics
 from tidemark.functions.scalars import mix_warning, round_to, saturate
 from tidemark.operators.buckets import chrono_split, period_totals
 from tidemark.operators.metrics import regression_metrics
-from tidemark.operators.series import adstock, trend_index
+from tidemark.operators.series import trend_index, with_adstock
 from tidemark.session import pin
 
 
 def pivot_spend(media: DataFrame, channels=C.MEDIA_CHANNELS, date_col: str = "week_start") -> DataFrame:
-    """Weeks down, channels across; a cell without rows is null."""
-    rows = media.filter(F.col(date_col).isNotNull())
+    """Weeks down, channels across; a cell without rows is null. Spend of an unlisted channel is an error."""
+    unlisted = F.raise_error(F.concat(F.lit("channel not in the list: "), F.coalesce(F.col("channel"), F.lit("null"))))
+    known = F.col("channel").isin(*channels)
+    spend = F.when(known | F.coalesce(F.col("spend") == 0, F.lit(True)), F.col("spend")).otherwise(unlisted.cast("double"))
+    rows = media.filter(F.col(date_col).isNotNull()).withColumn("spend", spend)
     return rows.groupBy(date_col).pivot("channel", list(channels)).agg(F.sum("spend"))
 
 
@@ -43,7 +46,8 @@ def mix_features(
 ) -> DataFrame:
     """One row per week: the transformed spend of each channel, season, trend and sales."""
     wide = mix_input(media, sales, channels, date_col, sales_col)
-    terms = {feature_name(c): saturate(adstock(f"`{c}`", date_col, decay), k) for c in channels}
+    wide = with_adstock(wide, {feature_name(c): c for c in channels}, date_col, decay)
+    terms = {feature_name(c): saturate(F.col(f"`{feature_name(c)}`"), k) for c in channels}
     terms.update(week_harmonics(F.col(date_col)))
     terms["trend"] = trend_index(date_col)
     return wide.withColumns(terms).select(date_col, *[F.col(f"`{f}`") for f in feature_columns(channels)], sales_col)
@@ -83,7 +87,10 @@ def feature_gram(df: DataFrame, columns, target: str) -> DataFrame:
 
 
 def solve_nonneg_ridge(gram: np.ndarray, moment: np.ndarray, alpha: float = 1.0, sweeps: int = 100_000) -> np.ndarray:
-    """min w'Gw − 2m'w + α|w|² with w ≥ 0, by cyclic coordinate descent on the k × k sums."""
+    """min w'Gw − 2m'w + α|w|² with w ≥ 0, by cyclic coordinate descent on the k × k sums.
+
+    Raises if the sweeps end before the weights settle.
+    """
     w = np.zeros(len(moment))
     scale = max(float(np.abs(moment).max(initial=0.0)), 1.0)
     for _ in range(sweeps):
@@ -94,8 +101,8 @@ def solve_nonneg_ridge(gram: np.ndarray, moment: np.ndarray, alpha: float = 1.0,
             change = max(change, abs(new - w[j]) * curve)
             w[j] = new
         if change <= 1e-13 * scale:
-            break
-    return w
+            return w
+    raise RuntimeError(f"the ridge weights have not settled after {sweeps} sweeps")
 
 
 @dataclass(frozen=True)

@@ -7,29 +7,17 @@ No task sees more than its own range, however large or skewed a group is.
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.session import pin
+from tidemark.session import lookup_join, pin
 
 
-def running_counts(df: DataFrame, value: str, keys=(), max_distinct: int | None = None) -> DataFrame:
-    """Per (keys, value): `n` equal values, `below` smaller ones and `total` in the group.
-
-    `max_distinct` states a known bound on the distinct values of a group; with one, plain
-    windows over the counts are enough.
-    """
+def running_counts(df: DataFrame, value: str, keys=()) -> DataFrame:
+    """Per (keys, value): `n` equal values, `below` smaller ones and `total` in the group."""
     keys = list(keys)
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count("*").alias("n"))
     )
-    if max_distinct is not None and max_distinct <= 1_000_000:
-        ordered = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        return counts.withColumns(
-            {
-                "below": F.sum("n").over(ordered) - F.col("n"),
-                "total": F.sum("n").over(Window.partitionBy(*keys)),
-            }
-        )
     # The partition number must be the same in both uses below, hence the pin.
     ranges = pin(counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()))
     sums = ranges.groupBy(*keys, "_range").agg(F.sum("n").alias("_n"))
@@ -47,18 +35,18 @@ def running_counts(df: DataFrame, value: str, keys=(), max_distinct: int | None
     )
 
 
-def pct_rank_avg(df: DataFrame, value: str, cohort, max_distinct: int | None = None) -> DataFrame:
+def pct_rank_avg(df: DataFrame, value: str, cohort) -> DataFrame:
     """Add `pct_rank`: mean rank of equal values over the cohort's non-null count, in (0, 1].
 
     Reads `df` twice: pin a derived table first.
     """
     cohort = [cohort] if isinstance(cohort, str) else list(cohort)
-    counts = running_counts(df, value, cohort, max_distinct)
+    counts = running_counts(df, value, cohort)
     ranks = counts.select(
         *cohort, value,
         ((F.col("below") + (F.col("n") + 1) / 2) / F.col("total")).alias("pct_rank"),
     )
-    return df.join(ranks, [*cohort, value], "left")
+    return lookup_join(df, ranks, [*cohort, value])
 
 
 def exact_quantiles(df: DataFrame, value: str, probs, keys=()) -> DataFrame:
@@ -89,7 +77,8 @@ def exact_quantiles(df: DataFrame, value: str, probs, keys=()) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    """Long table (statistic, value): count, mean, std, min, quartiles, max."""
+    """Long table (statistic, value): count, mean, std, min, quartiles, max. Computes `df` once."""
+    df = pin(df.select(column))
     moments = df.agg(
         F.count(column).cast("double").alias("count"),
         F.avg(column).alias("mean"),

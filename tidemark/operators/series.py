@@ -6,7 +6,8 @@ bounded by the calendar. Aggregate raw rows with `buckets.period_totals` first.
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.scalars import round_to, safe_ratio
 from tidemark.session import lookup_join
@@ -41,21 +42,27 @@ def ffill(x: str, order: str, keys=()) -> Column:
     return F.last(x, ignorenulls=True).over(_ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def adstock_depth(decay: float) -> int:
-    """Rows after which the carried share is below double precision."""
+def with_adstock(df: DataFrame, terms: dict[str, str], order: str, decay: float, keys=()) -> DataFrame:
+    """Add columns that carry a share of each row on to the next: a[t] = x[t] + decay · a[t−1].
+
+    `terms` maps a new column to its x. A series is one calendar, so it is gathered whole and
+    walked once, without a cut. Nulls count as 0.
+    """
     if not 0 <= decay < 1:
         raise ValueError("the decay must be in [0, 1)")
-    return 0 if decay == 0 else math.ceil(math.log(1e-16) / math.log(decay))
-
 
-def adstock(x: str, order: str, decay: float, keys=()) -> Column:
-    """Carry a share of each row on to the next: a[t] = x[t] + decay · a[t−1], in row order.
-
-    The frame stops where the carried share falls below double precision. Nulls count as 0.
-    """
-    frame = _ordered(keys, order).rowsBetween(-adstock_depth(decay), 0)
-    values = F.collect_list(F.coalesce(F.col(x).cast("double"), F.lit(0.0))).over(frame)
-    return F.aggregate(values, F.lit(0.0), lambda carried, v: carried * F.lit(float(decay)) + v)
+    def carry(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        for name, x in terms.items():
+            carried, out = 0.0, []
+            for v in table.column(x).to_pylist():
+                carried = float(v or 0.0) + decay * carried
+                out.append(carried)
+            table = table.append_column(name, pa.array(out, pa.float64()))
+        return table.drop_columns(["_all"])
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in terms]])
+    return df.withColumn("_all", F.lit(0)).groupBy("_all", *keys).applyInArrow(carry, schema)
 
 
 def trend_index(order: str, keys=()) -> Column:

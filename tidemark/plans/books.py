@@ -14,13 +14,11 @@ from tidemark.session import pin
 from tidemark.sources import bridge
 
 _CUTOFF = dt.date(1995, 10, 1)
-# Boosting rounds of the registered model queries; the operators default to the full 400 and 300.
-_ROUNDS = 20
 
 
 def _summary(spark, folder):
-    deals = bridge.account_deals(spark, folder)
-    return accounts.account_summary(bridge.account_revenue(spark, folder, deals), deals, bridge.ACCOUNT_AS_OF)
+    deals = pin(bridge.account_deals(spark, folder))
+    return accounts.account_summary(bridge.account_revenue(spark, folder, deals), deals, bridge.account_as_of(spark, folder))
 
 
 def _with_risk(spark, folder):
@@ -32,7 +30,7 @@ def _with_risk(spark, folder):
 
 
 def _scored(spark, folder):
-    return accounts.with_action(accounts.growth_score(pin(_with_risk(spark, folder)), accounts.GROWTH_VALUES))
+    return accounts.with_action(accounts.growth_score(pin(_with_risk(spark, folder))))
 
 
 @query("account_revenue", over("account_revenue", "SELECT account_id, month, months_since_close, monthly_revenue FROM account_revenue"))
@@ -73,7 +71,7 @@ def _(spark, folder):
 
 @query("growth_score", over("scored_accounts", "SELECT account_id, growth_score, growth_tier FROM scored_accounts"))
 def _(spark, folder):
-    scored = accounts.growth_score(pin(_summary(spark, folder)), accounts.GROWTH_VALUES)
+    scored = accounts.growth_score(pin(_summary(spark, folder)))
     return scored.select("account_id", "growth_score", "growth_tier")
 
 
@@ -128,35 +126,56 @@ def _(spark, folder):
     "one_hot",
     over(
         "account_summary",
-        """SELECT account_id, CAST(names[1] = industry AS DOUBLE) AS flag_1, CAST(names[2] = industry AS DOUBLE) AS flag_2,
-                  CAST(names[3] = industry AS DOUBLE) AS flag_3, CAST(names[4] = industry AS DOUBLE) AS flag_4,
-                  CAST(names[5] = industry AS DOUBLE) AS flag_5
-           FROM account_summary, (SELECT list(industry ORDER BY n DESC, industry) AS names FROM (SELECT industry, count(*) AS n FROM account_summary GROUP BY 1))""",
+        """SELECT account_id, category, CAST(category = industry AS DOUBLE) AS flag
+           FROM account_summary CROSS JOIN (SELECT DISTINCT industry AS category FROM account_summary)""",
     ),
 )
 def _(spark, folder):
-    rows = _summary(spark, folder).select("account_id", "industry")
+    """A row per account and fitted category."""
+    rows = pin(_summary(spark, folder).select("account_id", "industry"))
     indexer, encoder = accounts.one_hot(["industry"])
-    indexed = indexer.fit(rows).transform(rows)
+    labels = indexer.fit(rows)
+    indexed = labels.transform(rows)
     encoded = encoder.fit(indexed).transform(indexed)
-    flags = vector_to_array("industry_flags")
-    return encoded.select("account_id", *[flags[i].alias(f"flag_{i + 1}") for i in range(5)])
+    names = F.array(*[F.lit(x) for x in labels.labelsArray[0]])
+    flags = F.arrays_zip(names.alias("category"), vector_to_array("industry_flags").alias("flag"))
+    return encoded.select("account_id", F.inline(flags).alias("category", "flag"))
 
 
-@query("align_features")
+_EARLY = "close_date < DATE '1995-10-01'"
+_FEATURES = " UNION ALL ".join(
+    f"SELECT account_id, CAST({i} AS BIGINT) AS position, round_even(coalesce(CAST({c} AS DOUBLE), 0), 6) + 0.0 AS value FROM account_summary"
+    for i, c in enumerate(accounts.CHURN_NUMBERS)
+)
+
+
+def _flags_sql(column, before):
+    return f"""SELECT account_id, {before} + place - 1 AS position, CAST({column} = name AS DOUBLE) AS value FROM account_summary CROSS JOIN (
+        SELECT {column} AS name, row_number() OVER (ORDER BY count(*) DESC, {column}) AS place FROM account_summary WHERE {_EARLY} GROUP BY 1)"""
+
+
+@query(
+    "align_features",
+    over(
+        "account_summary",
+        f"""{_FEATURES} UNION ALL {_flags_sql("industry", len(accounts.CHURN_NUMBERS))} UNION ALL {_flags_sql(
+            "deal_size_band", f"{len(accounts.CHURN_NUMBERS)} + (SELECT count(DISTINCT industry) FROM account_summary WHERE {_EARLY})")}""",
+    ),
+)
 def _(spark, folder):
-    """Feature vectors of all accounts in the columns that the early accounts defined."""
-    rows = _summary(spark, folder).fillna(0.0, list(accounts.CHURN_NUMBERS))
+    """Feature vectors of all accounts in the columns that the early accounts defined, a row per place."""
+    rows = pin(_summary(spark, folder).fillna(0.0, list(accounts.CHURN_NUMBERS)))
     stages = accounts.feature_stages().fit(rows.filter(F.col("close_date") < F.lit(_CUTOFF)))
-    return stages.transform(rows).select("account_id", vector_to_array("features").alias("features"))
+    placed = stages.transform(rows).select("account_id", F.posexplode(vector_to_array("features")).alias("position", "value"))
+    return placed.select("account_id", F.col("position").cast("long").alias("position"), round_to("value", 6).alias("value"))
 
 
 @query("churn_score")
 def _(spark, folder):
-    scored = accounts.churn_score(_summary(spark, folder), _CUTOFF, _ROUNDS)
+    scored = accounts.churn_score(_summary(spark, folder), _CUTOFF)
     return scored.select("account_id", "is_churned", "churn_probability", "risk_tier")
 
 
 @query("score_accounts")
 def _(spark, folder):
-    return accounts.score_accounts(_summary(spark, folder), _CUTOFF, _ROUNDS, accounts.GROWTH_VALUES)
+    return accounts.score_accounts(_summary(spark, folder), _CUTOFF)

@@ -10,7 +10,6 @@ from tidemark.functions import scalars
 from tidemark.functions.scalars import round_to
 from tidemark.operators import buckets, forecast, metrics, mix
 from tidemark.operators.series import mean_of_previous
-from tidemark.plans.books import _ROUNDS
 from tidemark.plans.registry import query
 from tidemark.plans.views import over
 from tidemark.session import pin
@@ -242,7 +241,7 @@ def _seasonal(spark, folder):
 
 def _trees(spark, folder):
     return forecast.run_forecast(
-        _daily(spark, folder), "date", "revenue", "trees", 90, keys=["channel"], rounds=_ROUNDS
+        _daily(spark, folder), "date", "revenue", "trees", 90, keys=["channel"]
     )
 
 
@@ -258,18 +257,31 @@ def _(spark, folder):
 
 @query(
     "actual_vs_predicted",
+    over(
+        "offline_sales",
+        """SELECT category, week_start AS date, round_even(x, 2) AS actual, round_even(p, 4) AS predicted FROM naive WHERE split = 'test'""",
+        **_VIEWS,
+    ),
+)
+def _(spark, folder):
+    """The test slice of a model that SQL can state."""
+    named = _naive(spark, folder).select("category", F.col("week_start").alias("date"), "split", F.col("x").alias("actual"), F.col("p").alias("yhat"))
+    tested = forecast.actual_vs_predicted(named, ["category"])
+    return tested.select("category", "date", round_to("actual", 2).alias("actual"), round_to("predicted", 4).alias("predicted"))
+
+
+@query(
+    "forecast_rows",
     over(
         "online_sales",
-        """SELECT channel, date, round_even(revenue, 2) AS actual FROM (
-             SELECT *, min(date) OVER (PARTITION BY channel) AS lo, max(date) OVER (PARTITION BY channel) AS hi
-             FROM (SELECT channel, date, sum(revenue) AS revenue FROM online_sales GROUP BY 1, 2))
-           WHERE date > lo + CAST(floor((hi - lo) * 0.85::DOUBLE) AS INT)""",
+        """SELECT channel, CAST(hi + CAST(i AS INT) AS DATE) AS date, true AS ordered FROM (SELECT channel, max(date) AS hi FROM online_sales GROUP BY 1),
+           unnest(range(1, 91)) t(i)""",
     ),
 )
 def _(spark, folder):
-    """The test slice; its predictions are checked by properties in the tests."""
-    tested = _seasonal(spark, folder).actual_vs_predicted
-    return tested.filter(F.col("predicted").isNotNull()).select("channel", "date", round_to("actual", 2).alias("actual"))
+    """The rows of a fitted forecast: every series, every date of the horizon, and a band around each value."""
+    ordered = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    return _seasonal(spark, folder).forecast.select("channel", "date", ordered.alias("ordered"))
 
 
 @query("forecast_weekly_single")

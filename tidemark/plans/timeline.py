@@ -54,11 +54,11 @@ def _(spark, folder):
 
 @query(
     "ffill",
-    over("metric_series", "SELECT metric, date, round_even(last_value(revenue IGNORE NULLS) OVER (PARTITION BY metric ORDER BY date ROWS UNBOUNDED PRECEDING), 2) AS revenue FROM metric_series"),
+    over("metric_facts", "SELECT metric, date, round_even(last_value(revenue IGNORE NULLS) OVER (PARTITION BY metric ORDER BY date ROWS UNBOUNDED PRECEDING), 2) AS revenue FROM metric_facts"),
 )
 def _(spark, folder):
     filled = S.ffill("revenue", "date", ["metric"])
-    return bridge.metric_series(spark, folder).select("metric", "date", round_to(filled, 2).alias("revenue"))
+    return bridge.metric_facts(spark, folder).select("metric", "date", round_to(filled, 2).alias("revenue"))
 
 
 def _adstock_sql(decay: float) -> str:
@@ -75,8 +75,9 @@ def _adstock_sql(decay: float) -> str:
 
 
 def _adstock(spark, folder, decay):
-    carried = S.adstock("spend", "week_start", decay, ["channel"])
-    return bridge.media_spend(spark, folder).select("channel", "week_start", round_to(carried, 4).alias("adstocked"))
+    spend = bridge.media_spend(spark, folder).select("channel", "week_start", "spend")
+    carried = S.with_adstock(spend, {"adstocked": "spend"}, "week_start", decay, ["channel"])
+    return carried.select("channel", "week_start", round_to("adstocked", 4).alias("adstocked"))
 
 
 @query("adstock", _adstock_sql(0.4))
@@ -103,21 +104,21 @@ def _(spark, folder):
 @query(
     "recent_vs_history",
     over(
-        "metric_series",
+        "metric_facts",
         """SELECT metric, date AS period, recent, historical_avg, round_even((historical_avg - recent) / greatest(historical_avg, 1), 4) AS drop_pct
            FROM (SELECT metric, date, CAST(events AS DOUBLE) AS recent, avg(events) OVER (PARTITION BY metric ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS historical_avg,
-                        row_number() OVER (PARTITION BY metric ORDER BY date DESC) AS back FROM metric_series) WHERE back = 1""",
+                        row_number() OVER (PARTITION BY metric ORDER BY date DESC) AS back FROM metric_facts) WHERE back = 1""",
     ),
 )
 def _(spark, folder):
-    found = S.recent_vs_history(bridge.metric_series(spark, folder), "events", "date", 4, ["metric"])
+    found = S.recent_vs_history(bridge.metric_facts(spark, folder), "events", "date", 4, ["metric"])
     return found.withColumn("drop_pct", round_to("drop_pct", 4))
 
 
-@query("month_number", over("account_months", "SELECT account_id, month, months_since_close FROM account_months WHERE months_since_close <= 24"))
+@query("month_number", over("account_months", "SELECT account_id, month, months_since_close FROM account_months"))
 def _(spark, folder):
     deals = bridge.account_deals(spark, folder)
-    months = buckets.month_spine(deals, "close_date", bridge.ACCOUNT_AS_OF)
+    months = buckets.month_spine(deals, "close_date", bridge.account_as_of(spark, folder))
     return months.select("account_id", "month", "months_since_close")
 
 
@@ -127,15 +128,13 @@ def _(spark, folder):
         "online_sales",
         "SELECT channel, period, round_even(coalesce(v, 0), 2) AS revenue FROM s LEFT JOIN t USING (channel, period)",
         t="""SELECT channel, CAST(date_trunc('week', date - INTERVAL 1 DAY) + INTERVAL 7 DAY AS DATE) AS period, sum(revenue) AS v
-             FROM online_sales WHERE date >= DATE '2001-01-01' OR (channel = '2-HIGH' AND date <= DATE '1995-02-01') GROUP BY 1, 2""",
+             FROM online_sales GROUP BY 1, 2""",
         s="SELECT channel, CAST(unnest(generate_series(min(period), max(period), INTERVAL 7 DAY)) AS DATE) AS period FROM t GROUP BY channel",
     ),
 )
 def _(spark, folder):
     online = bridge.online_sales(spark, folder, ("channel",))
-    late = F.col("date") >= F.to_date(F.lit("2001-01-01"))
-    early = (F.col("channel") == "2-HIGH") & (F.col("date") <= F.to_date(F.lit("1995-02-01")))
-    found = buckets.bucket(online.filter(late | early), "date", "weekly", "revenue", ["channel"])
+    found = buckets.bucket(online, "date", "weekly", "revenue", ["channel"])
     return found.withColumn("revenue", round_to("revenue", 2))
 
 
@@ -183,10 +182,10 @@ def _(spark, folder):
 
 @query(
     "month_spine",
-    over("account_months", "SELECT account_id, count(*) AS months, min(month) AS first_month, max(month) AS last_month FROM account_months WHERE months_since_close <= 24 GROUP BY 1"),
+    over("account_months", "SELECT account_id, count(*) AS months, min(month) AS first_month, max(month) AS last_month FROM account_months GROUP BY 1"),
 )
 def _(spark, folder):
-    months = buckets.month_spine(bridge.account_deals(spark, folder), "close_date", bridge.ACCOUNT_AS_OF, 24)
+    months = buckets.month_spine(bridge.account_deals(spark, folder), "close_date", bridge.account_as_of(spark, folder))
     return months.groupBy("account_id").agg(
         F.count("*").alias("months"), F.min("month").alias("first_month"), F.max("month").alias("last_month")
     )
@@ -255,14 +254,14 @@ def _(spark, folder):
 @query(
     "split_summary",
     over(
-        "metric_series",
+        "metric_facts",
         "SELECT metric, split, count(*) AS rows, min(date) AS first_date, max(date) AS last_date FROM m GROUP BY 1, 2",
-        cuts=_CUTS.format(k="metric,", d="date", t="metric_series", g="GROUP BY metric"),
-        m=f"SELECT metric, date, {_LABEL.format(d='date')} FROM metric_series JOIN cuts USING (metric)",
+        cuts=_CUTS.format(k="metric,", d="date", t="metric_facts", g="GROUP BY metric"),
+        m=f"SELECT metric, date, {_LABEL.format(d='date')} FROM metric_facts JOIN cuts USING (metric)",
     ),
 )
 def _(spark, folder):
-    marked = buckets.chrono_split(bridge.metric_series(spark, folder), "date", keys=["metric"])
+    marked = buckets.chrono_split(bridge.metric_facts(spark, folder), "date", keys=["metric"])
     return buckets.split_summary(marked, "date", ["metric"])
 
 

@@ -62,24 +62,25 @@ _VIEWS = {
         SELECT account_id, industry, lead_source, deal_size_band, close_date, CAST(m AS DATE) AS month,
                row_number() OVER (PARTITION BY account_id ORDER BY m) AS months_since_close
         FROM account_deals, LATERAL (SELECT unnest(generate_series(date_trunc('month', close_date) + INTERVAL 1 MONTH,
-             TIMESTAMP '2001-07-31', INTERVAL 1 MONTH)) AS m)""",
+             CAST((SELECT last_day(max(o_orderdate)) FROM orders) AS TIMESTAMP), INTERVAL 1 MONTH)) AS m)""",
+    "as_of": """SELECT last_day(max(o_orderdate)) AS d, CAST(date_trunc('month', d) - INTERVAL 2 MONTH AS DATE) AS last3,
+        CAST(date_trunc('month', d) - INTERVAL 5 MONTH AS DATE) AS prev3 FROM orders""",
     "account_revenue": """
         SELECT s.*, coalesce(monthly_revenue, 0) AS monthly_revenue FROM account_months s LEFT JOIN (
             SELECT CAST(o_custkey AS VARCHAR) AS account_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
                    round_even(sum(round(o_totalprice * 100)) / 100, 0) AS monthly_revenue
-            FROM orders GROUP BY 1, 2) e ON s.account_id = e.account_id AND s.month = e.month
-        WHERE months_since_close <= 120""",
+            FROM orders GROUP BY 1, 2) e ON s.account_id = e.account_id AND s.month = e.month""",
     "account_figures": """
         SELECT account_id, count(*) FILTER (WHERE monthly_revenue > 0) AS months_active, sum(monthly_revenue) AS total,
                coalesce(avg(monthly_revenue) FILTER (WHERE monthly_revenue > 0), 0) AS mean,
-               coalesce(avg(monthly_revenue) FILTER (WHERE month >= DATE '2001-05-01'), 0) AS last3,
-               coalesce(avg(monthly_revenue) FILTER (WHERE month >= DATE '2001-02-01' AND month < DATE '2001-05-01'), 0) AS prev3,
-               CASE WHEN count(*) FILTER (WHERE month >= DATE '2001-02-01') >= 2 THEN regr_slope(monthly_revenue, months_since_close) FILTER (WHERE month >= DATE '2001-02-01') ELSE 0 END AS slope,
+               coalesce(avg(monthly_revenue) FILTER (WHERE month >= a.last3), 0) AS last3,
+               coalesce(avg(monthly_revenue) FILTER (WHERE month >= a.prev3 AND month < a.last3), 0) AS prev3,
+               CASE WHEN count(*) FILTER (WHERE month >= a.prev3) >= 2 THEN regr_slope(monthly_revenue, months_since_close) FILTER (WHERE month >= a.prev3) ELSE 0 END AS slope,
                coalesce(max(month) FILTER (WHERE monthly_revenue > 0), min(month)) AS last_order,
                coalesce(stddev_samp(monthly_revenue) FILTER (WHERE monthly_revenue > 0), 0) AS spread,
-               CAST(count(*) FILTER (WHERE month >= DATE '2001-05-01') = 3
-                    AND sum(monthly_revenue) FILTER (WHERE month >= DATE '2001-05-01') = 0 AS BIGINT) AS is_churned
-        FROM account_revenue GROUP BY account_id""",
+               CAST(count(*) FILTER (WHERE month >= a.last3) = 3
+                    AND sum(monthly_revenue) FILTER (WHERE month >= a.last3) = 0 AS BIGINT) AS is_churned
+        FROM account_revenue CROSS JOIN as_of a GROUP BY account_id""",
     "account_summary": """
         SELECT account_id, industry, lead_source, deal_size_band, close_date, deal_value, months_active,
                round_even(total, 2) AS total_revenue, round_even(mean, 2) AS avg_monthly_revenue,
@@ -87,9 +88,9 @@ _VIEWS = {
                round_even(slope, 4) + 0.0 AS revenue_trend_slope,
                CASE WHEN prev3 > 0 THEN round_even(least(greatest((last3 - prev3) / prev3, -0.5), 1.0), 4) + 0.0
                     ELSE 0.0 END AS mom_growth_3m,
-               CAST(round_even(date_diff('day', last_order, DATE '2001-07-31') / 30.44::DOUBLE, 0) AS BIGINT) AS months_since_last_order,
+               CAST(round_even(date_diff('day', last_order, (SELECT d FROM as_of)) / 30.44::DOUBLE, 0) AS BIGINT) AS months_since_last_order,
                round_even(spread, 2) AS revenue_volatility, is_churned,
-               CAST(round_even(date_diff('day', close_date, DATE '2001-07-31') / 30.44::DOUBLE, 0) AS BIGINT) AS months_since_close
+               CAST(round_even(date_diff('day', close_date, (SELECT d FROM as_of)) / 30.44::DOUBLE, 0) AS BIGINT) AS months_since_close
         FROM account_figures JOIN account_deals USING (account_id)""",
     "scored_risk": """
         SELECT *, CASE WHEN is_churned = 1 THEN 1.0 ELSE round_even(least(months_since_last_order / 12, 1.0), 4) END
@@ -132,7 +133,7 @@ _NEEDS = {
     "crm_funnel": ["contact_flags"],
     "account_months": ["account_deals"],
     "account_revenue": ["account_months"],
-    "account_figures": ["account_revenue"],
+    "account_figures": ["account_revenue", "as_of"],
     "account_summary": ["account_figures", "account_deals"],
     "scored_risk": ["account_summary"],
     "growth_ranks": ["account_summary"],

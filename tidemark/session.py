@@ -1,12 +1,14 @@
 """Session settings and lineage cuts."""
 
+import atexit
+import shutil
 import tempfile
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Rows up to which a lookup table is broadcast; a row of a key and a few numbers is below 200 bytes.
-BROADCAST_ROWS = 1_000_000
+# Bytes of values up to which a pinned table is broadcast; executors hold a few times as much.
+BROADCAST_BYTES = 16 << 20
 
 
 def build_session(app_name: str = "tidemark", master: str | None = None, **conf) -> SparkSession:
@@ -22,6 +24,8 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Pinned tables go from the shared folder once nothing refers to them.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Call sites per column expression are a debugging aid that slows the building of wide plans.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
@@ -42,7 +46,9 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         context.setCheckpointDir(shared)
     elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        context.setCheckpointDir(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
@@ -64,12 +70,26 @@ def pin_all(*frames: DataFrame) -> list[DataFrame]:
         return list(pool.map(pin, frames))
 
 
+def pinned_bytes(df: DataFrame) -> int:
+    """Bytes of a pinned table's values, measured by one aggregate."""
+    width = F.lit(8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(f"`{name}`"), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(f"`{name}`"))), F.lit(0))
+    return int(df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0])
+
+
+def broadcast_if_small(pinned: DataFrame) -> DataFrame:
+    """Ask for a broadcast of a pinned table only if it has been measured to be small."""
+    return F.broadcast(pinned) if pinned_bytes(pinned) <= BROADCAST_BYTES else pinned
+
+
 def lookup_join(df: DataFrame, lookup: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join a small lookup to a big table.
+    """Join a lookup to a big table.
 
-    The lookup is computed once and counted. Up to BROADCAST_ROWS rows it is broadcast, so the
-    big table is not shuffled; a larger one is joined by key and AQE splits its hot keys.
+    The lookup is computed once and measured. A small one is broadcast, so the big table is not
+    shuffled; a larger one is joined by key and AQE splits its hot keys.
     """
-    lookup = pin(lookup)
-    small = lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(lookup) if small else lookup, on, how)
+    return df.join(broadcast_if_small(pin(lookup)), on, how)

@@ -15,8 +15,6 @@ from tidemark.schemas import STAR
 from tidemark.sources.tables import read_table
 
 CHANNELS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
-ACCOUNT_AS_OF = dt.date(2001, 7, 31)
-ACCOUNT_MONTH_CAP = 120
 
 
 def star(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -177,10 +175,16 @@ def account_deals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def account_as_of(spark: SparkSession, folder: str) -> dt.date:
+    """The end of the month of the latest order (today for no orders)."""
+    last = star(spark, folder, "orders").agg(F.last_day(F.max(_day("o_orderdate"))).alias("d")).first()["d"]
+    return last or dt.date.today()
+
+
 def account_revenue(spark: SparkSession, folder: str, deals: DataFrame | None = None) -> DataFrame:
     """Account × month after the close in whole units of money, silent months at 0."""
     deals = account_deals(spark, folder) if deals is None else deals
-    months = month_spine(deals.drop("deal_value"), "close_date", ACCOUNT_AS_OF, ACCOUNT_MONTH_CAP)
+    months = month_spine(deals.drop("deal_value"), "close_date", account_as_of(spark, folder))
     earned = (
         star(spark, folder, "orders")
         .groupBy(F.col("o_custkey").cast("string").alias("account_id"), dates.month_period(_day("o_orderdate")).alias("month"))
@@ -189,14 +193,18 @@ def account_revenue(spark: SparkSession, folder: str, deals: DataFrame | None =
     return months.join(earned, ["account_id", "month"], "left").fillna(0.0, ["monthly_revenue"])
 
 
-def metric_series(spark: SparkSession, folder: str) -> DataFrame:
-    """Day × event type, with a planted outlier, a planted step and planted nulls."""
+def metric_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Day × event type."""
     day = F.col("ts").cast("date")
-    series = (
+    return (
         star(spark, folder, "events")
         .groupBy(day.alias("date"), F.col("event_type").alias("metric"))
         .agg(F.count("*").alias("events"), _sum_money(_cents(F.col("value"))).alias("revenue"))
     )
+
+
+def metric_series(spark: SparkSession, folder: str) -> DataFrame:
+    """metric_facts with a planted outlier, a planted step and planted nulls, for the alert queries."""
     kind, dom = F.col("metric"), F.dayofmonth("date")
     planted = (
         F.when((kind == "error") & (dom == 15), F.col("revenue") * 10)
@@ -204,4 +212,4 @@ def metric_series(spark: SparkSession, folder: str) -> DataFrame:
         .when((kind == "signup") & dom.between(5, 9), F.lit(None))
         .otherwise(F.col("revenue"))
     )
-    return series.withColumn("revenue", planted)
+    return metric_facts(spark, folder).withColumn("revenue", planted)
