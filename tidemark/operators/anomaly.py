@@ -1,15 +1,21 @@
 """Anomaly alerts on series.
 
-The columns to check are unpivoted, so one shuffle serves every column, check and series. The
-windows cover one column of one series each, with one row per date: bounded by the calendar.
+The columns to check are unpivoted, so one shuffle serves every column, check and series. Means,
+deviations and quartiles are aggregates that join back. Only what goes by order uses windows, over
+series with one row per date: bounded by the calendar.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import constants as C
 from tidemark.functions.scalars import round_to, severity_rank
 from tidemark.operators import series as S
-from tidemark.session import pin
+from tidemark.operators.ranks import exact_quantiles
+from tidemark.session import broadcast_if_small, pin
+
 
 def _range(low: Column, high: Column) -> Column:
     return F.struct(low.cast("double").alias("lo"), high.cast("double").alias("hi"))
@@ -60,12 +66,29 @@ def _iso(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd")
 
 
+def _attach(long: DataFrame, figures: DataFrame, group) -> DataFrame:
+    """Put each series' figures next to its rows; a null key is a series of its own."""
+    renamed = pin(figures.withColumnsRenamed({c: f"_of_{c}" for c in group}))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]
+    return long.join(broadcast_if_small(renamed), reduce(and_, same)).drop(*renamed.columns[: len(group)])
+
+
 def _with_zscore(long: DataFrame, keys) -> DataFrame:
+    """Mean and deviation by a partial aggregate, so a raw table is never gathered per column."""
     group = [*keys, "column_name"]
-    whole = Window.partitionBy(*group)
-    return long.withColumns(
-        {"_z": S.zscore("x", group), "_mean": F.avg("x").over(whole), "_std": F.stddev_samp("x").over(whole)}
+    figures = long.groupBy(*group).agg(
+        F.avg("x").alias("_mean"), F.stddev_samp("x").alias("_std"), F.stddev_pop("x").alias("_spread")
     )
+    z = F.when(F.col("_spread") > 0, F.abs(F.col("x") - F.col("_mean")) / F.col("_spread"))
+    return _attach(long, figures, group).withColumn("_z", z).drop("_spread")
+
+
+def _one_per_date(long: DataFrame, keys) -> DataFrame:
+    """The series as they are, pinned; two rows of a series on one date are an error, as their order is open."""
+    group = [*keys, "column_name", "date"]
+    twice = F.raise_error(F.concat(F.lit("several rows of one series on "), F.coalesce(F.col("date").cast("string"), F.lit("null"))))
+    rows = long.groupBy(*group).agg(F.first("x").alias("x"), F.count("*").alias("_n"))
+    return pin(rows.withColumn("x", F.when(F.col("_n") > 1, twice.cast("double")).otherwise(F.col("x"))).drop("_n"))
 
 
 def _zscore_alert(table: str, threshold: float) -> tuple[Column, Column]:
@@ -95,15 +118,16 @@ def zscore_alerts(df: DataFrame, date_col: str, columns, table: str, threshold:
 
 
 def level_shift_alerts(df: DataFrame, date_col: str, columns, table: str, window: int = C.SHIFT_WINDOW, threshold: float = C.SHIFT_WARN, keys=()) -> DataFrame:
-    """Dates where the rolling mean jumps against the row before."""
-    return _raised(_with_shift(_long(df, date_col, columns, keys), window, keys), keys, _shift_alert(table, threshold))
+    """Dates where the rolling mean jumps against the row before. A series has one row per date."""
+    series = _one_per_date(_long(df, date_col, columns, keys), keys)
+    return _raised(_with_shift(series, window, keys), keys, _shift_alert(table, threshold))
 
 
 def iqr_alerts(df: DataFrame, date_col: str, columns, table: str, fence: float = C.IQR_FENCE, keys=()) -> DataFrame:
     """Values outside the interquartile fences of their series (an extension)."""
-    whole = Window.partitionBy(*keys, "column_name")
-    quartiles = F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).over(whole)
-    known = _long(df, date_col, columns, keys).withColumn("_q", quartiles)
+    group, long = [*keys, "column_name"], _long(df, date_col, columns, keys)
+    found = exact_quantiles(long, "x", (0.25, 0.75), group).groupBy(*group).agg(F.sort_array(F.collect_list("quantile")).alias("_q"))
+    known = _attach(long, found, group)
     q1, q3, x, name = F.col("_q")[0], F.col("_q")[1], F.col("x"), F.col("column_name")
     low, high = q1 - (q3 - q1) * fence, q3 + (q3 - q1) * fence
     span = _range(round_to(low, 4), round_to(high, 4))
@@ -118,15 +142,14 @@ def detect_anomalies(
     """Null spikes on every column as loaded; z-scores and level shifts on the listed ones that
     exist, after carrying the last value over nulls. Critical alerts come first.
 
-    The series are pinned, as the null rates and the windows both read them.
+    The null rates are one pass over the table; the series, with one row per date, are pinned.
     """
-    df = pin(df)
     present = [c for c in columns if c in df.columns]
     alerts = null_spike_alerts(df, table, (date_col, *keys))
     alerts = alerts.select(*[F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], *alerts.columns)
     if present:
         filled = S.ffill("x", "date", [*keys, "column_name"])
-        long = _long(df, date_col, present, keys).withColumn("x", filled)
+        long = pin(_one_per_date(_long(df, date_col, present, keys), keys).withColumn("x", filled))
         judged = _with_zscore(_with_shift(long, C.SHIFT_WINDOW, keys), keys)
         odd = _raised(judged, keys, _zscore_alert(table, z_threshold), _shift_alert(table, shift_threshold))
         alerts = alerts.unionByName(odd)
