@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.operators import alerts, anomaly, checks, reports
+from tidemark.operators import alerts, anomaly, checks, metrics, reports
 from tidemark.sources import ingest, layers, sinks, tables
 
 D = dt.date
@@ -113,6 +113,15 @@ def test_alerts_are_appended(warehouse):
     assert stored.filter("check_type = 'zscore' and not passed and column_name = 'revenue'").count() == 1
 
 
+def test_model_metrics_are_appended(warehouse):
+    found = warehouse.createDataFrame([(12.5, 3.0, 0.9)], "mape double, rmse double, r2 double")
+    before = warehouse.table("monitoring.model_metrics").count()
+    for _ in range(2):
+        metrics.write_model_metrics(metrics.model_metric_rows(found, "naive", "1", 20.0, 0.5))
+    rows = warehouse.table("monitoring.model_metrics")
+    assert rows.count() == before + 6 and rows.filter("metric_name = 'mape' AND passed").count() >= 2
+
+
 def test_report_sink_and_records(spark, tmp_path):
     df = spark.createDataFrame([(D(2024, 1, 1), 1, None)], "d date, n int, s string")
     assert sinks.as_records(df).first()["record"] == '{"d":"2024-01-01","n":1,"s":null}'

@@ -108,6 +108,8 @@ def test_seasonal_forecast_of_many_series(daily):
 
 def test_tree_forecast(daily):
     result = forecast.run_forecast(daily, "day", "revenue", "xgboost", 7, keys=["k"], rounds=5)
+    about = result.metrics.select("model", "target", "horizon", F.col("train_end").isNotNull()).distinct().collect()
+    assert [tuple(r) for r in about] == [("xgboost", "revenue", 7, True)]
     check(result, 7, 1, D(2023, 1, 1) + dt.timedelta(899), 2)
     assert result.actual_vs_predicted.groupBy("k").count().count() == 2
 

@@ -19,7 +19,7 @@ from tidemark.functions.scalars import forecast_warning
 from tidemark.operators.accounts import packed
 from tidemark.operators.buckets import chrono_split, horizon_spine
 from tidemark.operators.metrics import regression_metrics
-from tidemark.session import pin
+from tidemark.session import lookup_join, pin
 
 
 def prediction_interval(df: DataFrame, actual: str = "actual", predicted: str = "yhat", keys=()) -> DataFrame:
@@ -127,6 +127,8 @@ def actual_vs_predicted(predicted: DataFrame, keys=()) -> DataFrame:
 
 @dataclass(frozen=True)
 class ForecastResult:
+    """`metrics` has a row per series: its figures on the test slice, model, target, train_end and horizon."""
+
     forecast: DataFrame
     actual_vs_predicted: DataFrame
     metrics: DataFrame
@@ -141,10 +143,15 @@ def run_forecast(
     if model not in _BACKENDS:
         raise ValueError(f"unknown model {model!r}: choose one of {sorted(_BACKENDS)}")
     series = pin(df.select(*keys, F.col(date_col).alias("date"), F.col(target_col).cast("double").alias("actual"), *regressors))
-    marked = chrono_split(series, "date", train, validation, keys).drop("train_end", "validation_end")
+    marked = chrono_split(series, "date", train, validation, keys)
+    ends = marked.groupBy(*keys).agg(F.max("train_end").alias("train_end"))
+    marked = marked.drop("train_end", "validation_end")
     predicted = pin(_BACKENDS[model](marked, horizon, keys, regressors, step_days, **options))
     tested = actual_vs_predicted(predicted, keys)
-    metrics = regression_metrics(tested, "actual", "predicted", keys)
+    metrics = regression_metrics(tested, "actual", "predicted", keys).withColumns(
+        {"model": F.lit(model), "target": F.lit(target_col), "horizon": F.lit(horizon)}
+    )
+    metrics = lookup_join(metrics, ends, list(keys)) if keys else metrics.withColumn("train_end", ends.select("train_end").scalar())
     checked = regression_metrics(predicted.filter(F.col("split") == "validation"), "actual", "yhat", keys)
     return ForecastResult(
         predicted.filter(F.col("split") == "future").select(*keys, "date", "yhat", "yhat_lower", "yhat_upper"),

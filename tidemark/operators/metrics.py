@@ -42,3 +42,9 @@ def model_metric_rows(metrics: DataFrame, model: str, version: str, mape_limit:
         F.expr("uuid()").alias("metric_id"), at.alias("recorded_at"), F.lit(model).alias("model_name"),
         F.lit(version).alias("model_version"), "metric_name", "metric_value", "threshold", "passed",
     )
+
+
+def write_model_metrics(rows: DataFrame, table: str = "monitoring.model_metrics") -> None:
+    """Append rows of model_metric_rows() to the metrics table."""
+    names = rows.sparkSession.table(table).columns
+    rows.select(*names).write.insertInto(table)
