@@ -337,8 +337,10 @@ def main_text(net: Labeller, pages: list[str]) -> list[str]:
 def fit(pages: DataFrame) -> Labeller:
     """A labeller from a bounded sample of pages."""
     own = pages.select("page_id", "html").filter("page_id IS NOT NULL AND length(html) BETWEEN 1 AND 60000")
-    rows = own.orderBy(F.xxhash64("page_id"), "page_id").limit(PAGES).collect()
-    return train([r["html"] for r in rows])
+    # Ids first, so that no task sends PAGES whole pages; PAGES ids at most are broadcast.
+    ids = own.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(PAGES)
+    rows = own.join(F.broadcast(ids), "page_id").dropDuplicates(["page_id"]).collect()
+    return train([r["html"] for r in sorted(rows, key=lambda r: r["page_id"])])
 
 
 def extract(pages: DataFrame, net: Labeller | None = None) -> DataFrame:
