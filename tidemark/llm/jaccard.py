@@ -7,15 +7,17 @@ rows carry the smallest doc_id that is reachable by links.
 
 1. Documents with equal sets are one class, which its smallest doc_id stands for.
 2. All shingles have one order: those found in many documents last, then by hash. Linked sets share
-   one of their first n - ceil(0.85 n) + 1 shingles. Classes that share such a shingle are put into
-   one pool, by an edge from each to the smallest of the shingle: no pairs are made.
-3. A pool is cut into blocks of at most BLOCK sets of close size. A block becomes a signature tree:
+   one of their first p = n - ceil(0.85 n) + 1 shingles, and p // 2 + 1 of their first p + p // 2.
+   Those are dealt to buckets by hash as packed arrays; a class with too few that anyone else has
+   is alone. Of the others, those that share one of the first p shingles are put into one pool,
+   by an edge from each to the smallest of the shingle: no pairs are made.
+3. A pool beyond BLOCK_BYTES is cut into blocks of sets of close size. A block becomes a signature tree:
    nodes hold OR-combined bitmaps of shingles, size ranges and the least number of set bits. Two
    trees are traversed together; a pair of nodes is dropped when even the largest possible overlap
    is too small, or when everything below is linked already. Pairs of sets that are left are compared
    exactly, and only links that join two groups are reported.
-4. Blocks meet each other in pairs, unless the bounds of their roots exclude it or they are one
-   group already. Each block also holds the pool's smallest set, so large families of near
+4. Blocks of one pool meet each other in pairs, unless the bounds of their roots exclude it or they
+   are one group already. Each block also holds the pool's smallest set, so large families of near
    copies are mostly one group before that.
 
 The table of frequent shingles holds those in at least SHARE of all documents, and there can be no
@@ -38,7 +40,7 @@ from tidemark.session import pin
 
 SHINGLE, PERCENT = 4, 85
 SHARE, LEAST_FREQUENT = 0.001, 64
-BLOCK, FAN, BITS = 1500, 16, 2048
+BLOCK_BYTES, FAN, BITS = 96 << 20, 16, 2048
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TOKENS = 3_000_000
@@ -71,79 +73,159 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return hashes, np.searchsorted(owner, np.arange(texts + 1))
 
 
-def _frequent(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles with their documents in this partition, as far as there are four or more."""
+def _survey(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document: its set's size and two sums that name the set. Beside them, in rows
+    without a size, shingles that four or more documents of this partition hold."""
     held, total = [], 0
 
-    def out():
+    def frequent() -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         some = counts >= 4
+        return rows(pa.nulls(int(some.sum()), pa.int64()), None, values[some], counts[some].astype(np.uint64))
+
+    def rows(ids, n, s1, s2) -> pa.RecordBatch:
+        sizes = pa.nulls(len(ids), pa.int64()) if n is None else pa.array(n.astype(np.int64))
         return pa.RecordBatch.from_arrays(
-            [pa.array(values[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], names=["h", "n"]
+            [ids, sizes, pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], names=["doc_id", "n", "s1", "s2"]
         )
 
     for batch in arrow:
-        for _, _, data, offsets in slices(batch.column(0)):
-            hashes, _ = shingle_sets(data, offsets)
+        for at, end, data, offsets in slices(batch.column(1)):
+            hashes, first = shingle_sets(data, offsets)
+            n = np.diff(first)
+            full = np.flatnonzero(n)
+            s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+            if len(full):
+                with np.errstate(over="ignore"):
+                    s1[full] = np.add.reduceat(hashes, first[full])
+                    s2[full] = np.add.reduceat(mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first[full])
+            yield rows(batch.column(0).slice(at, end - at), n, s1, s2)
             held.append(hashes)
             total += len(hashes)
             if total > _TOKENS:
-                yield out()
+                yield frequent()
                 held, total = [], 0
     if held:
-        yield out()
+        yield frequent()
+
+
+def prefix_length(n):
+    """Linked sets share one of so many first shingles; of `extra` more, they share as many more."""
+    return n - -(-PERCENT * n // 100) + 1
+
+
+def extra_length(n):
+    return prefix_length(n) // 2
+
+
+def _ordered(hashes: np.ndarray, first: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's shingles with the frequent ones last: hashes, whether frequent, and places in the text."""
+    n = np.diff(first)
+    owner = np.repeat(np.arange(len(n)), n)
+    rank = np.zeros(len(hashes), bool)
+    if len(late):
+        place = np.searchsorted(late, hashes)
+        place[place == len(late)] = 0
+        rank = late[place] == hashes
+    order = np.lexsort((hashes, rank, owner))
+    return hashes[order], rank[order], np.arange(len(hashes)) - np.repeat(first[:-1], n)
+
+
+def _steps(ids: np.ndarray) -> bytes:
+    return np.diff(ids.astype(np.int64), prepend=0).tobytes()
+
+
+def _unsteps(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.int64))
+
 
+_PACKED = "bucket long, keys binary, docs binary"
+
+
+def _packed_batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "keys", "docs"])
+
+
+def _packed(shared, buckets: int):
+    """First shingles dealt to buckets, as packed arrays: hashes and their documents, as steps.
+
+    Frequent shingles are known to be shared, so they are only counted (`bucket` below 0, and counts
+    in place of the hashes).
+    """
+
+    def row(bucket, keys, docs):
+        return (bucket, keys.tobytes(), _steps(docs))
 
-def _prefixes(shared):
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = shared.value
         for batch in arrow:
-            for at, end, data, offsets in slices(batch.column(1)):
+            every = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, end, data, offsets in slices(batch.column(1), 4 << 20):
                 hashes, first = shingle_sets(data, offsets)
-                n = np.diff(first)
+                n, ids = np.diff(first), every[at:end]
                 owner = np.repeat(np.arange(len(n)), n)
-                place = np.searchsorted(late, hashes)
-                place[place == len(late)] = 0
-                rank = (late[place] == hashes) if len(late) else np.zeros(len(hashes), bool)
-                order = np.lexsort((hashes, rank, owner))
-                need = -(-PERCENT * n // 100)
-                take = np.where(n > 0, n - need + 1, 0)
-                keep = np.arange(len(hashes)) - np.repeat(first[:-1], n) < np.repeat(take, n)
-                with np.errstate(over="ignore"):
-                    full = np.flatnonzero(n)
-                    s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-                    if len(full):
-                        s1[full] = np.add.reduceat(hashes, first[full])
-                        s2[full] = np.add.reduceat(mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first[full])
-                tokens = pa.array(hashes[order][keep].view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), tokens)
+                hashes, known, place = _ordered(hashes, first, late)
+                take = place < (prefix_length(n) + extra_length(n))[owner]
+                known_count = np.bincount(owner[take & known], minlength=len(n))
+                some = np.flatnonzero(known_count)
+                out = [row(-1 - int(hashes[0] % np.uint64(buckets)) if len(hashes) else -1, known_count[some], ids[some])]
+                take &= ~known
+                h, o = hashes[take], owner[take]
+                bucket = (mixed(h) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                h, o, bucket = h[order], o[order], bucket[order]
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    out.append(row(int(bucket[a]), h[a:b], ids[o[a:b]]))
+                yield _packed_batch(out)
+
+    return run
+
+
+def _shared_counts(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, c): how many of a document's first shingles another document has among its own."""
+    keys, docs, out = [], [], []
+    for batch in arrow:
+        for bucket, k, d in zip(*(c.to_pylist() for c in batch.columns)):
+            d = _unsteps(d)
+            if bucket < 0:
+                out.append((d, np.frombuffer(k, np.int64)))
+            else:
+                keys.append(np.frombuffer(k, np.uint64))
+                docs.append(d)
+    if keys:
+        keys, docs = np.concatenate(keys), np.concatenate(docs)
+        _, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        out.append(np.unique(docs[counts[back] > 1], return_counts=True))
+    for d, c in out:
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(c)], names=["doc_id", "c"])
+
+
+def _sets(shared):
+    """(doc_id, n, first shingles, sorted hashes as bytes)."""
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            for at, end, data, offsets in slices(batch.column(1)):
+                hashes, first = shingle_sets(data, offsets)
+                bounds, n = first.tolist(), np.diff(first)
+                ordered, _, place = _ordered(hashes, first, shared.value)
+                take = prefix_length(n)
+                tokens = ordered[place < np.repeat(take, n)].view(np.int64)
+                at_list = pa.array(np.concatenate([[0], np.cumsum(np.minimum(take, n))]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, end - at), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)),
-                        pa.array(s2.view(np.int64)), lists,
+                        batch.column(0).slice(at, end - at), pa.array(n.astype(np.int64)),
+                        pa.ListArray.from_arrays(at_list, pa.array(tokens)),
+                        pa.array([hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
                     ],
-                    names=["doc_id", "n", "s1", "s2", "first"],
+                    names=["doc_id", "n", "first", "hashes"],
                 )
 
     return run
 
 
-def _sets(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pool, doc_id, n, words of the bitmap, sorted hashes as bytes)."""
-    for batch in arrow:
-        for at, end, data, offsets in slices(batch.column(2)):
-            hashes, first = shingle_sets(data, offsets)
-            bounds = first.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at),
-                    pa.array(np.diff(first).astype(np.int64)),
-                    pa.array([hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
-                ],
-                names=["pool", "doc_id", "n", "hashes"],
-            )
-
-
 def bitmap(hashes: np.ndarray) -> np.ndarray:
     bits = np.zeros(BITS, np.uint8)
     bits[(hashes % np.uint64(BITS)).astype(np.int64)] = 1
@@ -274,36 +356,44 @@ def _linked(two_sided: bool):
 
 def _run(rows: DataFrame, two_sided: bool) -> DataFrame:
     """rows: task, side, label, doc_id, hashes."""
+    rows = rows.select("task", "side", "label", "doc_id", "hashes")
     placed = rows.repartition("task").sortWithinPartitions("task", "side", "doc_id")
     return placed.mapInArrow(_linked(two_sided), _LINKS)
 
 
-def pool_links(sets: DataFrame) -> DataFrame:
-    """(a, b): links within pools, from (pool, doc_id, n, hashes)."""
-    counts = pin(sets.groupBy("pool").agg(F.count("*").alias("members"), F.min("doc_id").alias("least")))
-    placed = sets.join(counts, "pool")
+def _blocks(sets: DataFrame, pools: DataFrame) -> DataFrame:
+    """pools with each set's block: one for a pool of up to BLOCK_BYTES, else by steps of size and by hash."""
     # Sizes a factor 1 / 0.85 apart fall into the same or into neighbouring steps.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)) + 1e-9)
-    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / BLOCK))
-    small = F.col("members") <= BLOCK
-    placed = placed.withColumns({"step": F.when(small, 0).otherwise(step), "salt": F.when(small, 0).otherwise(salt)})
-    block = ["pool", "step", "salt"]
-    own = placed.select(F.xxhash64(*block).alias("task"), F.lit(0).alias("side"), F.col("doc_id").alias("label"), "doc_id", "hashes")
-    large = placed.filter(~small)
-    seats = large.select(*block).distinct()
-    pivots = large.filter(F.col("doc_id") == F.col("least")).dropDuplicates(["pool"]).select("pool", "doc_id", "hashes")
-    guests = seats.join(pivots, "pool").select(
-        F.xxhash64(*block).alias("task"), F.lit(0).alias("side"), F.col("doc_id").alias("label"), "doc_id", "hashes"
-    )
-    first = pin(_run(own.union(guests), False))
-    if large.isEmpty():
-        return first
-    groups = components(first)
-    labelled = large.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "label", F.coalesce("component", "doc_id")
+    placed = pools.join(sets.select("doc_id", "n"), "doc_id").withColumn("step", step)
+    steps = placed.groupBy("pool", "step").agg((F.sum("n") * 8).alias("step_bytes"), F.min("doc_id").alias("step_least"))
+    whole = steps.groupBy("pool").agg(F.sum("step_bytes").alias("bytes"), F.min("step_least").alias("least"))
+    placed = placed.join(steps.drop("step_least"), ["pool", "step"]).join(whole, "pool")
+    large = F.col("bytes") > BLOCK_BYTES
+    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("step_bytes") * 4 / BLOCK_BYTES))
+    return pin(
+        placed.withColumns({"large": large, "salt": F.when(large, salt).otherwise(0), "step": F.when(large, F.col("step")).otherwise(0)})
+        .drop("bytes", "step_bytes")
     )
-    labelled = park(labelled.select(*block, "n", "label", "doc_id", "hashes"))
-    nodes = labelled.groupBy(*block).agg(F.min("label").alias("g0"), F.max("label").alias("g1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+
+
+_BLOCK = ["pool", "step", "salt"]
+
+
+def _within(sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """Links inside blocks. The blocks of a larger pool also hold the pool's smallest set."""
+    task = F.xxhash64(*_BLOCK).alias("task")
+    seats = placed.filter("large").select(task, F.col("least").alias("doc_id")).distinct()
+    own = placed.select(task, "doc_id").union(seats).distinct()
+    own = own.select("task", F.lit(0).alias("side"), F.col("doc_id").alias("label"), "doc_id")
+    return pin(_run(sets.select("doc_id", "hashes").join(broadcast_if_small(pin(own)), "doc_id"), False))
+
+
+def _between(sets: DataFrame, placed: DataFrame, links: DataFrame) -> DataFrame:
+    """Links between the blocks of a pool, which `links` have not joined yet."""
+    groups = components(links).select(F.col("node").alias("doc_id"), "component")
+    labelled = pin(placed.join(groups, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component"))
+    nodes = labelled.groupBy(*_BLOCK).agg(F.min("label").alias("g0"), F.max("label").alias("g1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
     nodes = pin(nodes)
     a, b = nodes.alias("a"), nodes.alias("b")
     near = (F.col("b.step") == F.col("a.step")) & (F.col("a.salt") < F.col("b.salt")) | (F.col("b.step") == F.col("a.step") + 1)
@@ -316,31 +406,113 @@ def pool_links(sets: DataFrame) -> DataFrame:
             F.struct(F.lit(1).alias("side"), F.col("b.step").alias("step"), F.col("b.salt").alias("salt")),
         )).alias("m"),
     ).select("task", "pool", "m.side", "m.step", "m.salt")
-    members = labelled.join(pairs, block).select("task", "side", "label", "doc_id", "hashes")
-    return first.union(pin(_run(members, True)))
+    members = labelled.join(pairs, _BLOCK).select("task", "side", "label", "doc_id")
+    return pin(_run(sets.select("doc_id", "hashes").join(members, "doc_id"), True))
+
+
+def pool_links(sets: DataFrame, pools: DataFrame) -> DataFrame:
+    """(a, b): links within pools, from sets (doc_id, n, hashes) and pools (doc_id, pool).
+
+    Blocks are laid out on ids and sizes; the hashes join last.
+    """
+    placed = _blocks(sets, pools)
+    first = _within(sets, placed)
+    large = placed.filter("large")
+    return first if large.isEmpty() else first.union(_between(sets, large, first))
+
+
+def _token_rows(buckets: int):
+    """First shingles of candidates dealt to buckets: each once per batch, with the smallest of its documents
+    there. The others' edges to that one go on as they are (`bucket` below 0)."""
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            lists = batch.column(1)
+            keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.lexsort((docs, keys))
+            keys, docs = keys[order], docs[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            least = docs[np.flatnonzero(new)][np.cumsum(new) - 1] if len(keys) else docs
+            pairs = np.unique(np.stack([least, docs])[:, ~new], axis=1)
+            out = []
+            if pairs.size:
+                out.append((-1 - int(keys[0] % np.uint64(buckets)), pairs[0].tobytes(), _steps(pairs[1])))
+            keys, docs = keys[new], docs[new]
+            bucket = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((docs, bucket))
+            keys, docs, bucket = keys[order], docs[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
+            out += [(int(bucket[a]), keys[a:b].tobytes(), _steps(docs[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+            if out:
+                yield _packed_batch(out)
+
+    return run
+
+
+def _token_edges(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): from each document to the smallest one that shares a first shingle."""
+    keys, docs, edges = [], [], []
+    for batch in arrow:
+        for bucket, k, d in zip(*(c.to_pylist() for c in batch.columns)):
+            d = _unsteps(d)
+            if bucket < 0:
+                edges.append(np.stack([np.frombuffer(k, np.int64), d]))
+            else:
+                keys.append(np.frombuffer(k, np.uint64))
+                docs.append(d)
+    if keys:
+        keys, docs = np.concatenate(keys), np.concatenate(docs)
+        order = np.lexsort((docs, keys))
+        keys, docs = keys[order], docs[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        least = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
+        edges.append(np.stack([least, docs])[:, ~new])
+    if edges:
+        found = np.unique(np.concatenate(edges, axis=1), axis=1)
+        found = found[:, found[0] != found[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+
+def candidates(docs: DataFrame, sizes: DataFrame, late, buckets: int, parts: int) -> DataFrame:
+    """doc_ids that can have a link: enough of their first shingles are found in another document too."""
+    packed = docs.mapInArrow(_packed(late, buckets), _PACKED)
+    counts = packed.repartition(parts, "bucket").mapInArrow(_shared_counts, "doc_id long, c long").groupBy("doc_id").agg(F.sum("c").alias("c"))
+    n = F.col("n")
+    prefix = n - F.ceil(n * PERCENT / 100) + 1
+    return counts.join(sizes, "doc_id").filter(F.col("c") >= F.floor(prefix / 2) + 1).select("doc_id")
+
+
+# Bytes of packed shingles that a task gets on average. There are some buckets to each task, so that they spread.
+_PART_BYTES = 32 << 20
 
 
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     docs = texts_of(docs)
     spark = docs.sparkSession
-    total = docs.count()
-    counted = docs.select("text").mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    late = counted.filter(F.col("n") >= max(LEAST_FREQUENT, int(SHARE * total))).select("h")
-    table = np.sort(np.array([r[0] for r in late.collect()], np.int64).view(np.uint64))
-    every = park(docs.mapInArrow(_prefixes(spark.sparkContext.broadcast(table)), "doc_id long, n long, s1 long, s2 long, first array<long>"))
-    classes = every.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("first").alias("first"))
-    classes = park(classes)
-    tokens = classes.select("rep", F.explode("first").alias("h"))
-    shared = tokens.groupBy("h").agg(F.min("rep").alias("least"), F.count("*").alias("m")).filter("m > 1").select("h", "least")
-    edges = tokens.join(shared, "h").filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    survey = park(docs.mapInArrow(_survey, "doc_id long, n long, s1 long, s2 long"))
+    every = survey.filter("n IS NOT NULL")
+    total, size = every.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    often = survey.filter("n IS NULL").groupBy("s1").agg(F.sum("s2").alias("m"))
+    often = often.filter(F.col("m") >= max(LEAST_FREQUENT, int(SHARE * total))).select("s1").collect()
+    late = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64)))
+    classes = pin(every.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
+    copies = every.filter("n > 0").join(classes, ["s1", "s2", "n"]).filter("doc_id <> rep").select("doc_id").distinct()
+    single = docs.join(broadcast_if_small(pin(copies)), "doc_id", "left_anti")
+    parts = max(4, int(size) * 16 * (100 - PERCENT) * 3 // 200 // _PART_BYTES)
+    able = pin(candidates(single, classes.select(F.col("rep").alias("doc_id"), "n"), late, parts * 16, parts))
+    own = single.join(broadcast_if_small(able), "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"])
+    sets = park(own.mapInArrow(_sets(late), "doc_id long, n long, first array<long>, hashes binary"))
+    edges = sets.select("doc_id", "first").mapInArrow(_token_rows(parts * 16), _PACKED).repartition(parts, "bucket")
+    edges = pin(edges.mapInArrow(_token_edges, _LINKS))
     pools = pin(components(edges).select(F.col("component").alias("pool"), F.col("node").alias("doc_id")))
-    members = docs.join(broadcast_if_small(pools), "doc_id").select("pool", "doc_id", "text")
-    sets = park(members.mapInArrow(_sets, "pool long, doc_id long, n long, hashes binary"))
-    groups = components(pool_links(sets))
-    merged = classes.select("s1", "s2", "n", "rep").join(groups, F.col("rep") == F.col("node"), "left")
+    groups = components(pool_links(sets, pools))
+    merged = classes.join(groups, F.col("rep") == F.col("node"), "left")
     merged = merged.select("s1", "s2", "n", F.coalesce("component", "rep").alias("c"))
-    found = every.select("doc_id", "n", "s1", "s2").join(merged, ["s1", "s2", "n"], "left")
+    found = every.join(merged, ["s1", "s2", "n"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
 
