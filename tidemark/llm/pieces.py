@@ -10,13 +10,13 @@ independent units (marks, then other characters). Units are solved together: one
 each place in all units of a batch, and a bounded memory of units seen before.
 
 A longer text is cut into chunks of CHUNK code points wherever that falls. Each chunk yields a
-matrix: the best score from entering it at offset i to leaving it j past its end. Blocks of
-characters do this side by side and are combined by the associative max-plus product. A text's
-matrices then give the best state at each boundary, and every chunk is backtraced by itself between
-its two states.
+matrix: the best score from entering it at offset i to leaving it j past its end. All paths meet at
+the marks that begin units, so the whole units inside a chunk add one number; what is before and
+behind them, or a chunk without such a mark, is solved in blocks of characters side by side, which are
+combined by the associative max-plus product. A text's matrices then give the best state at each
+boundary, and every chunk is backtraced by itself between its two states.
 
-Among equal scores, the longest last piece wins within a unit or chunk, and the smallest offset at
-a boundary. Null and empty texts have no pieces. Repeated doc_ids would mix the chunks of long
+Among equal scores, the longest last piece wins within a unit, and the smallest offset at a boundary. Null and empty texts have no pieces. Repeated doc_ids would mix the chunks of long
 texts, so each row gets its own number there. Further columns are ignored.
 
 The given model file was built for pair merging; its scores are used here as a unigram lattice, so
@@ -39,6 +39,7 @@ CHUNK, BLOCK = 32_768, 128
 CACHED_UNITS, BATCH_CODES = 300_000, 200_000
 MARK, OWN_MARK = "▁", "\U0010ffff"  # the mark, and what stands for it where a text itself has it
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_BOUND = re.compile(f"[^{MARK}](?={MARK})")
 _NEVER = -1e8
 _LOW = -1e300
 _SLOT = np.uint64(64 - 21)
@@ -131,9 +132,10 @@ def marked(text: str) -> str:
     return MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK) if text else ""
 
 
-def solve_units(pieces: Pieces, units: list[str]) -> list[list[int]]:
-    """The best path of each unit; all of them advance by one character at a step."""
+def solve_units(pieces: Pieces, units: list[str]) -> tuple[list[list[int]], list[float]]:
+    """The best path of each unit, and its score; all of them advance by one character at a step."""
     out: list[list[int]] = [[] for _ in units]
+    totals = [0.0] * len(units)
     order = sorted(range(len(units)), key=lambda i: -len(units[i]))
     at = 0
     while at < len(order):
@@ -160,6 +162,8 @@ def solve_units(pieces: Pieces, units: list[str]) -> list[list[int]]:
                 better = np.flatnonzero(value >= top)
                 top[better], length[better] = value[better], k
             best[node[:n] + t], back[node[:n] + t] = top, length
+        for i, value in zip(part, best[node + size].tolist()):
+            totals[i] = value
         unit, at_end, cuts = np.arange(len(part)), size.copy(), []
         while len(unit):
             k = back[node[unit] + at_end]
@@ -181,26 +185,33 @@ def solve_units(pieces: Pieces, units: list[str]) -> list[list[int]]:
         for u in np.unique(unit[found < 0]).tolist():
             a = ends[u - 1] if u else 0
             out[part[u]] = pieces.written(found[a : ends[u]], text, flat[a : ends[u]])
-    return out
+    return out, totals
 
 
 class Encoder:
-    """Encodes texts unit by unit, and remembers units."""
+    """Encodes or scores marked texts unit by unit, and remembers units."""
 
-    def __init__(self, pieces: Pieces):
-        self.pieces, self.known = pieces, {}
+    def __init__(self, pieces: Pieces, scores: bool = False):
+        self.pieces, self.scores, self.known = pieces, scores, {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        rows = [_UNIT.findall(marked(t)) for t in texts]
+    def units(self, rows: list[list[str]]) -> dict:
+        """What is known of every unit of the rows."""
         known = self.known
         new = list({u for row in rows for u in row if u not in known})
-        if new:
-            if len(known) + len(new) > CACHED_UNITS:
-                known.clear()
-                new = list({u for row in rows for u in row})
-            known.update(zip(new, solve_units(self.pieces, new)))
+        if len(known) + len(new) > CACHED_UNITS:
+            known.clear()
+            new = list({u for row in rows for u in row})
+        known.update(zip(new, solve_units(self.pieces, new)[self.scores]))
+        return known
+
+    def encode_marked(self, texts: list[str]) -> list[list[int]]:
+        rows = [_UNIT.findall(t) for t in texts]
+        known = self.units(rows)
         return [[i for u in row for i in known[u]] for row in rows]
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.encode_marked([marked(t) for t in texts])
+
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product of stacks of matrices."""
@@ -216,12 +227,25 @@ def identity(n: int) -> np.ndarray:
     return out
 
 
-def transfer(pieces: Pieces, text: str, size: int) -> np.ndarray:
+def transfer(encoder: Encoder, text: str, size: int) -> np.ndarray:
     """The matrix of the first `size` characters of text, which goes on for `longest` - 1 more if there are any.
 
     Entry (i, j): the best score of pieces that begin at offset i, each before `size`, and end j
-    past it. Blocks are solved side by side; an offset past a block is handed to the next one.
+    past it.
     """
+    bounds = [m.start() + 1 for m in _BOUND.finditer(text, 0, size)]
+    if not bounds:
+        return blocks_transfer(encoder.pieces, text, size)
+    first, last = bounds[0], bounds[-1]
+    head = blocks_transfer(encoder.pieces, text[:first], first)[:, 0]
+    units = _UNIT.findall(text[first:last])
+    known = encoder.units([units])
+    tail = blocks_transfer(encoder.pieces, text[last:], size - last)[0]
+    return np.maximum(head[:, None] + sum(known[u] for u in units) + tail[None, :], _LOW)
+
+
+def blocks_transfer(pieces: Pieces, text: str, size: int) -> np.ndarray:
+    """The same by blocks side by side; an offset past a block is handed to the next one."""
     s = pieces.longest
     _, scores = pieces.lookups(codes_of(text))
     blocks = -(-size // BLOCK)
@@ -231,7 +255,7 @@ def transfer(pieces: Pieces, text: str, size: int) -> np.ndarray:
     last = size - (blocks - 1) * BLOCK
     best = np.full((blocks, s, BLOCK + s), _LOW)
     best[:, np.arange(s), np.arange(s)] = 0.0
-    for t in range(BLOCK):
+    for t in range(BLOCK if blocks > 1 else last):
         now = best[:, :, t]
         for k in range(1, s + 1):
             np.maximum(best[:, :, t + k], now + padded[k - 1, :, t, None], out=best[:, :, t + k])
@@ -249,31 +273,6 @@ def transfer(pieces: Pieces, text: str, size: int) -> np.ndarray:
     return parts[0]
 
 
-def backtrace(pieces: Pieces, text: str, size: int, enter: int, leave: int) -> list[int]:
-    """The best path from offset `enter` to `leave` past `size`, its pieces beginning before `size`."""
-    if enter >= size:
-        return []
-    ids, scores = pieces.lookups(codes_of(text))
-    end, low = size + leave, _LOW
-    table = scores[:, :size].T.tolist()
-    best, back = [low] * (end + 1), [0] * (end + 1)
-    best[enter] = 0.0
-    for p in range(enter, size):
-        b = best[p]
-        if b <= low:
-            continue
-        for k, v in enumerate(table[p], 1):
-            if v > low and p + k <= end and b + v > best[p + k]:
-                best[p + k], back[p + k] = b + v, k
-    cuts, t = [], end
-    while t > enter:
-        cuts.append((t - back[t], back[t]))
-        t -= back[t]
-    cuts.reverse()
-    starts = np.array([c for c, _ in cuts], np.int64)
-    return pieces.written(ids[np.array([k for _, k in cuts]) - 1, starts], text, starts)
-
-
 def boundary_states(matrices: list[np.ndarray]) -> list[int]:
     """The offset at each boundary of a text's best path, from its chunks' matrices: first 0, last 0."""
     vector = np.full(matrices[0].shape[0], _LOW)
@@ -329,8 +328,9 @@ def _chunks(longest: int):
 
 def _matrices(shared):
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value, scores=True)
         for batch in arrow:
-            found = [transfer(shared.value, t, n).tobytes() for t, n in zip(batch.column("part").to_pylist(), batch.column("size").to_pylist())]
+            found = [transfer(encoder, t, n).tobytes() for t, n in zip(batch.column("part").to_pylist(), batch.column("size").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("chunk"), pa.array(found, pa.binary())], names=["row", "chunk", "matrix"]
             )
@@ -350,10 +350,14 @@ def _states(longest: int):
 
 
 def _traced(shared):
+    """Each chunk's path from where it is entered to where it is left. No better or equal path has a cut
+    between the chunk's end and that place, as a boundary takes the smallest offset."""
+
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value)
         for batch in arrow:
             rows = zip(*(batch.column(c).to_pylist() for c in ("part", "size", "enter", "leave")))
-            found = [backtrace(shared.value, *r) for r in rows]
+            found = encoder.encode_marked([part[enter : size + leave] for part, size, enter, leave in rows])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row"), batch.column("chunk"), pa.array(found, _IDS)],
                 names=["doc_id", "row", "chunk", "ids"],
