@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.session import pin
+from tidemark.session import broadcast_if_small, pin  # noqa: F401
 
 # Bytes that separate words: space, and tab to carriage return.
 SPACES = np.zeros(256, bool)
@@ -146,23 +146,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nodes = pairs.groupBy("u").agg(F.min("v").alias("component"))
     roots = nodes.select(F.col("component").alias("node")).distinct()
     return nodes.select(F.col("u").alias("node"), "component").union(roots.select("node", F.col("node").alias("component")))
-
-
-def pinned_bytes(df: DataFrame) -> int:
-    """Bytes of a pinned table's values, by one aggregate."""
-    width = F.lit(8 * len(df.columns))
-    for name, kind in df.dtypes:
-        if kind in ("string", "binary"):
-            width = width + F.coalesce(F.octet_length(name), F.lit(0))
-        elif kind.startswith("array"):
-            width = width + F.coalesce(F.size(name), F.lit(0)) * 64
-    return int(df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0])
-
-
-# A broadcast table takes a few times its values' bytes on each executor.
-BROADCAST_BYTES = 16 << 20
-
-
-def broadcast_if_small(pinned: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Ask for a broadcast of a pinned table only if it has been measured to be small."""
-    return F.broadcast(pinned) if pinned_bytes(pinned) <= limit else pinned
