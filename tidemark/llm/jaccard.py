@@ -7,7 +7,8 @@ rows carry the smallest doc_id that is reachable by links.
 
 1. Documents with equal sets are one class, which its smallest doc_id stands for.
 2. All shingles have one order: those found in many documents last, then by hash. Linked sets share
-   one of their first p = n - ceil(0.85 n) + 1 shingles, and p // 2 + 1 of their first p + p // 2.
+   one of their first p = n - ceil(0.85 n) + 1 shingles, and p // 2 + 1 of their first p + p // 2
+   (one if p is 2, as the other set's p can be 1).
    Those are dealt to buckets by hash as packed arrays; a class with too few that anyone else has
    is alone. Of the others, those that share one of the first p shingles are put into one pool,
    by an edge from each to the smallest of the shingle: no pairs are made.
@@ -482,7 +483,9 @@ def candidates(docs: DataFrame, sizes: DataFrame, late, buckets: int, parts: int
     counts = packed.repartition(parts, "bucket").mapInArrow(_shared_counts, "doc_id long, c long").groupBy("doc_id").agg(F.sum("c").alias("c"))
     n = F.col("n")
     prefix = n - F.ceil(n * PERCENT / 100) + 1
-    return counts.join(sizes, "doc_id").filter(F.col("c") >= F.floor(prefix / 2) + 1).select("doc_id")
+    # At a prefix of 2 the other set can have a prefix of 1, and deals out just that shingle.
+    least = F.when(prefix <= 2, 1).otherwise(F.floor(prefix / 2) + 1)
+    return counts.join(sizes, "doc_id").filter(F.col("c") >= least).select("doc_id")
 
 
 # Bytes of packed shingles that a task gets on average. There are some buckets to each task, so that they spread.
