@@ -2,7 +2,7 @@
 
 Words are lower-cased (A-Z) and separated by white space; a document's set holds its distinct
 four-word shingles, or its whole word sequence if that is shorter. Two documents link when their
-sets overlap in 85 % of their union. Links are exact up to equal 64-bit hashes of shingles; result
+sets overlap in 85 % of their union (the pipeline's stage: five words and 80 %). Links are exact up to equal 64-bit hashes of shingles; result
 rows carry the smallest doc_id that is reachable by links.
 
 1. Documents with equal sets are one class, which its smallest doc_id stands for.
@@ -40,6 +40,7 @@ from tidemark.llm.common import (
 from tidemark.session import pin
 
 SHINGLE, PERCENT = 4, 85
+STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 SHARE, LEAST_FREQUENT = 0.001, 64
 BLOCK_BYTES, FAN, BITS = 96 << 20, 16, 2048
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -47,20 +48,20 @@ _LOWER[65:91] += 32
 _TOKENS = 3_000_000
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of a run of texts, ordered by text and hash, and each text's first."""
     starts, ends, first = word_bounds(data, offsets)
     words = stretch_hashes(prefix_sums(BYTE_CODES[_LOWER[data]]), starts, ends)
     texts = len(offsets) - 1
     n = np.diff(first)
     text = np.repeat(np.arange(texts), n)
-    odd = [np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * i & (1 << 64) - 1 | 1) for i in range(SHINGLE)]
+    odd = [np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * i & (1 << 64) - 1 | 1) for i in range(shingle)]
     with np.errstate(over="ignore"):
-        whole = max(0, len(words) - SHINGLE + 1)
-        h = sum((words[i : i + whole] * odd[i] for i in range(SHINGLE)), np.zeros(whole, np.uint64))
-        inside = text[:whole] == text[SHINGLE - 1 :][:whole] if whole else np.zeros(0, bool)
+        whole = max(0, len(words) - shingle + 1)
+        h = sum((words[i : i + whole] * odd[i] for i in range(shingle)), np.zeros(whole, np.uint64))
+        inside = text[:whole] == text[shingle - 1 :][:whole] if whole else np.zeros(0, bool)
         hashes, owner = [mixed(h[inside])], [text[:whole][inside]]
-        for k in range(1, SHINGLE):
+        for k in range(1, shingle):
             short = first[:-1][n == k]
             value = sum((words[short + i] * odd[i] for i in range(k)), np.full(len(short), k, np.uint64))
             hashes.append(mixed(value))
@@ -74,49 +75,53 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return hashes, np.searchsorted(owner, np.arange(texts + 1))
 
 
-def _survey(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _survey(shingle: int):
     """A row for each document: its set's size and two sums that name the set. Beside them, in rows
     without a size, shingles that four or more documents of this partition hold."""
-    held, total = [], 0
 
-    def frequent() -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        some = counts >= 4
-        return rows(pa.nulls(int(some.sum()), pa.int64()), None, values[some], counts[some].astype(np.uint64))
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
 
-    def rows(ids, n, s1, s2) -> pa.RecordBatch:
-        sizes = pa.nulls(len(ids), pa.int64()) if n is None else pa.array(n.astype(np.int64))
-        return pa.RecordBatch.from_arrays(
-            [ids, sizes, pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], names=["doc_id", "n", "s1", "s2"]
-        )
+        def frequent() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            some = counts >= 4
+            return rows(pa.nulls(int(some.sum()), pa.int64()), None, values[some], counts[some].astype(np.uint64))
 
-    for batch in arrow:
-        for at, end, data, offsets in slices(batch.column(1)):
-            hashes, first = shingle_sets(data, offsets)
-            n = np.diff(first)
-            full = np.flatnonzero(n)
-            s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            if len(full):
-                with np.errstate(over="ignore"):
-                    s1[full] = np.add.reduceat(hashes, first[full])
-                    s2[full] = np.add.reduceat(mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first[full])
-            yield rows(batch.column(0).slice(at, end - at), n, s1, s2)
-            held.append(hashes)
-            total += len(hashes)
-            if total > _TOKENS:
-                yield frequent()
-                held, total = [], 0
-    if held:
-        yield frequent()
+        def rows(ids, n, s1, s2) -> pa.RecordBatch:
+            sizes = pa.nulls(len(ids), pa.int64()) if n is None else pa.array(n.astype(np.int64))
+            return pa.RecordBatch.from_arrays(
+                [ids, sizes, pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], names=["doc_id", "n", "s1", "s2"]
+            )
 
+        for batch in arrow:
+            for at, end, data, offsets in slices(batch.column(1)):
+                hashes, first = shingle_sets(data, offsets, shingle)
+                n = np.diff(first)
+                full = np.flatnonzero(n)
+                s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+                if len(full):
+                    with np.errstate(over="ignore"):
+                        s1[full] = np.add.reduceat(hashes, first[full])
+                        s2[full] = np.add.reduceat(mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first[full])
+                yield rows(batch.column(0).slice(at, end - at), n, s1, s2)
+                held.append(hashes)
+                total += len(hashes)
+                if total > _TOKENS:
+                    yield frequent()
+                    held, total = [], 0
+        if held:
+            yield frequent()
 
-def prefix_length(n):
+    return run
+
+
+def prefix_length(n, percent=PERCENT):
     """Linked sets share one of so many first shingles; of `extra` more, they share as many more."""
-    return n - -(-PERCENT * n // 100) + 1
+    return n - -(-percent * n // 100) + 1
 
 
-def extra_length(n):
-    return prefix_length(n) // 2
+def extra_length(n, percent=PERCENT):
+    return prefix_length(n, percent) // 2
 
 
 def _ordered(hashes: np.ndarray, first: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +153,7 @@ def _packed_batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "keys", "docs"])
 
 
-def _packed(shared, buckets: int):
+def _packed(shared, buckets: int, shingle: int, percent: int):
     """First shingles dealt to buckets, as packed arrays: hashes and their documents, as steps.
 
     Frequent shingles are known to be shared, so they are only counted (`bucket` below 0, and counts
@@ -163,11 +168,11 @@ def _packed(shared, buckets: int):
         for batch in arrow:
             every = batch.column(0).to_numpy(zero_copy_only=False)
             for at, end, data, offsets in slices(batch.column(1), 4 << 20):
-                hashes, first = shingle_sets(data, offsets)
+                hashes, first = shingle_sets(data, offsets, shingle)
                 n, ids = np.diff(first), every[at:end]
                 owner = np.repeat(np.arange(len(n)), n)
                 hashes, known, place = _ordered(hashes, first, late)
-                take = place < (prefix_length(n) + extra_length(n))[owner]
+                take = place < (prefix_length(n, percent) + extra_length(n, percent))[owner]
                 known_count = np.bincount(owner[take & known], minlength=len(n))
                 some = np.flatnonzero(known_count)
                 out = [row(-1 - int(hashes[0] % np.uint64(buckets)) if len(hashes) else -1, known_count[some], ids[some])]
@@ -203,16 +208,16 @@ def _shared_counts(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(c)], names=["doc_id", "c"])
 
 
-def _sets(shared):
+def _sets(shared, shingle: int, percent: int):
     """(doc_id, n, first shingles, sorted hashes as bytes)."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             for at, end, data, offsets in slices(batch.column(1)):
-                hashes, first = shingle_sets(data, offsets)
+                hashes, first = shingle_sets(data, offsets, shingle)
                 bounds, n = first.tolist(), np.diff(first)
                 ordered, _, place = _ordered(hashes, first, shared.value)
-                take = prefix_length(n)
+                take = prefix_length(n, percent)
                 tokens = ordered[place < np.repeat(take, n)].view(np.int64)
                 at_list = pa.array(np.concatenate([[0], np.cumsum(np.minimum(take, n))]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -253,7 +258,7 @@ class Tree:
         return np.arange(node * FAN, min((node + 1) * FAN, len(self.levels[level - 1][0])))
 
 
-def possible(a, i: np.ndarray, b, j: np.ndarray) -> np.ndarray:
+def possible(a, i: np.ndarray, b, j: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Which pairs of nodes (i of level a) x (j of level b) can hold a link, by the largest overlap."""
     shared = np.bitwise_count(a[0][i][:, None, :] & b[0][j][None, :, :]).sum(axis=2).astype(np.int64)
     # A set of a has at least its bits outside the other side's OR as shingles that it does not share.
@@ -261,7 +266,7 @@ def possible(a, i: np.ndarray, b, j: np.ndarray) -> np.ndarray:
     top_b = b[2][j][None, :] - np.maximum(0, b[3][j][None, :] - shared)
     top = np.minimum(np.minimum(top_a, top_b), np.minimum(a[2][i][:, None], b[2][j][None, :]))
     # overlap >= t (x + y) / (1 + t) for a link of sizes x and y
-    return top * (100 + PERCENT) >= PERCENT * (a[1][i][:, None] + b[1][j][None, :])
+    return top * (100 + percent) >= percent * (a[1][i][:, None] + b[1][j][None, :])
 
 
 class Groups:
@@ -277,7 +282,9 @@ class Groups:
         return i
 
 
-def tree_links(sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def tree_links(
+    sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray | None = None, percent: int = PERCENT
+) -> list[tuple[int, int]]:
     """Links that join two groups, by dual traversal. With `side`, only pairs from different sides are compared."""
     sizes = np.array([len(s) for s in sets])
     maps = np.stack([bitmap(s) for s in sets])
@@ -295,14 +302,14 @@ def tree_links(sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray | No
             if groups.top(x) != groups.top(y):
                 a, b = sets[x], sets[y]
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= PERCENT * (len(a) + len(b) - both):
+                if 100 * both >= percent * (len(a) + len(b) - both):
                     groups.up[groups.top(y)] = groups.top(x)
                     out.append((x, y))
             continue
         down_a = left.children(la, i) if la else np.array([i])
         down_b = right.children(lb, j) if lb else np.array([j])
         na, nb = max(0, la - 1), max(0, lb - 1)
-        good = possible(left.levels[na], down_a, right.levels[nb], down_b)
+        good = possible(left.levels[na], down_a, right.levels[nb], down_b, percent)
         if same and la == lb:
             good &= down_a[:, None] <= down_b[None, :] if na else down_a[:, None] < down_b[None, :]
         if na == 0 and nb == 0:
@@ -337,7 +344,7 @@ def _grouped(arrow: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def _linked(two_sided: bool):
+def _linked(two_sided: bool, percent: int):
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(arrow, "task"):
             if len(group) < 2:
@@ -347,7 +354,7 @@ def _linked(two_sided: bool):
             side = group.column("side").to_numpy() if two_sided else None
             if side is not None and len(set(side.tolist())) < 2:
                 continue
-            found = tree_links(sets, group.column("label").to_numpy(), side)
+            found = tree_links(sets, group.column("label").to_numpy(), side, percent)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[x] for x, _ in found], pa.int64()), pa.array([ids[y] for _, y in found], pa.int64())], names=["a", "b"]
             )
@@ -355,17 +362,17 @@ def _linked(two_sided: bool):
     return run
 
 
-def _run(rows: DataFrame, two_sided: bool) -> DataFrame:
+def _run(rows: DataFrame, two_sided: bool, percent: int) -> DataFrame:
     """rows: task, side, label, doc_id, hashes."""
     rows = rows.select("task", "side", "label", "doc_id", "hashes")
     placed = rows.repartition("task").sortWithinPartitions("task", "side", "doc_id")
-    return placed.mapInArrow(_linked(two_sided), _LINKS)
+    return placed.mapInArrow(_linked(two_sided, percent), _LINKS)
 
 
-def _blocks(sets: DataFrame, pools: DataFrame) -> DataFrame:
+def _blocks(sets: DataFrame, pools: DataFrame, percent: int) -> DataFrame:
     """pools with each set's block: one for a pool of up to BLOCK_BYTES, else by steps of size and by hash."""
-    # Sizes a factor 1 / 0.85 apart fall into the same or into neighbouring steps.
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)) + 1e-9)
+    # Sizes a factor 100 / percent apart fall into the same or into neighbouring steps.
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
     placed = pools.join(sets.select("doc_id", "n"), "doc_id").withColumn("step", step)
     steps = placed.groupBy("pool", "step").agg((F.sum("n") * 8).alias("step_bytes"), F.min("doc_id").alias("step_least"))
     whole = steps.groupBy("pool").agg(F.sum("step_bytes").alias("bytes"), F.min("step_least").alias("least"))
@@ -381,16 +388,16 @@ def _blocks(sets: DataFrame, pools: DataFrame) -> DataFrame:
 _BLOCK = ["pool", "step", "salt"]
 
 
-def _within(sets: DataFrame, placed: DataFrame) -> DataFrame:
+def _within(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Links inside blocks. The blocks of a larger pool also hold the pool's smallest set."""
     task = F.xxhash64(*_BLOCK).alias("task")
     seats = placed.filter("large").select(task, F.col("least").alias("doc_id")).distinct()
     own = placed.select(task, "doc_id").union(seats).distinct()
     own = own.select("task", F.lit(0).alias("side"), F.col("doc_id").alias("label"), "doc_id")
-    return pin(_run(sets.select("doc_id", "hashes").join(broadcast_if_small(pin(own)), "doc_id"), False))
+    return pin(_run(sets.select("doc_id", "hashes").join(broadcast_if_small(pin(own)), "doc_id"), False, percent))
 
 
-def _between(sets: DataFrame, placed: DataFrame, links: DataFrame) -> DataFrame:
+def _between(sets: DataFrame, placed: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links between the blocks of a pool, which `links` have not joined yet."""
     groups = components(links).select(F.col("node").alias("doc_id"), "component")
     labelled = pin(placed.join(groups, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component"))
@@ -398,7 +405,7 @@ def _between(sets: DataFrame, placed: DataFrame, links: DataFrame) -> DataFrame:
     nodes = pin(nodes)
     a, b = nodes.alias("a"), nodes.alias("b")
     near = (F.col("b.step") == F.col("a.step")) & (F.col("a.salt") < F.col("b.salt")) | (F.col("b.step") == F.col("a.step") + 1)
-    close = F.least("a.n1", "b.n1") * 100 >= F.greatest("a.n0", "b.n0") * PERCENT
+    close = F.least("a.n1", "b.n1") * 100 >= F.greatest("a.n0", "b.n0") * percent
     one = (F.col("a.g0") == F.col("a.g1")) & (F.col("b.g0") == F.col("b.g1")) & (F.col("a.g0") == F.col("b.g0"))
     pairs = a.join(b, (F.col("a.pool") == F.col("b.pool")) & near & close & ~one).select(
         F.xxhash64("a.pool", "a.step", "a.salt", "b.step", "b.salt").alias("task"), F.col("a.pool").alias("pool"),
@@ -408,18 +415,18 @@ def _between(sets: DataFrame, placed: DataFrame, links: DataFrame) -> DataFrame:
         )).alias("m"),
     ).select("task", "pool", "m.side", "m.step", "m.salt")
     members = labelled.join(pairs, _BLOCK).select("task", "side", "label", "doc_id")
-    return pin(_run(sets.select("doc_id", "hashes").join(members, "doc_id"), True))
+    return pin(_run(sets.select("doc_id", "hashes").join(members, "doc_id"), True, percent))
 
 
-def pool_links(sets: DataFrame, pools: DataFrame) -> DataFrame:
+def pool_links(sets: DataFrame, pools: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links within pools, from sets (doc_id, n, hashes) and pools (doc_id, pool).
 
     Blocks are laid out on ids and sizes; the hashes join last.
     """
-    placed = _blocks(sets, pools)
-    first = _within(sets, placed)
+    placed = _blocks(sets, pools, percent)
+    first = _within(sets, placed, percent)
     large = placed.filter("large")
-    return first if large.isEmpty() else first.union(_between(sets, large, first))
+    return first if large.isEmpty() else first.union(_between(sets, large, first, percent))
 
 
 def _token_rows(buckets: int):
@@ -477,12 +484,14 @@ def _token_edges(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
 
-def candidates(docs: DataFrame, sizes: DataFrame, late, buckets: int, parts: int) -> DataFrame:
+def candidates(
+    docs: DataFrame, sizes: DataFrame, late, buckets: int, parts: int, shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
     """doc_ids that can have a link: enough of their first shingles are found in another document too."""
-    packed = docs.mapInArrow(_packed(late, buckets), _PACKED)
+    packed = docs.mapInArrow(_packed(late, buckets, shingle, percent), _PACKED)
     counts = packed.repartition(parts, "bucket").mapInArrow(_shared_counts, "doc_id long, c long").groupBy("doc_id").agg(F.sum("c").alias("c"))
     n = F.col("n")
-    prefix = n - F.ceil(n * PERCENT / 100) + 1
+    prefix = n - F.ceil(n * percent / 100) + 1
     # At a prefix of 2 the other set can have a prefix of 1, and deals out just that shingle.
     least = F.when(prefix <= 2, 1).otherwise(F.floor(prefix / 2) + 1)
     return counts.join(sizes, "doc_id").filter(F.col("c") >= least).select("doc_id")
@@ -492,11 +501,16 @@ def candidates(docs: DataFrame, sizes: DataFrame, late, buckets: int, parts: int
 _PART_BYTES = 32 << 20
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs."""
+def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs.
+
+    `percent` is 80 at least: candidates() counts on that for pairs of unequal size.
+    """
+    if percent < STAGE_PERCENT:
+        raise ValueError(f"percent {percent} is below {STAGE_PERCENT}")
     docs = texts_of(docs)
     spark = docs.sparkSession
-    survey = park(docs.mapInArrow(_survey, "doc_id long, n long, s1 long, s2 long"))
+    survey = park(docs.mapInArrow(_survey(shingle), "doc_id long, n long, s1 long, s2 long"))
     every = survey.filter("n IS NOT NULL")
     total, size = every.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     often = survey.filter("n IS NULL").groupBy("s1").agg(F.sum("s2").alias("m"))
@@ -505,14 +519,14 @@ def link(docs: DataFrame) -> DataFrame:
     classes = pin(every.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
     copies = every.filter("n > 0").join(classes, ["s1", "s2", "n"]).filter("doc_id <> rep").select("doc_id").distinct()
     single = docs.join(broadcast_if_small(pin(copies)), "doc_id", "left_anti")
-    parts = max(4, int(size) * 16 * (100 - PERCENT) * 3 // 200 // _PART_BYTES)
-    able = pin(candidates(single, classes.select(F.col("rep").alias("doc_id"), "n"), late, parts * 16, parts))
+    parts = max(4, int(size) * 16 * (100 - percent) * 3 // 200 // _PART_BYTES)
+    able = pin(candidates(single, classes.select(F.col("rep").alias("doc_id"), "n"), late, parts * 16, parts, shingle, percent))
     own = single.join(broadcast_if_small(able), "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"])
-    sets = park(own.mapInArrow(_sets(late), "doc_id long, n long, first array<long>, hashes binary"))
+    sets = park(own.mapInArrow(_sets(late, shingle, percent), "doc_id long, n long, first array<long>, hashes binary"))
     edges = sets.select("doc_id", "first").mapInArrow(_token_rows(parts * 16), _PACKED).repartition(parts, "bucket")
     edges = pin(edges.mapInArrow(_token_edges, _LINKS))
     pools = pin(components(edges).select(F.col("component").alias("pool"), F.col("node").alias("doc_id")))
-    groups = components(pool_links(sets, pools))
+    groups = components(pool_links(sets, pools, percent))
     merged = classes.join(groups, F.col("rep") == F.col("node"), "left")
     merged = merged.select("s1", "s2", "n", F.coalesce("component", "rep").alias("c"))
     found = every.join(merged, ["s1", "s2", "n"], "left")
@@ -524,8 +538,8 @@ def query(spark, folder: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group: the one of smallest doc_id."""
-    found = pin(link(docs).filter("component_id <> doc_id").select("doc_id").distinct())
+    """One document of each group: the one of smallest doc_id. Five words and 80 %, as in decontamination."""
+    found = pin(link(docs, STAGE_SHINGLE, STAGE_PERCENT).filter("component_id <> doc_id").select("doc_id").distinct())
     return docs.join(broadcast_if_small(found), "doc_id", "left_anti").select(docs.columns)
 
 
