@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can state them."""
 
-from tidemark.llm import decontam, html, jaccard, linededup, packing, pieces, pii, quality, secrets, substrings, toxicity
+from tidemark.llm import decontam, html, jaccard, linededup, packing, pieces, pii, quality, runs, secrets, substrings, toxicity
 from tidemark.llm.common import read
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_secret_scans": secrets.query,
     "op9_decontamination": decontam.query,
     "op10_sentencepiece": pieces.query,
+    "op12_periodic_runs": runs.query,
     "op13_best_fit_packing": packing.query,
 }
 ORACLES = {
