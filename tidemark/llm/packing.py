@@ -16,9 +16,9 @@ Null and empty texts are one piece with END alone. Repeated rows and repeated or
 packed like any others: a piece is known by the number of its row. Very long texts are only as many
 pieces. No documents give no rows. Further columns are ignored.
 
-Token ids come from the vocabulary file. A text whose characters are all below LATIN is split by
-the vocabulary's own pattern, and each distinct word is tokenised once and remembered (bounded);
-any other text is tokenised whole, as the classes of rarer characters depend on the library.
+Token ids are those of the vocabulary file. For texts whose characters are all below U+0250, the file of the same vocabulary as
+ranks gives the same ids at several times the speed (a test compares them); all others, and texts that may hold a special
+token, go through the vocabulary file itself, as the classes of rarer characters can differ between libraries.
 """
 
 import re
@@ -34,7 +34,6 @@ from tidemark.llm.common import batches, park, read, texts_of
 
 CAPACITY, END = 1024, 2
 GROUP, SLACK, WORTH = 16_384, 4, 0.1
-REMEMBERED = 400_000
 _RARE = re.compile("[^\\x00-\\u024f]")
 _SPECIAL = "<|"
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -50,27 +49,27 @@ class Tokens:
     """Token ids of texts as little-endian bytes."""
 
     def __init__(self, path: str):
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.seen: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        self.fast = _ranked() if path == vocabulary() else None
 
     def encode(self, text: str) -> bytes:
-        if _SPECIAL in text or _RARE.search(text):
-            return self.whole([text])[0]
-        words = self.split(text)
-        new = list(set(words) - self.seen.keys())
-        if len(self.seen) + len(new) > REMEMBERED:
-            self.seen.clear()
-            new = list(set(words))
-        self.seen.update(zip(new, self.whole(new)))
-        return b"".join(map(self.seen.__getitem__, words))
+        if self.fast is None or _SPECIAL in text or _RARE.search(text):
+            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+
+def _ranked():
+    """The same vocabulary as ranks: the same ids at several times the speed."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
