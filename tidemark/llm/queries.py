@@ -1,6 +1,8 @@
 """The registered queries of this subpackage, and their SQL where SQL can state them."""
 
-from tidemark.llm import decontam, html, jaccard, linededup, packing, pieces, pii, quality, runs, secrets, substrings, toxicity
+from tidemark.llm import (
+    decontam, html, jaccard, linededup, packing, pieces, pii, quality, repair, runs, secrets, substrings, toxicity,
+)
 from tidemark.llm.common import read
 
 QUERIES = {
@@ -14,6 +16,7 @@ QUERIES = {
     "op8_secret_scans": secrets.query,
     "op9_decontamination": decontam.query,
     "op10_sentencepiece": pieces.query,
+    "op11_conversation_repair": repair.query,
     "op12_periodic_runs": runs.query,
     "op13_best_fit_packing": packing.query,
 }
@@ -21,4 +24,5 @@ ORACLES = {
     "op3_jaccard_join": jaccard.SQL,
     "op6_quality_rules": quality.SQL,
     "op9_decontamination": decontam.SQL,
+    "op11_conversation_repair": repair.SQL,
 }
