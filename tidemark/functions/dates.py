@@ -40,6 +40,35 @@ def bucket_label(day: Column, granularity: str) -> Column:
     return closing_monday(day)
 
 
+def _monday_from(day: dt.date) -> dt.date:
+    """The first Monday that is not before `day`."""
+    return day + dt.timedelta(-day.weekday() % 7)
+
+
+def _month_after(day: dt.date) -> dt.date:
+    return (day.replace(day=1) + dt.timedelta(31)).replace(day=1)
+
+
+def raw_days(kind: str, start=None, end=None) -> tuple[dt.date | None, dt.date | None]:
+    """The days whose period label lies in [start, end]: first day, and the first day after them.
+
+    Labels are "day", "week" (its Monday), "closing week" (the Monday that ends it) or "month" (its first day).
+    A label grows with the day, so the range of labels is one range of days and neither bound loses or adds a day.
+    """
+    start, end = as_date(start), as_date(end)
+    day = dt.timedelta(1)
+    after = None if end is None else end + day
+    if kind in ("week", "closing week"):
+        back = dt.timedelta(6 if kind == "closing week" else 0)
+        return start and _monday_from(start) - back, after and _monday_from(after) - back
+    if kind == "month":
+        first = start if start is None or start.day == 1 else _month_after(start)
+        return first, end and _month_after(end)
+    if kind != "day":
+        raise ValueError(f"unknown period {kind!r}")
+    return start, after
+
+
 def calendar_features(day: Column) -> dict[str, Column]:
     yearly = F.dayofyear(day) * (2 * math.pi) / 365
     return {

@@ -6,7 +6,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import constants as C
-from tidemark.functions.dates import as_date
+from tidemark.functions.dates import as_date, raw_days
+from tidemark.session import broadcast_if_small
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,31 @@ def date_filter(df: DataFrame, date_col: str, start=None, end=None) -> DataFrame
     return df
 
 
+def period_filter(df: DataFrame, raw_col: str, kind: str, start=None, end=None) -> DataFrame:
+    """The rows whose period of `kind` (see raw_days) is in [start, end], asked of the raw date column itself.
+
+    A bound on a period that is computed from the column would be evaluated per row; this one reaches
+    the scan and skips row groups. The literals have the column's own type, so nothing is cast.
+    """
+    first, after = raw_days(kind, start, end)
+    of = dict(df.dtypes)[raw_col]
+    if first is not None:
+        df = df.filter(F.col(raw_col) >= F.lit(first).cast(of))
+    if after is not None:
+        df = df.filter(F.col(raw_col) < F.lit(after).cast(of))
+    return df
+
+
+def only_keys(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows of `df` whose key is among the pinned `wanted` ones.
+
+    Put before an aggregation by that key, it spares everything else the shuffle: few keys are broadcast
+    after they have been measured; many are joined on the key, which leaves the rows where the aggregation needs them.
+    """
+    keys = wanted.select(F.col(wanted_key).alias("_wanted"))
+    return df.join(broadcast_if_small(keys), F.col(key) == F.col("_wanted"), "left_semi")
+
+
 def apply_filters(df: DataFrame, date_col: str, params: FilterParams, col_map: dict[str, str] | None = None) -> DataFrame:
     """Date bounds, then equality on every parameter whose (mapped) column the table has."""
     df = date_filter(df, date_col, params.start_date, params.end_date)

@@ -17,8 +17,8 @@ _CUTOFF = dt.date(1995, 10, 1)
 
 
 def _summary(spark, folder):
-    deals = pin(bridge.account_deals(spark, folder))
-    return accounts.account_summary(bridge.account_revenue(spark, folder, deals), deals, bridge.account_as_of(spark, folder))
+    deals, monthly, as_of = bridge.account_books(spark, folder)
+    return accounts.account_summary(monthly, deals, as_of)
 
 
 def _with_risk(spark, folder):
@@ -35,7 +35,7 @@ def _scored(spark, folder):
 
 @query("account_revenue", over("account_revenue", "SELECT account_id, month, months_since_close, monthly_revenue FROM account_revenue"))
 def _(spark, folder):
-    return bridge.account_revenue(spark, folder).select("account_id", "month", "months_since_close", "monthly_revenue")
+    return bridge.account_books(spark, folder)[1].select("account_id", "month", "months_since_close", "monthly_revenue")
 
 
 @query("account_summary", over("account_summary", "SELECT * FROM account_summary"))

@@ -1,7 +1,10 @@
 """Queries on revenue, spend, funnel and the report context."""
 
-from pyspark.sql import functions as F
+from functools import reduce
 
+from pyspark.sql import DataFrame, functions as F
+
+from tidemark import constants as C
 from tidemark.functions import scalars
 from tidemark.functions.scalars import round_to
 from tidemark.operators import buckets, context, filters, funnel, kpis, series
@@ -35,7 +38,7 @@ _MONTHLY = "CAST(date_trunc('month', {d}) AS DATE)"
 
 def _trend(spark, folder, granularity, start=None, end=None):
     found = kpis.kpi_trend(
-        bridge.online_sales(spark, folder, ()), bridge.offline_sales(spark, folder, ()), granularity, start, end
+        bridge.online_sales(spark, folder, (), start, end), bridge.offline_sales(spark, folder, (), start, end), granularity
     )
     return found.select("period", *[round_to(c, 2).alias(c) for c in found.columns[1:]])
 
@@ -69,9 +72,8 @@ def _summary_sql(where: str) -> str:
                round_even(spend, 2) AS total_media_spend, round_even(inc / greatest(spend, 1), 2) AS blended_roas,
                leads AS total_leads, round_even(pipeline, 2) AS pipeline_closed_won,
                round_even(won / greatest(leads, 1) * 100, 2) AS win_rate_pct,
-               CASE WHEN n = 0 THEN 'No data matches the selected filters (online sales).'
-                    WHEN n < 30 THEN 'Only ' || n || ' rows match the selected filters (online sales). Statistics and model outputs may be unreliable with fewer than 30 data points. Consider broadening your date range or removing dimension filters.'
-               END AS warning
+               CASE WHEN n = 0 THEN '""" + C.NO_DATA_TEXT % " (online sales)" + """'
+                    WHEN n < """ + str(C.MIN_RELIABLE_ROWS) + """ THEN printf('""" + C.FEW_ROWS_TEXT + """', n, ' (online sales)') END AS warning
         FROM a, b, c, d""",
         a=f"SELECT coalesce(sum(revenue), 0) AS web, CAST(coalesce(sum(orders), 0) AS BIGINT) AS orders, count(*) AS n FROM online_sales WHERE {where.format(d='date')}",
         b=f"SELECT coalesce(sum(total_revenue), 0) AS shop FROM offline_sales WHERE {where.format(d='week_start')}",
@@ -81,10 +83,9 @@ def _summary_sql(where: str) -> str:
 
 
 def _summary(spark, folder, start=None, end=None, dims=("channel", "category")):
-    return kpis.kpi_summary(
-        bridge.online_sales(spark, folder, dims), bridge.offline_sales(spark, folder, ()),
-        bridge.media_spend(spark, folder), bridge.crm_funnel(spark, folder, ()), start, end,
-    )
+    shop, media = bridge.offline_and_media(spark, folder, (), start, end)
+    crm = bridge.crm_funnel(spark, folder, (), FilterParams(start, end) if start or end else None)
+    return kpis.kpi_summary(bridge.online_sales(spark, folder, dims, start, end), shop, media, crm)
 
 
 @query("kpi_summary", _summary_sql("true"))
@@ -186,7 +187,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     params = FilterParams(start_date="1997-01-01", industry="MACHINERY", lead_source="2-HIGH", region="ignored")
-    return funnel.funnel_summary(filters.apply_filters(bridge.crm_funnel(spark, folder), "lead_date", params))
+    return funnel.funnel_summary(bridge.crm_funnel(spark, folder, params=params))
 
 
 _BY_SOURCE = over(
@@ -204,6 +205,40 @@ def _(spark, folder):
     return funnel.funnel_by_source(bridge.crm_funnel(spark, folder, ()))
 
 
+@query("funnel_by_source_filtered", _BY_SOURCE.replace("FROM crm_funnel GROUP", "FROM crm_funnel WHERE lead_date BETWEEN DATE '1996-02-03' AND DATE '1996-09-30' GROUP"))
+def _(spark, folder):
+    return funnel.funnel_by_source(bridge.crm_funnel(spark, folder, (), FilterParams("1996-02-03", "1996-09-30")))
+
+
+_PERIODS = {
+    "day": "CAST(l_shipdate AS DATE)", "week": "CAST(date_trunc('week', l_shipdate) AS DATE)",
+    "closing week": "CAST(date_trunc('week', l_shipdate - INTERVAL 1 DAY) + INTERVAL 7 DAY AS DATE)",
+    "month": "CAST(date_trunc('month', l_shipdate) AS DATE)",
+}
+_RANGES = (("1995-03-08", "1996-03-08"), ("1996-04-01", None), (None, "1994-12-26"))
+
+
+@query(
+    "period_filter",
+    " UNION ALL ".join(
+        f"""SELECT '{kind}' AS kind, {i} AS nth, count(*) AS rows, CAST(min(l_shipdate) AS DATE) AS first_day, CAST(max(l_shipdate) AS DATE) AS last_day
+            FROM lineitem WHERE {label} BETWEEN DATE '{start or "1900-01-01"}' AND DATE '{end or "2100-01-01"}'"""
+        for kind, label in _PERIODS.items() for i, (start, end) in enumerate(_RANGES)
+    ),
+)
+def _(spark, folder):
+    """Order lines whose period lies in a range, picked by their raw date."""
+    line = bridge.star(spark, folder, "lineitem")
+    parts = [
+        filters.period_filter(line, "l_shipdate", kind, *bounds).agg(
+            F.lit(kind).alias("kind"), F.lit(i).alias("nth"), F.count("*").alias("rows"),
+            F.min("l_shipdate").cast("date").alias("first_day"), F.max("l_shipdate").cast("date").alias("last_day"),
+        )
+        for kind in _PERIODS for i, bounds in enumerate(_RANGES)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "as_records",
     over(
@@ -402,10 +437,8 @@ _CONTEXT = over(
 
 
 def _metrics(spark, folder):
-    return context.context_metrics(
-        bridge.online_sales(spark, folder), bridge.offline_sales(spark, folder, ("region",)),
-        bridge.media_spend(spark, folder), bridge.crm_funnel(spark, folder, ()),
-    )
+    shop, media = bridge.offline_and_media(spark, folder, ("region",))
+    return context.context_metrics(bridge.online_sales(spark, folder), shop, media, bridge.crm_funnel(spark, folder, ()))
 
 
 @query("context_metrics", _CONTEXT)
@@ -456,6 +489,6 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    offline = bridge.offline_sales(spark, folder)
-    totals = bridge.offline_sales(spark, folder, ()).select("week_start", round_to("total_revenue", 2).alias("total"))
+    offline = pin(bridge.offline_sales(spark, folder))
+    totals = offline.groupBy("week_start").agg(round_to(F.sum("total_revenue"), 2).alias("total"))
     return series.map_by_period(offline, totals, "week_start").drop("active_stores", "units_sold")

@@ -20,14 +20,15 @@ _CHANNELS = (*bridge.CHANNELS, "Email")
 _TURN = repr(2 * math.pi)
 
 
-def _media(spark, folder):
-    return bridge.media_spend(spark, folder)
-
-
 def _sales(spark, folder):
     return bridge.offline_sales(spark, folder, ())
 
 
+def _media_and_sales(spark, folder):
+    sales, media = bridge.offline_and_media(spark, folder)
+    return media, sales
+
+
 def _pivot_sql(extra=""):
     cells = ", ".join(f"round_even(sum(spend) FILTER (WHERE channel = '{c}'), 2) AS \"{c}\"" for c in _CHANNELS)
     return f"SELECT week_start, {cells}{extra} FROM media_spend"
@@ -35,13 +36,13 @@ def _pivot_sql(extra=""):
 
 @query("pivot_spend", over("media_spend", _pivot_sql() + " GROUP BY week_start"))
 def _(spark, folder):
-    wide = mix.pivot_spend(_media(spark, folder), _CHANNELS)
+    wide = mix.pivot_spend(bridge.media_spend(spark, folder), _CHANNELS)
     return wide.withColumns({c: round_to(c, 2) for c in _CHANNELS})
 
 
 @query("mix_input", over("media_spend offline_sales", f"SELECT * FROM ({_pivot_sql()} GROUP BY week_start) JOIN (SELECT week_start, round_even(sum(total_revenue), 2) AS total_revenue FROM offline_sales GROUP BY 1) USING (week_start)"))
 def _(spark, folder):
-    wide = mix.mix_input(_media(spark, folder), _sales(spark, folder), _CHANNELS)
+    wide = mix.mix_input(*_media_and_sales(spark, folder), _CHANNELS)
     return wide.withColumns({c: round_to(c, 2) for c in (*_CHANNELS, "total_revenue")})
 
 
@@ -69,7 +70,7 @@ def _mix_sql(body, **extra):
 
 
 def _features(spark, folder):
-    return mix.mix_features(_media(spark, folder), _sales(spark, folder), _CHANNELS)
+    return mix.mix_features(*_media_and_sales(spark, folder), _CHANNELS)
 
 
 @query(
@@ -126,7 +127,7 @@ def _(spark, folder):
 
 
 def _fitted(spark, folder):
-    return mix.run_mix(_media(spark, folder), _sales(spark, folder), _CHANNELS)
+    return mix.run_mix(*_media_and_sales(spark, folder), _CHANNELS)
 
 
 @query("run_mix_metrics")

@@ -11,7 +11,8 @@ from tidemark.operators import accounts, filters, ranks, reports
 from tidemark.operators.filters import FilterParams
 from tidemark.plans.registry import query
 from tidemark.plans.views import over
-from tidemark.sources import bridge, ingest, tables
+from tidemark.session import scratch_folder
+from tidemark.sources import bridge, ingest, sinks, tables
 
 
 @query("read_table", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -27,20 +28,27 @@ def _as_text(df, *columns):
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in columns})
 
 
+def _kept(spark, **named):
+    """A folder with the named tables, written as a load would find them: dates as text."""
+    folder = scratch_folder(spark, "tables")
+    sinks.write_tables(folder, **named)
+    return folder
+
+
 @query("load_online_sales", over("online_sales", "SELECT date, channel, category, orders, round_even(revenue, 2) AS revenue FROM online_sales"))
 def _(spark, folder):
-    text = _as_text(bridge.online_sales(spark, folder), "date")
-    return tables.cast_dates(text, "date").withColumn("revenue", round_to("revenue", 2))
+    kept = _kept(spark, online_sales=_as_text(bridge.online_sales(spark, folder), "date"))
+    return tables.load_online_sales(spark, kept).withColumn("revenue", round_to("revenue", 2))
 
 
 @query("load_offline_sales", over("offline_sales", "SELECT * FROM offline_sales"))
 def _(spark, folder):
-    return tables.cast_dates(_as_text(bridge.offline_sales(spark, folder), "week_start"), "week_start")
+    return tables.load_offline_sales(spark, _kept(spark, offline_sales=_as_text(bridge.offline_sales(spark, folder), "week_start")))
 
 
 @query("load_media_spend", over("media_spend", "SELECT * FROM media_spend"))
 def _(spark, folder):
-    return tables.cast_dates(_as_text(bridge.media_spend(spark, folder), "week_start"), "week_start")
+    return tables.load_media_spend(spark, _kept(spark, media_spend=_as_text(bridge.media_spend(spark, folder), "week_start")))
 
 
 @query(
@@ -58,7 +66,7 @@ def _(spark, folder):
             "close_date": F.coalesce("close_date", F.lit("pending")),
         }
     )
-    return tables.cast_dates_leniently(text, *C.CRM_DATE_COLUMNS).select("contact_id", *C.CRM_DATE_COLUMNS)
+    return tables.load_crm_funnel(spark, _kept(spark, crm_funnel=text)).select("contact_id", *C.CRM_DATE_COLUMNS)
 
 
 @query("high_water", over("offline_sales", "SELECT max(week_start) AS high_water FROM offline_sales"))
@@ -242,7 +250,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    found = ranks.describe(bridge.account_revenue(spark, folder), "monthly_revenue")
+    found = ranks.describe(bridge.account_books(spark, folder)[1], "monthly_revenue")
     return found.select("statistic", round_to("value", 4).alias("value"))
 
 

@@ -115,11 +115,14 @@ def _(spark, folder):
     return found.withColumn("drop_pct", round_to("drop_pct", 4))
 
 
+def _months(spark, folder):
+    orders = bridge.customer_months(spark, folder)
+    return buckets.month_spine(bridge.account_deals(spark, folder, orders), "close_date", bridge.account_as_of(orders))
+
+
 @query("month_number", over("account_months", "SELECT account_id, month, months_since_close FROM account_months"))
 def _(spark, folder):
-    deals = bridge.account_deals(spark, folder)
-    months = buckets.month_spine(deals, "close_date", bridge.account_as_of(spark, folder))
-    return months.select("account_id", "month", "months_since_close")
+    return _months(spark, folder).select("account_id", "month", "months_since_close")
 
 
 @query(
@@ -185,8 +188,7 @@ def _(spark, folder):
     over("account_months", "SELECT account_id, count(*) AS months, min(month) AS first_month, max(month) AS last_month FROM account_months GROUP BY 1"),
 )
 def _(spark, folder):
-    months = buckets.month_spine(bridge.account_deals(spark, folder), "close_date", bridge.account_as_of(spark, folder))
-    return months.groupBy("account_id").agg(
+    return _months(spark, folder).groupBy("account_id").agg(
         F.count("*").alias("months"), F.min("month").alias("first_month"), F.max("month").alias("last_month")
     )
 

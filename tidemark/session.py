@@ -3,6 +3,7 @@
 import atexit
 import shutil
 import tempfile
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -53,6 +54,26 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, for what Spark has no writer for: listing, renaming and removing folders."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder; what is written there goes when the driver ends."""
+    _ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        if spark.sparkContext._jsc is not None:
+            found, files = hadoop_path(spark, path)
+            files.delete(found, True)
+
+    atexit.register(drop)
+    return path
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder once and read it from there afterwards.
 

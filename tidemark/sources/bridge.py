@@ -1,7 +1,8 @@
 """Business tables in the engine's shapes, derived from a TPC-H-like star schema.
 
 Money is added up in whole cents held in doubles, so a sum does not depend on the order in
-which tasks deliver it. Each builder joins only the dimensions that the caller asks for.
+which tasks deliver it. Each builder joins only the dimensions that the caller asks for. Bounds on a table's
+own date (`start`, `end`) become bounds on the raw date, so the scan can skip what is outside.
 """
 
 import datetime as dt
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark import constants as C
 from tidemark.functions import dates, scalars
 from tidemark.operators.buckets import month_spine
+from tidemark.operators.filters import FilterParams, only_keys, period_filter
 from tidemark.schemas import STAR
+from tidemark.session import pin
 from tidemark.sources.tables import read_table
 
 CHANNELS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -38,9 +41,9 @@ def _sum_money(cents: Column) -> Column:
     return F.sum(cents) / 100
 
 
-def online_sales(spark: SparkSession, folder: str, dims=("channel", "category")) -> DataFrame:
+def online_sales(spark: SparkSession, folder: str, dims=("channel", "category"), start=None, end=None) -> DataFrame:
     """Day × channel × category from orders and customers."""
-    orders = star(spark, folder, "orders")
+    orders = period_filter(star(spark, folder, "orders"), "o_orderdate", "day", start, end)
     if "category" in dims:
         customer = star(spark, folder, "customer")
         orders = orders.join(customer, orders.o_custkey == customer.c_custkey)
@@ -51,8 +54,8 @@ def online_sales(spark: SparkSession, folder: str, dims=("channel", "category"))
     )
 
 
-def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    line = star(spark, folder, "lineitem")
+def _lines(spark: SparkSession, folder: str, start=None, end=None) -> DataFrame:
+    line = period_filter(star(spark, folder, "lineitem"), "l_shipdate", "week", start, end)
     price, discount = F.col("l_extendedprice"), F.col("l_discount")
     return line.select(
         "l_partkey", "l_suppkey", "l_returnflag", "l_quantity",
@@ -62,23 +65,33 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def offline_sales(spark: SparkSession, folder: str, dims=("region", "store_format", "category")) -> DataFrame:
+def _places(spark: SparkSession, folder: str) -> DataFrame:
+    return (
+        star(spark, folder, "supplier")
+        .join(star(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(star(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select("s_suppkey", "r_name")
+    )
+
+
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    return star(spark, folder, "part").select("p_partkey", "p_type")
+
+
+_OFFLINE_KEYS = {"region": "r_name", "store_format": "p_type", "category": "l_returnflag"}
+
+
+def offline_sales(
+    spark: SparkSession, folder: str, dims=("region", "store_format", "category"), start=None, end=None
+) -> DataFrame:
     """Week × region × format × category from order lines and their dimensions."""
-    lines = _lines(spark, folder)
+    lines = _lines(spark, folder, start, end)
     if "region" in dims:
-        places = (
-            star(spark, folder, "supplier")
-            .join(star(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(star(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("s_suppkey", "r_name")
-        )
-        lines = lines.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+        lines = lines.join(_places(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
     if "store_format" in dims:
-        part = star(spark, folder, "part").select("p_partkey", "p_type")
-        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    named = {"region": "r_name", "store_format": "p_type", "category": "l_returnflag"}
+        lines = lines.join(_parts(spark, folder), F.col("l_partkey") == F.col("p_partkey"))
     return (
-        lines.groupBy("week_start", *[F.col(named[d]).alias(d) for d in dims])
+        lines.groupBy("week_start", *[F.col(_OFFLINE_KEYS[d]).alias(d) for d in dims])
         .agg(
             F.count("*").alias("active_stores"),
             _sum_money(F.col("net_cents")).alias("total_revenue"),
@@ -87,12 +100,17 @@ def offline_sales(spark: SparkSession, folder: str, dims=("region", "store_forma
     )
 
 
-def media_spend(spark: SparkSession, folder: str) -> DataFrame:
+def _media_ratios(facts: DataFrame) -> DataFrame:
+    ratios = scalars.media_ratios()
+    ratios["roas"] = scalars.safe_ratio(F.col("incremental_revenue"), F.col("spend"))
+    return facts.withColumns(ratios)
+
+
+def media_spend(spark: SparkSession, folder: str, start=None, end=None) -> DataFrame:
     """Week × channel from order lines and parts, with the derived ratios."""
-    part = star(spark, folder, "part").select("p_partkey", "p_type")
     facts = (
-        _lines(spark, folder)
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        _lines(spark, folder, start, end)
+        .join(_parts(spark, folder), F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("week_start", F.col("p_type").alias("channel"))
         .agg(
             _sum_money(F.col("off_cents")).alias("spend"),
@@ -102,36 +120,83 @@ def media_spend(spark: SparkSession, folder: str) -> DataFrame:
             _sum_money(F.col("net_cents")).alias("incremental_revenue"),
         )
     )
-    ratios = scalars.media_ratios()
-    ratios["roas"] = scalars.safe_ratio(F.col("incremental_revenue"), F.col("spend"))
-    return facts.withColumns(ratios)
+    return _media_ratios(facts)
+
 
+def line_cube(spark: SparkSession, folder: str, dims=(), start=None, end=None) -> DataFrame:
+    """Sums of the order lines for both offline sales (by `dims`) and media spend, in one aggregate with two grouping sets.
 
-def crm_funnel(spark: SparkSession, folder: str, dims=("industry",)) -> DataFrame:
-    """One contact per order; the stages follow from the order's lines."""
+    A line without a supplier's region or a part counts for the table that does not need it.
+    """
+    lines = _lines(spark, folder, start, end).join(_parts(spark, folder), F.col("l_partkey") == F.col("p_partkey"), "left")
+    paid = F.col("p_partkey").isNotNull()
+    sold = paid if "store_format" in dims else F.lit(True)
+    if "region" in dims:
+        lines = lines.join(_places(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        sold = sold & F.col("s_suppkey").isNotNull()
+    keyed = lines.select(
+        "week_start", *[F.col(_OFFLINE_KEYS[d]).alias(d) for d in dims], sold.alias("sold"), F.col("p_type").alias("channel"),
+        paid.alias("paid"), "net_cents", "off_cents", "l_quantity", "l_returnflag",
+    )
+    shop, media = ["week_start", *dims, "sold"], ["week_start", "channel", "paid"]
+    return keyed.groupingSets([shop, media], *dict.fromkeys(shop + media)).agg(
+        F.grouping("channel").alias("is_shop"), F.count("*").alias("rows"), F.sum("l_quantity").cast("long").alias("units"),
+        F.count_if(F.col("l_returnflag") == "N").alias("returned"),
+        _sum_money(F.col("net_cents")).alias("net"), _sum_money(F.col("off_cents")).alias("off"),
+    )
+
+
+def offline_and_media(spark: SparkSession, folder: str, dims=(), start=None, end=None) -> tuple[DataFrame, DataFrame]:
+    """offline_sales (by `dims`) and media_spend from one pass over the order lines."""
+    cube = pin(line_cube(spark, folder, dims, start, end))
+    shop = cube.filter("is_shop = 1 and sold").select(
+        "week_start", *dims, F.col("rows").alias("active_stores"), F.col("net").alias("total_revenue"), F.col("units").alias("units_sold")
+    )
+    facts = cube.filter("is_shop = 0 and paid").select(
+        "week_start", "channel", F.col("off").alias("spend"), F.col("units").alias("impressions"), F.col("rows").alias("clicks"),
+        F.col("returned").alias("conversions"), F.col("net").alias("incremental_revenue"),
+    )
+    return shop, _media_ratios(facts)
+
+
+def contact_lines(lines: DataFrame) -> DataFrame:
+    """What an order's lines say about its contact."""
     flag, status, shipped = F.col("l_returnflag") == "A", F.col("l_linestatus") == "F", _day("l_shipdate")
-    seen = (
-        star(spark, folder, "lineitem")
-        .groupBy("l_orderkey")
-        .agg(
-            F.bool_or(status).alias("any_f"),
-            F.bool_or(flag).alias("any_a"),
-            F.min(shipped).alias("first_ship"),
-            F.min(F.when(status, shipped)).alias("first_f"),
-            F.min(F.when(flag, shipped)).alias("first_a"),
-            F.max(shipped).alias("last_ship"),
-        )
+    return lines.groupBy("l_orderkey").agg(
+        F.bool_or(status).alias("any_f"),
+        F.bool_or(flag).alias("any_a"),
+        F.min(shipped).alias("first_ship"),
+        F.min(F.when(status, shipped)).alias("first_f"),
+        F.min(F.when(flag, shipped)).alias("first_a"),
+        F.max(shipped).alias("last_ship"),
     )
+
+
+def crm_funnel(spark: SparkSession, folder: str, dims=("industry",), params: FilterParams | None = None) -> DataFrame:
+    """One contact per order; the stages follow from the order's lines.
+
+    With `params`, the orders are picked first, and only their lines are aggregated.
+    """
+    lead = _day("o_orderdate")
     orders = star(spark, folder, "orders")
+    lines = star(spark, folder, "lineitem")
     if "industry" in dims:
         customer = star(spark, folder, "customer").select("c_custkey", F.col("c_mktsegment").alias("industry"))
         orders = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    if params is not None:
+        orders = period_filter(orders, "o_orderdate", "day", params.start_date, params.end_date)
+        named = {"lead_source": "o_orderpriority", **{d: d for d in dims}}
+        for name, value in params.equalities().items():
+            if name in named:
+                orders = orders.filter(F.col(named[name]) == value)
+        orders = pin(orders)
+        lines = only_keys(lines, "l_orderkey", orders, "o_orderkey")
+    seen = contact_lines(lines)
     joined = orders.join(seen, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     mql = F.col("l_orderkey").isNotNull()
     sql = mql & F.col("any_f")
     opp = sql & F.col("any_a")
     won = opp & (F.col("o_orderstatus") == "F")
-    lead = _day("o_orderdate")
     outcome = (
         F.when(won, C.CLOSED_WON)
         .when(opp & (F.col("o_orderstatus") == "O"), "Closed Lost")
@@ -160,10 +225,22 @@ def crm_funnel(spark: SparkSession, folder: str, dims=("industry",)) -> DataFram
     )
 
 
-def account_deals(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per customer: the first order closes the deal."""
+def customer_months(spark: SparkSession, folder: str) -> DataFrame:
+    """Customer × month: revenue, the earliest order and the latest day. All account tables come from it.
+
+    Pinned, so that the orders are read once. The earliest order of a customer is the earliest of a month's.
+    """
     first = F.min(F.struct(_day("o_orderdate").alias("close_date"), "o_orderkey", "o_totalprice", "o_orderpriority"))
-    deals = star(spark, folder, "orders").groupBy("o_custkey").agg(first.alias("d"))
+    by_month = star(spark, folder, "orders").groupBy("o_custkey", dates.month_period(_day("o_orderdate")).alias("month"))
+    return pin(
+        by_month.agg(_sum_money(_cents(F.col("o_totalprice"))).alias("revenue"), first.alias("d"), F.max(_day("o_orderdate")).alias("last_day"))
+    )
+
+
+def account_deals(spark: SparkSession, folder: str, months: DataFrame | None = None) -> DataFrame:
+    """One row per customer: the first order closes the deal."""
+    months = customer_months(spark, folder) if months is None else months
+    deals = months.groupBy("o_custkey").agg(F.min("d").alias("d"))
     customer = star(spark, folder, "customer")
     return deals.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_custkey").cast("string").alias("account_id"),
@@ -175,22 +252,24 @@ def account_deals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def account_as_of(spark: SparkSession, folder: str) -> dt.date:
+def account_as_of(months: DataFrame) -> dt.date:
     """The end of the month of the latest order (today for no orders)."""
-    last = star(spark, folder, "orders").agg(F.last_day(F.max(_day("o_orderdate"))).alias("d")).first()["d"]
+    last = months.agg(F.last_day(F.max("last_day")).alias("d")).first()["d"]
     return last or dt.date.today()
 
 
-def account_revenue(spark: SparkSession, folder: str, deals: DataFrame | None = None) -> DataFrame:
+def account_revenue(deals: DataFrame, months: DataFrame, as_of: dt.date) -> DataFrame:
     """Account × month after the close in whole units of money, silent months at 0."""
-    deals = account_deals(spark, folder) if deals is None else deals
-    months = month_spine(deals.drop("deal_value"), "close_date", account_as_of(spark, folder))
-    earned = (
-        star(spark, folder, "orders")
-        .groupBy(F.col("o_custkey").cast("string").alias("account_id"), dates.month_period(_day("o_orderdate")).alias("month"))
-        .agg(F.rint(_sum_money(_cents(F.col("o_totalprice")))).alias("monthly_revenue"))
-    )
-    return months.join(earned, ["account_id", "month"], "left").fillna(0.0, ["monthly_revenue"])
+    spine = month_spine(deals.drop("deal_value"), "close_date", as_of)
+    earned = months.select(F.col("o_custkey").cast("string").alias("account_id"), "month", F.rint("revenue").alias("monthly_revenue"))
+    return spine.join(earned, ["account_id", "month"], "left").fillna(0.0, ["monthly_revenue"])
+
+
+def account_books(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, dt.date]:
+    """Deals, monthly revenue and as-of date of all accounts from one scan of the orders."""
+    months = customer_months(spark, folder)
+    deals, as_of = pin(account_deals(spark, folder, months)), account_as_of(months)
+    return deals, account_revenue(deals, months, as_of), as_of
 
 
 def metric_facts(spark: SparkSession, folder: str) -> DataFrame:
