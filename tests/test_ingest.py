@@ -1,4 +1,6 @@
 import datetime as dt
+import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +150,64 @@ def test_shortened_texts(spark):
 def test_first_entries(spark):
     df = spark.createDataFrame([(["a", "b", "c"],)], "list array<string>")
     assert [tuple(r) for r in reports.first_entries(df, "list", 2).collect()] == [(1, "a"), (2, "b")]
+
+
+def folder_of(spark, table):
+    return spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").first()["data_type"].removeprefix("file:")
+
+
+def test_the_high_water_mark_opens_no_data_file(warehouse, tmp_path):
+    spark = warehouse
+    spark.sql("CREATE TABLE raw.marked (x int, date date) USING parquet PARTITIONED BY (date)")
+    spark.createDataFrame([(1, D(2024, 5, 1)), (2, D(2024, 5, 3))], "x int, date date").write.insertInto("raw.marked")
+    for path in glob.glob(f"{folder_of(spark, 'raw.marked')}/*/*.parquet"):
+        with open(path, "wb") as f:
+            f.write(b"no parquet")
+    spark.sql("ALTER TABLE raw.marked ADD PARTITION (date = '2024-06-01')")
+    assert ingest.table_high_water(spark, "raw.marked", "date") == D(2024, 5, 3)
+    with pytest.raises(Exception):
+        spark.table("raw.marked").select("x").collect()
+    spark.sql("CREATE TABLE raw.plain (date date) USING parquet")
+    assert ingest.table_high_water(spark, "raw.plain", "date") is None
+    spark.sql("INSERT INTO raw.plain VALUES (DATE '2024-01-09'), (DATE '2024-01-07')")
+    assert ingest.table_high_water(spark, "raw.plain", "date") == D(2024, 1, 9)
+
+
+@pytest.mark.parametrize("step", ["_insert", "log_run", "hadoop_path"])
+@pytest.mark.parametrize("mode", ["full", "incremental"])
+def test_a_load_that_breaks_off_is_finished_by_the_next(warehouse, tmp_path, monkeypatch, step, mode):
+    """A failure before publishing, between publishing and logging, and before the clean-up."""
+    spark, folder = warehouse, str(tmp_path)
+    sinks.write_tables(folder, online_sales=online(spark, D(2024, 2, 1), D(2024, 2, 1), D(2024, 2, 2)))
+    ingest.load_all(spark, folder, "full", ["online_sales"])
+    before = len(runs(spark))
+    more = [D(2024, 2, 2), D(2024, 2, 3), D(2024, 2, 3), D(2024, 2, 4)]
+    sinks.write_tables(folder, online_sales=online(spark, *more))
+    real, calls = getattr(ingest, step), []
+
+    def breaks(*args, **kw):
+        calls.append(args)
+        # The third folder that is looked up is the run's own, for its removal.
+        if step != "hadoop_path" or "__runs/" in args[1] and not args[1].endswith("_SUCCESS"):
+            raise KeyboardInterrupt
+        return real(*args, **kw)
+
+    monkeypatch.setattr(ingest, step, breaks)
+    with pytest.raises(KeyboardInterrupt):
+        ingest.load_all(spark, folder, mode, ["online_sales"])
+    monkeypatch.setattr(ingest, step, real)
+    assert len(ingest.unfinished_runs(spark, "raw.online_sales")) == 1
+    ingest.load_all(spark, folder, "incremental", ["online_sales"])
+    days = sorted(r["date"] for r in spark.table("raw.online_sales").select("date").collect())
+    assert days == (sorted(more) if mode == "full" else [D(2024, 2, 1)] * 2 + [D(2024, 2, 2)] + more[1:])
+    assert runs(spark)[before:] == [("online_sales", 4 if mode == "full" else 3, "success")]
+    assert ingest.unfinished_runs(spark, "raw.online_sales") == [] and ingest.recover(spark, "raw.online_sales", schemas.ONLINE_SALES) == 0
+
+
+def test_a_load_that_was_never_whole_is_dropped(warehouse, tmp_path):
+    spark = warehouse
+    runs_at = ingest._runs_folder(spark, "raw.media_spend")
+    spark.range(3).write.parquet(f"{runs_at}/000000000000001_broken_incremental")
+    os.remove(f"{runs_at.removeprefix('file:')}/000000000000001_broken_incremental/_SUCCESS")
+    assert ingest.unfinished_runs(spark, "raw.media_spend") == []
+    assert os.listdir(runs_at.removeprefix("file:")) == []

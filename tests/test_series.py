@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import numpy as np
@@ -51,6 +52,41 @@ def test_adstock_follows_the_recursion(spark, decay):
         S.with_adstock(found, {"b": "x"}, "i", 1.0)
 
 
+@pytest.mark.parametrize("decay", [0.4, 0.99, 1e-6])
+def test_adstock_across_blocks_of_the_calendar(spark, decay):
+    """Series of decades with holes, repeated dates and a null key: the recursion, from blocks in many tasks."""
+    rng, rows = np.random.default_rng(2), []
+    for key, n, gaps in (("a", 2500, (0, 1, 1, 7, 30)), ("b", 300, (1,)), (None, 200, (1, 400))):
+        day = dt.date(1950, 1, 1)
+        for i in range(n):
+            day += dt.timedelta(int(rng.choice(gaps)))
+            rows.append((key, i, day + dt.timedelta(0), None if i % 11 == 0 else float(rng.uniform(-10, 1e6)), dt.datetime.combine(day, dt.time(i % 24, i % 60))))
+    df = spark.createDataFrame(rows, "k string, i int, d date, x double, at timestamp")
+    carried, want = {}, {}
+    for key, i, _, x, _ in rows:
+        carried[key] = (x or 0.0) + decay * carried.get(key, 0.0)
+        want[key, i] = carried[key]
+    found = S.with_adstock(df, {"a.b": "x", "twice": "x"}, "i", decay, ["k"])
+    got = {(r["k"], r["i"]): r for r in found.collect()}
+    assert got.keys() == want.keys()
+    for place, value in want.items():
+        assert got[place]["a.b"] == got[place]["twice"] == pytest.approx(value, rel=1e-12, abs=1e-9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_adstock_by_date_without_keys(spark):
+    days = [dt.date(2020, 1, 6) + dt.timedelta(7 * i) for i in range(200)]
+    df = spark.createDataFrame([(d, 1.0 + i % 5, "kept") for i, d in enumerate(days)], "d date, x double, _all string")
+    found = S.with_adstock(df, {"a": "x"}, "d", 0.5).orderBy("d").collect()
+    want = 0.0
+    for i, r in enumerate(found):
+        want = 1.0 + i % 5 + 0.5 * want
+        assert r["a"] == pytest.approx(want, rel=1e-12) and r["_all"] == "kept"
+    with pytest.raises(ValueError):
+        S.with_adstock(df, {"a": "x"}, "_all", 0.5)
+
+
 def test_shares_sum_to_one_per_period(spark):
     df = spark.range(300).select((F.col("id") % 3).alias("week"), (F.col("id") + 1).cast("double").alias("x"))
     sums = S.share_of_total(df, "x", "week", 12).groupBy("week").agg(F.sum("share").alias("s")).collect()

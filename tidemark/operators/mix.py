@@ -45,7 +45,7 @@ def mix_features(
     k: float = C.MIX_SATURATION, date_col: str = "week_start", sales_col: str = "total_revenue",
 ) -> DataFrame:
     """One row per week: the transformed spend of each channel, season, trend and sales."""
-    wide = mix_input(media, sales, channels, date_col, sales_col)
+    wide = pin(mix_input(media, sales, channels, date_col, sales_col))
     wide = with_adstock(wide, {feature_name(c): c for c in channels}, date_col, decay)
     terms = {feature_name(c): saturate(F.col(f"`{feature_name(c)}`"), k) for c in channels}
     terms.update(week_harmonics(F.col(date_col)))

@@ -6,8 +6,7 @@ bounded by the calendar. Aggregate raw rows with `buckets.period_totals` first.
 
 import math
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalars import round_to, safe_ratio
 from tidemark.session import lookup_join
@@ -42,27 +41,119 @@ def ffill(x: str, order: str, keys=()) -> Column:
     return F.last(x, ignorenulls=True).over(_ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0))
 
 
+# Calendar days of a block and of a super-block: a block is carried over inside one window, a super-block and
+# a series in one short list of blocks.
+_BLOCK_DAYS, _BLOCKS = 64, 64
+# Rows of a block that one window takes; powers of the decay stay within the range of doubles.
+_WINDOW_ROWS = 64
+
+
+def _blocks(order: str, df: DataFrame) -> Column:
+    """Number of the stretch of the order column that a row lies in; nulls come last."""
+    kind = dict(df.dtypes)[order]
+    at = F.col(order)
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        at = F.unix_date(at.cast("date"))
+    elif kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{order} has to be a date, a timestamp or a whole number, not {kind}")
+    return F.coalesce(F.floor(at / _BLOCK_DAYS).cast("long"), F.lit(1 << 40))
+
+
+def _carried(pairs: DataFrame, group: list[str], names: list[str]) -> DataFrame:
+    """What comes into each block of a group, as a pair (share, carry): share · (into the group) + carry.
+
+    A block turns what comes in into share · in + carry. Two blocks in a row are again such a pair, and this
+    composition is associative, so groups can be put together in any number of steps. `pairs` has the group,
+    `_seq` and per name a struct of share and carry; each group's list is short.
+    """
+    one = F.struct(F.lit(1.0).alias("share"), F.lit(0.0).alias("carry"))
+
+    def after(state, block):
+        return F.struct(
+            (block["share"] * state["share"]).alias("share"), (block["share"] * state["carry"] + block["carry"]).alias("carry")
+        )
+
+    def prefix(name):
+        listed = F.transform("_list", lambda b: b[name])
+        empty = F.array().cast("array<struct<share:double,carry:double>>")
+        start = F.struct(one.alias("now"), empty.alias("before"))
+        return F.aggregate(
+            listed, start,
+            lambda s, b: F.struct(after(s["now"], b).alias("now"), F.concat(s["before"], F.array(s["now"])).alias("before")),
+        )
+
+    gathered = pairs.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_seq", *names))).alias("_list"))
+    return gathered.select(*group, F.transform("_list", lambda b: b["_seq"]).alias("_seqs"), *[prefix(n).alias(n) for n in names])
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join on columns of the same names where nulls are equal."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(renamed, same).drop(*[f"_r_{c}" for c in on])
+
+
 def with_adstock(df: DataFrame, terms: dict[str, str], order: str, decay: float, keys=()) -> DataFrame:
     """Add columns that carry a share of each row on to the next: a[t] = x[t] + decay · a[t−1].
 
-    `terms` maps a new column to its x. A series is one calendar, so it is gathered whole and
-    walked once, without a cut. Nulls count as 0.
+    `terms` maps a new column to its x. Nulls count as 0, and nothing is cut off. A series is split into blocks of its calendar,
+    which can lie in different tasks: each block is summed by a window, a block as a whole is the pair
+    (decay ** rows, what it carries out), and the pairs are put together along the series. Built-in functions only.
+    Rows of one date keep the order in which the window meets them. Reads `df` twice: pin a derived table first.
     """
     if not 0 <= decay < 1:
         raise ValueError("the decay must be in [0, 1)")
+    keys = list(keys)
+    if decay == 0:
+        return df.withColumns({n: F.coalesce(F.col(f"`{x}`").cast("double"), F.lit(0.0)) for n, x in terms.items()})
+    rows = max(1, min(_WINDOW_ROWS, int(250 / -math.log10(decay))))
+    cell = [*keys, "_block", "_part"]
+    share = F.lit(decay)
+    values = {f"_x{i}": F.coalesce(F.col(f"`{x}`").cast("double"), F.lit(0.0)) for i, x in enumerate(terms.values())}
+    placed = (
+        df.withColumns({"_block": _blocks(order, df), **values})
+        .withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(F.col(order).asc_nulls_last())) - 1)
+        .withColumns({"_part": F.floor(F.col("_nth") / rows), "_at": F.col("_nth") % rows})
+    )
+    so_far = Window.partitionBy(*cell).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumns(
+        {f"_x{i}": F.sum(F.col(f"_x{i}") * F.pow(share, -F.col("_at"))).over(so_far) * F.pow(share, F.col("_at")) for i in range(len(terms))}
+    )
+    names = [f"_p{i}" for i in range(len(terms))]
+
+    def pair(a, b):
+        return F.struct(a.alias("share"), b.alias("carry"))
 
-    def carry(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        for name, x in terms.items():
-            carried, out = 0.0, []
-            for v in table.column(x).to_pylist():
-                carried = float(v or 0.0) + decay * carried
-                out.append(carried)
-            table = table.append_column(name, pa.array(out, pa.float64()))
-        return table.drop_columns(["_all"])
-
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in terms]])
-    return df.withColumn("_all", F.lit(0)).groupBy("_all", *keys).applyInArrow(carry, schema)
+    # Parts within blocks, blocks within super-blocks, super-blocks within the series.
+    parts = local.groupBy(*cell).agg(
+        *[pair(F.pow(share, F.count("*")), F.max_by(f"_x{i}", "_at")).alias(n) for i, n in enumerate(names)]
+    )
+    levels, now = [], parts.withColumnRenamed("_part", "_seq")
+    for group, seq in (
+        ([*keys, "_super", "_block"], "_block"), ([*keys, "_super"], "_super"), (keys, None),
+    ):
+        now = now.withColumn("_super", F.floor(F.col("_block") / _BLOCKS)) if seq == "_block" else now
+        found = _carried(now, group, names)
+        levels.append(found)
+        if seq:
+            now = found.select(*[c for c in group if c != seq], F.col(seq).alias("_seq"), *[F.col(n)["now"].alias(n) for n in names])
+    into = levels[2].select(*keys, F.posexplode("_seqs").alias("_i", "_super"), *[F.col(n)["before"].alias(n) for n in names])
+    into = into.select(*keys, "_super", *[F.get(n, F.col("_i"))["carry"].alias(n) for n in names])
+    for level, name in ((levels[1], "_block"), (levels[0], "_part")):
+        spread = level.select(
+            *[c for c in level.columns if c not in (*names, "_seqs")], F.posexplode("_seqs").alias("_i", name),
+            *[F.col(n)["before"].alias(f"{n}b") for n in names],
+        )
+        on = [*keys, "_super"] + (["_block"] if name == "_part" else [])
+        joined = _null_safe(spread, into, on)
+        into = joined.select(
+            *on, name, *[(F.get(f"{n}b", F.col("_i"))["share"] * F.col(n) + F.get(f"{n}b", F.col("_i"))["carry"]).alias(n) for n in names]
+        )
+    done = _null_safe(local, into.drop("_super"), cell)
+    return done.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[(F.col(f"_x{i}") + F.pow(share, F.col("_at") + 1) * F.col(n)).alias(name) for i, (name, n) in enumerate(zip(terms, names))],
+    )
 
 
 def trend_index(order: str, keys=()) -> Column:

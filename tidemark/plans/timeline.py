@@ -9,6 +9,7 @@ from tidemark.functions.scalars import round_to
 from tidemark.operators import buckets, series as S
 from tidemark.plans.registry import query
 from tidemark.plans.views import over
+from tidemark.session import pin
 from tidemark.sources import bridge
 
 _WEEKLY = "SELECT category, week_start, sum(total_revenue) AS x FROM offline_sales GROUP BY 1, 2"
@@ -75,7 +76,7 @@ def _adstock_sql(decay: float) -> str:
 
 
 def _adstock(spark, folder, decay):
-    spend = bridge.media_spend(spark, folder).select("channel", "week_start", "spend")
+    spend = pin(bridge.media_spend(spark, folder).select("channel", "week_start", "spend"))
     carried = S.with_adstock(spend, {"adstocked": "spend"}, "week_start", decay, ["channel"])
     return carried.select("channel", "week_start", round_to("adstocked", 4).alias("adstocked"))
 

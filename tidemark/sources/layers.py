@@ -5,9 +5,11 @@ from pyspark.sql import SparkSession, types as T
 from tidemark.schemas import LAYERS, LOAD_DATES, REGISTRY
 
 
-def ensure_layers(spark: SparkSession, layers=LAYERS) -> None:
+def ensure_layers(spark: SparkSession, layers=LAYERS, folder: str | None = None) -> None:
+    """A database per layer, in `folder` if one is given and in the warehouse otherwise."""
     for layer in layers:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
+        place = f" LOCATION '{folder}/{layer}'" if folder else ""
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}{place}")
 
 
 def partition_column(layer: str, schema: T.StructType) -> str | None:
