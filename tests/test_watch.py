@@ -1,11 +1,14 @@
 import datetime as dt
+import glob
 import json
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import constants as C
 from tidemark.operators import alerts, anomaly, checks
 
 D = dt.date
@@ -107,3 +110,64 @@ def test_alerts_of_both_kinds(spark):
     assert all("metric_value" not in p for p in payloads)
     top = alerts.top_alerts(both, 3).collect()
     assert [r["severity"] for r in top][:2] == ["critical", "critical"] and top[0]["line"].startswith("*[CRITICAL]* `online` — ")
+
+
+def test_schema_tells_missing_and_changed_together(spark):
+    row = checks.check_schema(series(spark, 1), "t", ["date", "orders"], {"revenue": "bigint", "date": "date"}).first()
+    assert row["detail"] == "Missing columns: ['orders']; Changed types: ['revenue: double is not bigint']"
+
+
+def test_files_that_differ_are_found_in_their_footers(spark, tmp_path):
+    folder, types = str(tmp_path / "t.parquet"), {"date": "date", "revenue": "double"}
+    series(spark, 40).repartition(3).write.parquet(folder)
+    assert [tuple(r)[:4] for r in checks.check_file_schemas(spark, folder, "t", types).collect()] == [("t", "file_schema", "ok", C.SCHEMA_OK_DETAIL)]
+    series(spark, 2).selectExpr("cast(date as string) as date", "1 as extra").coalesce(1).write.parquet(f"{folder}/late")
+    found = checks.check_file_schemas(spark, folder, "t", types).collect()
+    assert [r["status"] for r in found] == ["critical"]
+    assert "Missing columns: [revenue]; Changed types: [date: string is not date]" in found[0]["detail"]
+    # The scan of the folder shows one schema and hides this.
+    assert checks.check_schema(spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/part*"), "t", types, types).first()["status"] == "ok"
+
+
+def test_kept_counts_read_new_files_only(spark, tmp_path):
+    folder, state = f"{tmp_path}/t.parquet", f"{tmp_path}/state"
+    many = series(spark, 60)
+
+    def add(df):
+        df.coalesce(1).write.mode("append").parquet(folder)
+
+    def agrees():
+        got = {(r["week"], r["rows"], r["latest"]) for r in checks.keep_weekly_counts(spark, folder, "date", state).collect()}
+        want = checks._weekly(spark.read.parquet(folder), "date").collect()
+        assert got == {(r["week"], r["rows"], dt.datetime.combine(r["latest"], dt.time()) if r["latest"] else None) for r in want}
+
+    def noted():
+        return spark.read.parquet(state).agg(F.count_distinct("path"), F.sum("rows")).first()
+
+    add(many.filter("date < '2023-02-01'"))
+    agrees()
+    first = glob.glob(f"{folder}/*.parquet")
+    assert tuple(noted()) == (1, 31)
+    add(many.filter("date >= '2023-02-01'"))
+    add(many.limit(0))
+    add(spark.createDataFrame([(None, 1.0)], "date date, revenue double"))
+    # A file that is counted already is not opened again: it cannot even be read.
+    saved = open(first[0], "rb").read()
+    stamp = os.stat(first[0])
+    with open(first[0], "wb") as f:
+        f.write(b"x" * len(saved))
+    os.utime(first[0], ns=(stamp.st_atime_ns, stamp.st_mtime_ns))
+    found = {r["week"]: r["rows"] for r in checks.keep_weekly_counts(spark, folder, "date", state).collect()}
+    assert sum(found.values()) == 61 and found[None] == 1
+    with open(first[0], "wb") as f:
+        f.write(saved)
+    os.utime(first[0], ns=(stamp.st_atime_ns, stamp.st_mtime_ns))
+    agrees()
+    assert noted()[1] == 61
+    os.remove(first[0])
+    spark.catalog.refreshByPath(folder)
+    agrees()
+    kept = checks.keep_weekly_counts(spark, folder, "date", state)
+    whole = {"t": (spark.read.parquet(folder), "date", [])}
+    want = [tuple(r) for r in checks.run_all_checks(whole, NOW).filter("check <> 'schema_drift'").orderBy("check").collect()]
+    assert [tuple(r) for r in checks.check_kept_counts(kept, "t", NOW).orderBy("check").collect()] == want

@@ -108,6 +108,8 @@ ROWS_HINT = (
     "Row count dropped %.0f%% vs recent average (%.0f vs %.0f). "
     "Possible partial ingestion, upstream truncation, or filter change."
 )
+MISSING_DETAIL = "Missing columns: %s"
+CHANGED_DETAIL = "Changed types: %s"
 SCHEMA_OK_DETAIL = "All expected columns present."
 SCHEMA_HINT = (
     "Schema change detected. Upstream source may have renamed or removed columns. "

@@ -3,14 +3,16 @@
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark import constants as C
 from tidemark.functions.dates import week_period
 from tidemark.functions.scalars import round_to, safe_ratio
 from tidemark.operators.anomaly import by_severity
 from tidemark.schemas import CHECK_RESULT
-from tidemark.session import pin_all
+from tidemark.session import hadoop_path, pin, pin_all
+from tidemark.sources.files import FILE_KEY, data_files, file_schemas
+
 
 def _result(table: str, check: str, status: Column, detail: Column, metric: Column, threshold: Column, hint: Column):
     columns = (F.lit(table), F.lit(check), status, detail, metric, threshold, hint)
@@ -94,17 +96,83 @@ def check_schema(df: DataFrame, table: str, expected, types: dict[str, str] | No
     missing = missing_columns(df, expected)
     actual = dict(df.dtypes)
     changed = [f"{c}: {actual[c]} is not {t}" for c, t in (types or {}).items() if actual.get(c, t) != t]
-    if missing:
-        detail = f"Missing columns: {missing}"
-    elif changed:
-        detail = f"Changed types: {changed}"
-    else:
-        detail = C.SCHEMA_OK_DETAIL
-    bad = bool(missing or changed)
-    row = (table, "schema_drift", "critical" if bad else "ok", detail, None, None, C.SCHEMA_HINT if bad else None)
+    found = [C.MISSING_DETAIL % missing] * bool(missing) + [C.CHANGED_DETAIL % changed] * bool(changed)
+    bad = bool(found)
+    row = (
+        table, "schema_drift", "critical" if bad else "ok", "; ".join(found) or C.SCHEMA_OK_DETAIL, None, None,
+        C.SCHEMA_HINT if bad else None,
+    )
     return df.sparkSession.createDataFrame([row], CHECK_RESULT)
 
 
+def check_file_schemas(spark: SparkSession, folder: str, table: str, types: dict[str, str]) -> DataFrame:
+    """One row per file below `folder` that lacks a column or has it in another type, or one "ok" row.
+
+    The schemas come from the files' footers, read in tasks; a scan of the folder would show one schema for all.
+    """
+    expected = F.map_from_arrays(F.array(*[F.lit(c) for c in types]), F.array(*[F.lit(t) for t in types.values()]))
+    own = F.map_from_entries(F.collect_list(F.struct("column", "type")))
+    files = file_schemas(spark, folder).groupBy("path").agg(own.alias("own")).withColumn("wanted", expected)
+    missing = F.filter(F.map_keys("wanted"), lambda c: ~F.map_contains_key("own", c))
+    changed = F.filter(
+        F.map_keys("wanted"), lambda c: F.map_contains_key("own", c) & (F.element_at("own", c) != F.element_at("wanted", c))
+    )
+    told = F.transform("changed", lambda c: F.concat(c, F.lit(": "), F.element_at("own", c), F.lit(" is not "), F.element_at("wanted", c)))
+
+    def listed(names: Column) -> Column:
+        return F.concat(F.lit("["), F.array_join(names, ", "), F.lit("]"))
+
+    drifted = pin(files.withColumns({"missing": missing, "changed": changed}).filter("size(missing) + size(changed) > 0"))
+    detail = F.concat_ws(
+        "; ", F.element_at(F.split("path", "/"), -1),
+        F.when(F.size("missing") > 0, F.format_string(C.MISSING_DETAIL, listed(F.col("missing")))),
+        F.when(F.size("changed") > 0, F.format_string(C.CHANGED_DETAIL, listed(told))),
+    )
+    none = F.lit(None)
+    bad = drifted.select(*_result(table, "file_schema", F.lit("critical"), detail, none, none, F.lit(C.SCHEMA_HINT)))
+    fine = drifted.agg(F.count("*").alias("n")).filter("n = 0").select(
+        *_result(table, "file_schema", F.lit("ok"), F.lit(C.SCHEMA_OK_DETAIL), none, none, none)
+    )
+    return bad.union(fine)
+
+
+_COUNTS = "path string, modified timestamp, bytes long, week date, rows long, latest timestamp_ntz"
+
+
+def keep_weekly_counts(spark: SparkSession, folder: str, date_col: str, state: str) -> DataFrame:
+    """Rows and newest record per week of the Parquet files below `folder`, from counts that are kept in `state`.
+
+    Each run counts only the files that the state does not know (by path, time and size) and adds their counts.
+    Counts of files that are gone or were written anew are passed over. A file without rows is noted too. A run that
+    breaks off has added nothing, or its files twice at most; files are told apart, so nothing is counted twice.
+    """
+    files = pin(data_files(spark, folder))
+    path, system = hadoop_path(spark, state)
+    kept = spark.read.schema(_COUNTS).parquet(state) if system.exists(path) else spark.createDataFrame([], _COUNTS)
+    fresh = files.join(kept.select(*FILE_KEY), list(FILE_KEY), "left_anti")
+    names = [r["path"] for r in fresh.select("path").toLocalIterator()]
+    if names:
+        # Only new files are opened: their number is that of the new partitions, not of the table.
+        rows = spark.read.option("basePath", folder).parquet(*names)
+        counted = rows.groupBy(F.col("_metadata.file_path").alias("_file"), week_period(F.col(date_col).cast("date")).alias("week")).agg(
+            F.count("*").alias("rows"), F.max(F.col(date_col).cast("timestamp_ntz")).alias("latest")
+        )
+        same = F.regexp_replace(F.col("_file"), "^file:/+", "file:/") == F.regexp_replace(F.col("path"), "^file:/+", "file:/")
+        noted = fresh.join(counted, same, "left").select(*FILE_KEY, "week", F.coalesce("rows", F.lit(0)).alias("rows"), "latest")
+        noted.write.mode("append").parquet(state)
+        kept = spark.read.schema(_COUNTS).parquet(state)
+    now = kept.dropDuplicates([*FILE_KEY, "week"]).join(files, list(FILE_KEY), "left_semi").filter("rows > 0")
+    return now.groupBy("week").agg(F.sum("rows").alias("rows"), F.max("latest").alias("latest"))
+
+
+def check_kept_counts(weeks: DataFrame, table: str, now: dt.datetime) -> DataFrame:
+    """The freshness and volume checks on kept weekly counts, without a scan of the table."""
+    weeks = pin(weeks)
+    return _freshness(weeks, table, now, C.FRESH_WARN_DAYS, C.FRESH_CRITICAL_DAYS).union(
+        _row_count(weeks, table, C.ROWS_LOOKBACK, C.ROWS_DROP_WARN)
+    )
+
+
 def run_all_checks(tables: dict[str, tuple[DataFrame, str, list[str]]], now: dt.datetime) -> DataFrame:
     """All checks of all tables, worst first. `tables` maps a name to (rows, date column, columns).
 

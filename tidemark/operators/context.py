@@ -138,3 +138,35 @@ def build_context(metrics: DataFrame) -> DataFrame:
     return metrics.agg(*sections).select(
         F.to_json(F.struct(*_DOCUMENT), {"ignoreNullFields": "false"}).alias("context")
     )
+
+
+_KIND_TYPES = {"value": "double", "text": "string", "map": "map<string,double>"}
+_SCHEMA = ", ".join(
+    f"{section} struct<{', '.join(f'{m}: {_KIND_TYPES[kind]}' for m, kind in figures.items())}>" for section, figures in _DOCUMENT.items()
+)
+
+
+def context_rows(documents: DataFrame) -> DataFrame:
+    """The figures in documents of `build_context`, in the shape of `context_metrics`; absent ones give no row."""
+    parsed = F.from_json("context", _SCHEMA)
+    none = F.lit(None)
+
+    def row(section: str, metric: str, name: Column, value: Column, text: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), F.lit(metric).alias("metric"), name.cast("string").alias("name"),
+            value.cast("double").alias("value"), text.cast("string").alias("text"),
+        )
+
+    def figure(section: str, metric: str, kind: str) -> Column:
+        found = F.col("_c")[section][metric]
+        if kind == "map":
+            return F.transform(F.map_entries(found), lambda e: row(section, metric, e["key"], e["value"], none))
+        return F.array(row(section, metric, none, *((found, none) if kind == "value" else (none, found))))
+
+    lists = [figure(section, metric, kind) for section, figures in _DOCUMENT.items() for metric, kind in figures.items()]
+    every = F.flatten(F.array(*[F.coalesce(x, F.array().cast(_ROWS)) for x in lists]))
+    rows = documents.select(parsed.alias("_c")).select(F.inline(every))
+    return rows.filter(F.coalesce(F.col("value").cast("string"), F.col("text")).isNotNull())
+
+
+_ROWS = "array<struct<section:string,metric:string,name:string,value:double,text:string>>"

@@ -16,7 +16,7 @@ from tidemark.sources import bridge
 _CUTOFF = dt.date(1995, 10, 1)
 
 
-def _summary(spark, folder):
+def summary(spark, folder):
     deals, monthly, as_of = bridge.account_books(spark, folder)
     return accounts.account_summary(monthly, deals, as_of)
 
@@ -25,7 +25,7 @@ def _with_risk(spark, folder):
     """A rule stands in for the model's probability, so that everything after it can be checked."""
     share = round_to(F.least(F.col("months_since_last_order") / 12, F.lit(1.0)), 4)
     chance = F.when(F.col("is_churned") == 1, 1.0).otherwise(share)
-    rated = _summary(spark, folder).withColumn("churn_probability", chance)
+    rated = summary(spark, folder).withColumn("churn_probability", chance)
     return rated.withColumn("risk_tier", scalars.risk_tier(F.col("churn_probability")))
 
 
@@ -40,22 +40,22 @@ def _(spark, folder):
 
 @query("account_summary", over("account_summary", "SELECT * FROM account_summary"))
 def _(spark, folder):
-    return _summary(spark, folder)
+    return summary(spark, folder)
 
 
 @query("trend_slope", over("account_summary", "SELECT account_id, revenue_trend_slope, mom_growth_3m FROM account_summary"))
 def _(spark, folder):
-    return _summary(spark, folder).select("account_id", "revenue_trend_slope", "mom_growth_3m")
+    return summary(spark, folder).select("account_id", "revenue_trend_slope", "mom_growth_3m")
 
 
 @query("is_churned", over("account_summary", "SELECT is_churned, count(*) AS accounts FROM account_summary GROUP BY 1"))
 def _(spark, folder):
-    return _summary(spark, folder).groupBy("is_churned").agg(F.count("*").alias("accounts"))
+    return summary(spark, folder).groupBy("is_churned").agg(F.count("*").alias("accounts"))
 
 
 @query("active_accounts", over("account_summary", "SELECT account_id, last_3m_avg FROM account_summary WHERE is_churned = 0"))
 def _(spark, folder):
-    return filters.active_accounts(_summary(spark, folder)).select("account_id", "last_3m_avg")
+    return filters.active_accounts(summary(spark, folder)).select("account_id", "last_3m_avg")
 
 
 @query("at_risk", over("scored_accounts", "SELECT account_id, risk_tier, churn_probability FROM scored_accounts WHERE risk_tier IN ('High', 'Medium')"))
@@ -65,13 +65,13 @@ def _(spark, folder):
 
 @query("pct_rank_avg", over("growth_ranks", "SELECT account_id, round_even(pct_rank, 8) AS pct_rank FROM growth_ranks"))
 def _(spark, folder):
-    ranked = ranks.pct_rank_avg(pin(_summary(spark, folder)), "mom_growth_3m", "industry")
+    ranked = ranks.pct_rank_avg(pin(summary(spark, folder)), "mom_growth_3m", "industry")
     return ranked.select("account_id", round_to("pct_rank", 8).alias("pct_rank"))
 
 
 @query("growth_score", over("scored_accounts", "SELECT account_id, growth_score, growth_tier FROM scored_accounts"))
 def _(spark, folder):
-    scored = accounts.growth_score(pin(_summary(spark, folder)))
+    scored = accounts.growth_score(pin(summary(spark, folder)))
     return scored.select("account_id", "growth_score", "growth_tier")
 
 
@@ -119,7 +119,7 @@ def _(spark, folder):
 
 @query("class_weight", over("account_summary", "SELECT coalesce(count(*) FILTER (WHERE is_churned <> 1) / nullif(count(*) FILTER (WHERE is_churned = 1), 0), 1) AS positive_weight FROM account_summary"))
 def _(spark, folder):
-    return accounts.class_weight(_summary(spark, folder))
+    return accounts.class_weight(summary(spark, folder))
 
 
 @query(
@@ -132,7 +132,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     """A row per account and fitted category."""
-    rows = pin(_summary(spark, folder).select("account_id", "industry"))
+    rows = pin(summary(spark, folder).select("account_id", "industry"))
     indexer, encoder = accounts.one_hot(["industry"])
     labels = indexer.fit(rows)
     indexed = labels.transform(rows)
@@ -164,7 +164,7 @@ def _flags_sql(column, before):
 )
 def _(spark, folder):
     """Feature vectors of all accounts in the columns that the early accounts defined, a row per place."""
-    rows = pin(_summary(spark, folder).fillna(0.0, list(accounts.CHURN_NUMBERS)))
+    rows = pin(summary(spark, folder).fillna(0.0, list(accounts.CHURN_NUMBERS)))
     stages = accounts.feature_stages().fit(rows.filter(F.col("close_date") < F.lit(_CUTOFF)))
     placed = stages.transform(rows).select("account_id", F.posexplode(vector_to_array("features")).alias("position", "value"))
     return placed.select("account_id", F.col("position").cast("long").alias("position"), round_to("value", 6).alias("value"))
@@ -172,10 +172,10 @@ def _(spark, folder):
 
 @query("churn_score")
 def _(spark, folder):
-    scored = accounts.churn_score(_summary(spark, folder), _CUTOFF)
+    scored = accounts.churn_score(summary(spark, folder), _CUTOFF)
     return scored.select("account_id", "is_churned", "churn_probability", "risk_tier")
 
 
 @query("score_accounts")
 def _(spark, folder):
-    return accounts.score_accounts(_summary(spark, folder), _CUTOFF)
+    return accounts.score_accounts(summary(spark, folder), _CUTOFF)

@@ -451,6 +451,12 @@ def _(spark, folder):
     return context.build_context(_metrics(spark, folder))
 
 
+@query("context_document", f"SELECT * FROM ({_CONTEXT}) WHERE value IS NOT NULL OR text IS NOT NULL")
+def _(spark, folder):
+    """The figures of the document that build_context writes, read back from its JSON."""
+    return context.context_rows(context.build_context(_metrics(spark, folder)))
+
+
 @query(
     "share_of_total",
     over("media_spend", "SELECT week_start, channel, round_even(incremental_revenue / greatest(sum(incremental_revenue) OVER (PARTITION BY week_start), 1), 4) AS share FROM media_spend"),

@@ -11,7 +11,7 @@ from tidemark.plans.views import over
 from tidemark.sources import bridge
 
 _KEY = ["metric"]
-_NOW = dt.datetime(2024, 2, 4, 12, 0)
+NOW = dt.datetime(2024, 2, 4, 12, 0)
 
 
 def _flat(found):
@@ -147,7 +147,7 @@ def _events(spark, folder):
 _EVENTS = "SELECT *, CAST(ts AS DATE) AS date FROM events"
 
 
-def _fresh_sql(name, source, day, now="TIMESTAMP '2024-02-04 12:00:00'"):
+def fresh_sql(name, source, day, now="TIMESTAMP '2024-02-04 12:00:00'"):
     return f"""SELECT '{name}' AS table_name, 'freshness' AS check,
         CASE WHEN n = 0 OR age >= 7 THEN 'critical' WHEN age >= 3 THEN 'warning' ELSE 'ok' END AS status,
         CASE WHEN n = 0 THEN 'Table is empty.' ELSE 'Latest record: ' || strftime(latest, '%Y-%m-%d') || '  (' || age || ' days ago)' END AS detail,
@@ -159,7 +159,7 @@ def _fresh_sql(name, source, day, now="TIMESTAMP '2024-02-04 12:00:00'"):
               FROM (SELECT count(*) AS n, max({day}) AS latest FROM ({source})))"""
 
 
-def _count_sql(name, source, day):
+def count_sql(name, source, day):
     return f"""SELECT '{name}' AS table_name, 'row_count' AS check,
         CASE WHEN total < 8 THEN 'warning' WHEN periods < 5 THEN 'ok' WHEN p >= 0.6 THEN 'critical' WHEN p >= 0.4 THEN 'warning' ELSE 'ok' END AS status,
         CASE WHEN total < 8 THEN 'Insufficient data for row count comparison.' WHEN periods < 5 THEN 'Not enough periods to compare.'
@@ -174,17 +174,17 @@ def _count_sql(name, source, day):
                     SELECT date_trunc('week', {day}) AS wk, count(*) AS n FROM ({source}) GROUP BY 1))))"""
 
 
-@query("check_freshness", _fresh_sql("events", _EVENTS, "date"))
+@query("check_freshness", fresh_sql("events", _EVENTS, "date"))
 def _(spark, folder):
-    return checks.check_freshness(_events(spark, folder), "date", "events", _NOW)
+    return checks.check_freshness(_events(spark, folder), "date", "events", NOW)
 
 
-@query("check_row_count", _count_sql("events", _EVENTS, "date"))
+@query("check_row_count", count_sql("events", _EVENTS, "date"))
 def _(spark, folder):
     return checks.check_row_count(_events(spark, folder), "date", "events")
 
 
-@query("check_row_count_weeks", over("online_sales", _count_sql("online", "SELECT * FROM online_sales", "date")))
+@query("check_row_count_weeks", over("online_sales", count_sql("online", "SELECT * FROM online_sales", "date")))
 def _(spark, folder):
     return checks.check_row_count(bridge.online_sales(spark, folder), "date", "online")
 
@@ -198,8 +198,8 @@ def _schema_sql(name, missing):
 
 _CHECKS = " UNION ALL ".join(
     [
-        _fresh_sql("events", _EVENTS, "date"), _count_sql("events", _EVENTS, "date"), _schema_sql("events", "channel"),
-        _fresh_sql("online", "SELECT * FROM online_sales", "date"), _count_sql("online", "SELECT * FROM online_sales", "date"),
+        fresh_sql("events", _EVENTS, "date"), count_sql("events", _EVENTS, "date"), _schema_sql("events", "channel"),
+        fresh_sql("online", "SELECT * FROM online_sales", "date"), count_sql("online", "SELECT * FROM online_sales", "date"),
         _schema_sql("online", None),
     ]
 )
@@ -211,7 +211,7 @@ def _checked(spark, folder):
             "events": (_events(spark, folder), "date", ["event_id", "channel"]),
             "online": (bridge.online_sales(spark, folder), "date", ["date", "channel", "revenue", "orders"]),
         },
-        _NOW,
+        NOW,
     )
 
 
@@ -220,11 +220,11 @@ def _(spark, folder):
     return _checked(spark, folder)
 
 
-def _combined(spark, folder):
-    return alerts.combine_alerts(_checked(spark, folder), _anomalies(spark, folder), _NOW)
+def combined(spark, folder):
+    return alerts.combine_alerts(_checked(spark, folder), _anomalies(spark, folder), NOW)
 
 
-_COMBINED_VIEWS = dict(
+COMBINED_VIEWS = dict(
     rates=_SERIES_RATES,
     long=_LONG, filled=_FILLED, **_z_parts("filled"), **_shift_parts("filled"),
     odd=f"{_null_sql('rates', 'CAST(NULL AS VARCHAR)')} UNION ALL {_Z_BODY} UNION ALL {_SHIFT_BODY}",
@@ -237,10 +237,10 @@ _COMBINED_VIEWS = dict(
 
 @query(
     "alert_counts",
-    over("metric_series online_sales", "SELECT count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warnings FROM every", **_COMBINED_VIEWS),
+    over("metric_series online_sales", "SELECT count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warnings FROM every", **COMBINED_VIEWS),
 )
 def _(spark, folder):
-    return alerts.alert_counts(_combined(spark, folder))
+    return alerts.alert_counts(combined(spark, folder))
 
 
 @query(
@@ -250,16 +250,34 @@ def _(spark, folder):
         """SELECT severity, "table", type, '*[' || upper(severity) || ']* `' || "table" || '` — ' || coalesce(detail, root_cause_hint) AS line
            FROM every WHERE severity IN ('critical', 'warning')
            ORDER BY CASE severity WHEN 'critical' THEN 0 ELSE 1 END, "table", type, "check" NULLS FIRST, col NULLS FIRST, date NULLS FIRST, check_type NULLS FIRST LIMIT 5""",
-        **_COMBINED_VIEWS,
+        **COMBINED_VIEWS,
     ),
 )
 def _(spark, folder):
-    return alerts.top_alerts(_combined(spark, folder)).select("severity", "table", "type", "line")
+    return alerts.top_alerts(combined(spark, folder)).select("severity", "table", "type", "line")
 
 
 @query("format_alerts")
 def _(spark, folder):
-    return alerts.format_alerts(_combined(spark, folder))
+    return alerts.format_alerts(combined(spark, folder))
+
+
+@query(
+    "alert_payloads",
+    over(
+        "metric_series online_sales",
+        """SELECT type, severity, "table", "check", detail, root_cause_hint, col AS "column", date, check_type, round_even(value, 2) AS value,
+                  CASE WHEN type = 'anomaly' THEN 8 + CAST(col IS NOT NULL AS BIGINT) + CAST(date IS NOT NULL AS BIGINT) - 1
+                       ELSE 6 + CAST(root_cause_hint IS NOT NULL AS BIGINT) END AS fields FROM every""",
+        **COMBINED_VIEWS,
+    ),
+)
+def _(spark, folder):
+    """The payload of each alert, read back from its JSON, and its number of fields."""
+    sent = alerts.format_alerts(combined(spark, folder))
+    schema = "type string, severity string, `table` string, `check` string, detail string, root_cause_hint string, `column` string, date string, check_type string, value double"
+    found = sent.select(F.from_json("payload", schema).alias("p"), F.size(F.json_object_keys("payload")).cast("long").alias("fields"))
+    return found.select("p.*", "fields").withColumn("value", round_to("value", 2))
 
 
 @query(
@@ -269,9 +287,9 @@ def _(spark, folder):
         """SELECT "table" AS table_name, coalesce(check_type, "check") AS check_type, col AS column_name,
                   round_even(coalesce(value, metric_value), 2) AS metric_value, round_even(coalesce(threshold, hi), 2) AS threshold, severity = 'ok' AS passed,
                   CASE severity WHEN 'ok' THEN 'info' ELSE severity END AS severity, root_cause_hint FROM every""",
-        **_COMBINED_VIEWS,
+        **COMBINED_VIEWS,
     ),
 )
 def _(spark, folder):
-    rows = alerts.quality_rows(_combined(spark, folder), _NOW).drop("check_id", "checked_at")
+    rows = alerts.quality_rows(combined(spark, folder), NOW).drop("check_id", "checked_at")
     return rows.withColumns({c: round_to(c, 2) for c in ("metric_value", "threshold")})

@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.schemas import LOAD_DATES, PIPELINE_RUNS, REGISTRY
+from tidemark.schemas import LAYERS, LOAD_DATES, PIPELINE_RUNS, REGISTRY
 from tidemark.session import hadoop_path
 from tidemark.sources.layers import partition_column
 from tidemark.sources.tables import conform, read_table
@@ -21,6 +21,13 @@ log = logging.getLogger(__name__)
 RUN_LOG = "monitoring.pipeline_runs"
 
 
+def _split(table: str) -> tuple[str, str, str]:
+    """Prefix, layer and name of a catalog table."""
+    database, name = table.split(".")
+    layer = next((x for x in LAYERS if database.endswith(x)), database)
+    return database.removesuffix(layer), layer, name
+
+
 def stamp_ingested(df: DataFrame, moment: dt.datetime | None = None) -> DataFrame:
     """Add the load time (UTC)."""
     moment = moment or dt.datetime.now(dt.timezone.utc)
@@ -59,7 +66,7 @@ def _insert(df: DataFrame, table: str, schema, mode: str) -> None:
 
     The rebalance lets AQE group the rows of a date and split the dates that are too big.
     """
-    by = partition_column(table.split(".")[0], schema)
+    by = partition_column(_split(table)[1], schema)
     if by:
         df = df.hint("rebalance", F.col(by))
     spark = df.sparkSession
@@ -99,8 +106,8 @@ def unfinished_runs(spark: SparkSession, table: str) -> list[tuple[str, str, str
     return [run[1:] for run in sorted(found)]
 
 
-def _is_logged(spark: SparkSession, run_id: str) -> bool:
-    return not spark.table(RUN_LOG).filter(F.col("run_id") == run_id).isEmpty()
+def _is_logged(spark: SparkSession, run_id: str, prefix: str) -> bool:
+    return not spark.table(prefix + RUN_LOG).filter(F.col("run_id") == run_id).isEmpty()
 
 
 def _finish(spark: SparkSession, table: str, schema, run: tuple[str, str, str], started: float) -> int:
@@ -109,8 +116,9 @@ def _finish(spark: SparkSession, table: str, schema, run: tuple[str, str, str],
     rows = spark.read.schema(spark.table(table).schema).parquet(folder)
     count = rows.count()
     _insert(rows, table, schema, mode)
-    if not _is_logged(spark, run_id):
-        log_run(spark, table.split(".")[-1], count, "success", None, time.time() - started, run_id)
+    prefix, _, name = _split(table)
+    if not _is_logged(spark, run_id, prefix):
+        log_run(spark, name, count, "success", None, time.time() - started, run_id, prefix)
     path, files = hadoop_path(spark, folder)
     files.delete(path, True)
     return count
@@ -158,7 +166,8 @@ def load_incremental(df: DataFrame, table: str, schema, date_col: str) -> int:
 
 
 def log_run(
-    spark: SparkSession, table: str, rows: int, status: str, error: str | None, secs: float, run_id: str | None = None
+    spark: SparkSession, table: str, rows: int, status: str, error: str | None, secs: float, run_id: str | None = None,
+    prefix: str = "",
 ) -> None:
     """Append a run record; a failure to log never fails the load."""
     record = (
@@ -166,15 +175,15 @@ def log_run(
     )
     try:
         frame = spark.createDataFrame([record], PIPELINE_RUNS).coalesce(1)
-        frame.write.insertInto(RUN_LOG)
+        frame.write.insertInto(prefix + RUN_LOG)
     except Exception as failure:  # noqa: BLE001
         log.warning("run of %s was not logged: %s", table, failure)
 
 
-def load_one(spark: SparkSession, folder: str, name: str, mode: str) -> None:
+def load_one(spark: SparkSession, folder: str, name: str, mode: str, prefix: str = "") -> None:
     """Load one raw table and log the run. A failure is logged, not raised."""
     started = time.time()
-    table, schema, date_col = f"raw.{name}", REGISTRY[("raw", name)], LOAD_DATES[name]
+    table, schema, date_col = f"{prefix}raw.{name}", REGISTRY[("raw", name)], LOAD_DATES[name]
     try:
         source = read_table(spark, folder, name)
     except FileNotFoundError as missing:
@@ -190,12 +199,12 @@ def load_one(spark: SparkSession, folder: str, name: str, mode: str) -> None:
                 log.info("%s: no new rows", table)
     except Exception as failure:  # noqa: BLE001
         log.error("%s: %s", table, failure)
-        log_run(spark, name, 0, "failed", str(failure), time.time() - started)
+        log_run(spark, name, 0, "failed", str(failure), time.time() - started, prefix=prefix)
 
 
-def load_all(spark: SparkSession, folder: str, mode: str = "full", tables=tuple(LOAD_DATES)) -> None:
-    """Load every configured table; one bad table does not stop the rest."""
+def load_all(spark: SparkSession, folder: str, mode: str = "full", tables=tuple(LOAD_DATES), prefix: str = "") -> None:
+    """Load every configured table into the databases with `prefix`; one bad table does not stop the rest."""
     if mode not in ("full", "incremental"):
         raise ValueError(f"unknown mode {mode!r}: full or incremental")
     for name in tables:
-        load_one(spark, folder, name, mode)
+        load_one(spark, folder, name, mode, prefix)
