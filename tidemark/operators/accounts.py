@@ -12,6 +12,7 @@ from tidemark import constants as C
 from tidemark.functions import scalars
 from tidemark.functions.dates import months_between_30
 from tidemark.functions.scalars import round_to
+from tidemark.operators import trees
 from tidemark.operators.filters import active_accounts
 from tidemark.operators.ranks import pct_rank_avg
 from tidemark.session import pin
@@ -118,30 +119,53 @@ def class_weight(accounts: DataFrame, label: str = "is_churned") -> DataFrame:
     return accounts.agg(F.coalesce(F.try_divide(negatives, positives), F.lit(1.0)).alias("positive_weight"))
 
 
-def churn_score(accounts: DataFrame, cutoff: dt.date = C.CHURN_TRAIN_BEFORE, rounds: int = 400) -> DataFrame:
-    """Add churn_probability and risk_tier.
+CHURN_DEPTH = 3
+
+
+def _prepared(accounts: DataFrame) -> DataFrame:
+    return accounts.fillna(0.0, list(CHURN_NUMBERS))
 
-    Boosted trees are trained on the accounts closed before the cutoff and score all of them;
-    a churned account has probability 1. The feature table is pinned: each round reads it.
+
+def fit_churn(accounts: DataFrame, cutoff: dt.date = C.CHURN_TRAIN_BEFORE, rounds: int = 400):
+    """Boosted trees of the accounts closed before the cutoff: feature stages and fitted model.
+
+    The feature table is pinned: each round reads it. A checkpoint every fifty rounds keeps the lineage short enough.
     """
-    filled = pin(accounts.fillna(0.0, list(CHURN_NUMBERS)))
-    train = filled.filter(F.col("close_date") < F.lit(cutoff))
+    train = pin(_prepared(accounts).filter(F.col("close_date") < F.lit(cutoff)))
     weight = class_weight(train).first()["positive_weight"]
     stages = feature_stages().fit(train)
     weighted = stages.transform(train).select(
         "features", F.col("is_churned").cast("double").alias("label"),
         F.when(F.col("is_churned") == 1, F.lit(float(weight))).otherwise(F.lit(1.0)).alias("weight"),
     )
-    weighted = packed(weighted)
-    trees = GBTClassifier(
-        cacheNodeIds=True, checkpointInterval=10, maxIter=rounds, maxDepth=3, stepSize=0.04, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-        minInstancesPerNode=3, seed=42, weightCol="weight",
-    ).fit(weighted)
-    scored = trees.transform(stages.transform(filled))
-    chance = round_to(vector_to_array("probability")[1], 4)
-    return scored.select(
-        *accounts.columns, F.when(F.col("is_churned") == 1, 1.0).otherwise(chance).alias("churn_probability")
-    ).withColumn("risk_tier", scalars.risk_tier(F.col("churn_probability")))
+    fitted = GBTClassifier(
+        cacheNodeIds=True, checkpointInterval=50, maxIter=rounds, maxDepth=CHURN_DEPTH, stepSize=0.04, subsamplingRate=0.8,
+        featureSubsetStrategy="0.8", minInstancesPerNode=3, seed=42, weightCol="weight",
+    ).fit(packed(weighted))
+    return stages, fitted
+
+
+def churn_model(accounts: DataFrame, cutoff: dt.date = C.CHURN_TRAIN_BEFORE, rounds: int = 400) -> trees.TreeModel:
+    """The fitted churn model as tables, to be saved and scored later without a fit."""
+    spark = accounts.sparkSession
+    stages, fitted = fit_churn(accounts, cutoff, rounds)
+    labels = zip(CHURN_CATEGORIES, stages.stages[0].labelsArray)
+    columns = [(c, None) for c in CHURN_NUMBERS] + [(c, x) for c, found in labels for x in found]
+    return trees.TreeModel(trees.feature_table(spark, columns), trees.fitted_nodes(spark, fitted))
+
+
+def score_churn(accounts: DataFrame, model: trees.TreeModel) -> DataFrame:
+    """Add churn_probability and risk_tier from a model in tables; a churned account has probability 1."""
+    scored = trees.score(accounts, model, CHURN_DEPTH, "_margin")
+    chance = round_to(trees.probability(F.col("_margin")), 4)
+    rated = scored.withColumn("churn_probability", F.when(F.col("is_churned") == 1, 1.0).otherwise(chance))
+    return rated.drop("_margin").withColumn("risk_tier", scalars.risk_tier(F.col("churn_probability")))
+
+
+def churn_score(accounts: DataFrame, cutoff: dt.date = C.CHURN_TRAIN_BEFORE, rounds: int = 400) -> DataFrame:
+    """Fit on the accounts closed before the cutoff and score all of them."""
+    accounts = pin(accounts)
+    return score_churn(accounts, churn_model(accounts, cutoff, rounds))
 
 
 def growth_score(accounts: DataFrame) -> DataFrame:
@@ -161,9 +185,12 @@ def with_action(accounts: DataFrame) -> DataFrame:
     return accounts.withColumn("recommended_action", action)
 
 
-def score_accounts(accounts: DataFrame, cutoff: dt.date = C.CHURN_TRAIN_BEFORE, rounds: int = 400) -> DataFrame:
-    """Churn, growth and action for every account of a summary table. The trees score once."""
-    return with_action(growth_score(pin(churn_score(accounts, cutoff, rounds))))
+def score_accounts(
+    accounts: DataFrame, cutoff: dt.date = C.CHURN_TRAIN_BEFORE, rounds: int = 400, model: trees.TreeModel | None = None
+) -> DataFrame:
+    """Churn, growth and action for every account of a summary table; with a `model` nothing is fitted."""
+    scored = churn_score(accounts, cutoff, rounds) if model is None else score_churn(accounts, model)
+    return with_action(growth_score(pin(scored)))
 
 
 def portfolio_kpis(scored: DataFrame) -> DataFrame:

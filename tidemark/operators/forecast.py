@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tidemark import constants as C
 from tidemark.functions.dates import calendar_features
 from tidemark.functions.scalars import forecast_warning
+from tidemark.operators import trees
 from tidemark.operators.accounts import packed
 from tidemark.operators.buckets import chrono_split, horizon_spine
 from tidemark.operators.metrics import regression_metrics
@@ -93,25 +94,52 @@ def forecast_seasonal(series: DataFrame, horizon: int, keys=(), regressors=(), s
 def forecast_trees(
     series: DataFrame, horizon: int, keys=(), regressors=(), step_days: int = 1,
     rounds: int = 300, rate: float = 0.05, depth: int = 5, sample: float = 0.8, seed: int = 42,
+    model: trees.TreeModel | None = None, library: bool = False,
 ) -> DataFrame:
     """Boosted trees on calendar features over all series in one distributed fit.
 
-    The mean of a series' train rows stands for its key, so no key list reaches the driver.
+    The mean of a series' train rows stands for its key, so no key list reaches the driver. The fitted trees become a
+    table (see `forecast_model`), and rows are scored from it; a saved `model` is scored without a fit.
+    `library` adds what Spark's own model predicts, for comparison.
     """
+    ready, names = _tree_features(series, horizon, keys, regressors, step_days)
+    ready = pin(ready)
+    fitted = None
+    if model is None:
+        fitted, model = _fit_trees(ready, names, rounds, rate, depth, sample, seed)
+    predicted = trees.score(ready, model, depth, "yhat")
+    if library and fitted is not None:
+        predicted = fitted.transform(VectorAssembler(inputCols=names, outputCol="features").transform(predicted)).drop("features")
+    plain = [c for c in predicted.columns if c not in names or c in regressors]
+    return prediction_interval(predicted.select(*plain), keys=keys)
+
+
+def _tree_features(series: DataFrame, horizon: int, keys, regressors, step_days: int) -> tuple[DataFrame, list[str]]:
     rows = _with_future(series, keys, horizon, step_days, regressors)
     level = F.avg(F.when(F.col("split") == "train", F.col("actual"))).over(Window.partitionBy(*keys))
     calendar = calendar_features(F.col("date"))
     names = [*calendar, "series_level", *regressors]
-    ready = rows.withColumns({**calendar, "series_level": level}).fillna(0, names)
-    vectors = pin(
-        VectorAssembler(inputCols=names, outputCol="features").transform(ready).select(*rows.columns, "features")
-    )
-    train = packed(vectors.filter((F.col("split") == "train") & F.col("actual").isNotNull()).select("features", "actual"))
-    trees = GBTRegressor(
-        cacheNodeIds=True, checkpointInterval=10, labelCol="actual", predictionCol="yhat", maxIter=rounds, stepSize=rate, maxDepth=depth,
-        subsamplingRate=sample, featureSubsetStrategy=str(sample), seed=seed,
+    return rows.withColumns({**calendar, "series_level": level}).fillna(0, names), names
+
+
+def _fit_trees(ready: DataFrame, names: list[str], rounds: int, rate: float, depth: int, sample: float, seed: int):
+    """The library's model and the same as tables."""
+    known = ready.filter((F.col("split") == "train") & F.col("actual").isNotNull())
+    train = packed(VectorAssembler(inputCols=names, outputCol="features").transform(known).select("features", "actual"))
+    fitted = GBTRegressor(
+        cacheNodeIds=True, checkpointInterval=50, labelCol="actual", predictionCol="library_yhat", maxIter=rounds, stepSize=rate,
+        maxDepth=depth, subsamplingRate=sample, featureSubsetStrategy=str(sample), seed=seed,
     ).fit(train)
-    return prediction_interval(trees.transform(vectors).drop("features"), keys=keys)
+    spark = ready.sparkSession
+    return fitted, trees.TreeModel(trees.feature_table(spark, [(n, None) for n in names]), trees.fitted_nodes(spark, fitted))
+
+
+def forecast_model(
+    series: DataFrame, keys=(), regressors=(), rounds: int = 300, rate: float = 0.05, depth: int = 5, sample: float = 0.8, seed: int = 42
+) -> trees.TreeModel:
+    """The trees of forecast_trees as tables, to be saved and used again."""
+    ready, names = _tree_features(series, 1, keys, regressors, 1)
+    return _fit_trees(pin(ready), names, rounds, rate, depth, sample, seed)[1]
 
 
 _BACKENDS = {

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import constants as C
 from tidemark.functions.dates import week_harmonics
-from tidemark.functions.scalars import mix_warning, round_to, saturate
+from tidemark.functions.scalars import mix_warning, round_to, saturate, whole_money
 from tidemark.operators.buckets import chrono_split, period_totals
 from tidemark.operators.metrics import regression_metrics
 from tidemark.operators.series import trend_index, with_adstock
@@ -142,6 +142,47 @@ def nonneg_ridge(train: DataFrame, columns, target: str, alpha: float = 1.0) ->
     return RidgeFit(columns, {c: float(w[i]) for i, c in enumerate(columns)}, raw, float(intercept))
 
 
+def optimality(train: DataFrame, fit: RidgeFit, target: str, alpha: float = 1.0) -> DataFrame:
+    """Per feature: its weight on the standardized scale and the slope of the objective there, from sums over the rows.
+
+    At the optimum the slope is 0 where the weight is positive, and does not fall where the weight is 0. The slope is
+    2 (alpha w − Σ z · residual), the residual being what the fitted model leaves over, so it checks weights and intercept
+    against the rows and not against the sums that they were fitted on.
+    """
+    residual = F.col(target) - fit.predicted()
+    stats = [
+        F.struct(
+            F.lit(c).alias("feature"), F.lit(fit.weights[c]).alias("weight"),
+            F.covar_pop(F.col(f"`{c}`"), residual).alias("together"), F.stddev_pop(f"`{c}`").alias("spread"),
+            F.count("*").alias("n"), F.avg(residual).alias("left_over"), F.sqrt(F.sum(F.col(target) * F.col(target))).alias("size"),
+        )
+        for c in fit.columns
+    ]
+    spread = F.when(F.col("spread") > 0, F.col("spread")).otherwise(1.0)
+    slope = 2 * (alpha * F.col("weight") - F.col("n") * F.col("together") / spread)
+    return train.agg(F.array(*stats).alias("s")).select(F.inline("s")).select(
+        "feature", "weight", slope.alias("slope"), "left_over", "size"
+    )
+
+
+def is_optimal(found: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """`optimality` as yes or no, relative to the size of the target."""
+    near = F.abs("slope") <= tolerance * F.col("size")
+    good = F.when(F.col("weight") > 0, near).otherwise((F.col("weight") == 0) & (F.col("slope") >= -tolerance * F.col("size")))
+    return found.select("feature", (good & (F.abs("left_over") <= tolerance * F.col("size"))).alias("optimal"))
+
+
+def given_fit(raw_weights: dict[str, float], intercept: float) -> RidgeFit:
+    """A model whose raw weights are known, for explaining without fitting."""
+    return RidgeFit(list(raw_weights), dict(raw_weights), dict(raw_weights), intercept)
+
+
+def mix_metrics(checked: DataFrame, fit: RidgeFit, sales_col: str = "total_revenue") -> DataFrame:
+    """Quality on the given weeks, and its warning."""
+    found = regression_metrics(checked.withColumn("_predicted", fit.predicted()), sales_col, "_predicted")
+    return found.withColumn("warning", mix_warning(F.col("mape"), F.col("r2")))
+
+
 def channel_contribution(features: DataFrame, fit: RidgeFit, media: DataFrame, channels=C.MEDIA_CHANNELS) -> DataFrame:
     """Per channel: share of the mean prediction, incremental revenue, spend and return; largest first."""
     sums = features.agg(
@@ -160,7 +201,7 @@ def channel_contribution(features: DataFrame, fit: RidgeFit, media: DataFrame, c
         "channel",
         round_to(F.col("gain") / F.greatest("mean_predicted", F.lit(1.0)) * 100, 2).alias("contribution_pct"),
         round_to(revenue, 0).alias("incremental_revenue"),
-        round_to("spend", 0).alias("total_spend"),
+        whole_money("spend").alias("total_spend"),
         round_to(revenue / F.greatest("spend", F.lit(1.0)), 3).alias("incremental_roi"),
     ).orderBy(F.desc("contribution_pct"), "channel")
 
@@ -200,10 +241,8 @@ def run_mix(
     features = pin(mix_features(media, sales, channels, decay, k, date_col, sales_col))
     marked = chrono_split(features, date_col, train, validation)
     fit = nonneg_ridge(marked.filter(F.col("split") == "train"), feature_columns(channels), sales_col, alpha)
-    checked = marked.filter(F.col("split") == "validation").withColumn("_predicted", fit.predicted())
-    metrics = regression_metrics(checked, sales_col, "_predicted")
     return MixResult(
-        metrics.withColumn("warning", mix_warning(F.col("mape"), F.col("r2"))),
+        mix_metrics(marked.filter(F.col("split") == "validation"), fit, sales_col),
         channel_contribution(features, fit, media, channels),
         decompose(features, fit, channels, date_col, sales_col),
         fit,

@@ -5,12 +5,13 @@ import datetime as dt
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tidemark import constants as C
 from tidemark.functions import scalars
 from tidemark.functions.scalars import round_to
-from tidemark.operators import accounts, filters, funnel, ranks
+from tidemark.operators import accounts, filters, funnel, ranks, trees
 from tidemark.plans.registry import query
 from tidemark.plans.views import over
-from tidemark.session import pin
+from tidemark.session import pin, scratch_folder
 from tidemark.sources import bridge
 
 _CUTOFF = dt.date(1995, 10, 1)
@@ -170,12 +171,127 @@ def _(spark, folder):
     return placed.select("account_id", F.col("position").cast("long").alias("position"), round_to("value", 6).alias("value"))
 
 
+_MODELS: dict[tuple[str, str], trees.TreeModel] = {}
+
+
+def _model(spark, folder) -> trees.TreeModel:
+    """The churn model of a folder, fitted once a session, saved and read back; all questions score from it."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _MODELS:
+        kept = scratch_folder(spark, "churn")
+        accounts.churn_model(pin(summary(spark, folder)), _CUTOFF).save(kept)
+        _MODELS[key] = trees.load_model(spark, kept)
+    return _MODELS[key]
+
+
+def _really_scored(spark, folder):
+    return pin(accounts.score_accounts(summary(spark, folder), model=_model(spark, folder)))
+
+
 @query("churn_score")
 def _(spark, folder):
-    scored = accounts.churn_score(summary(spark, folder), _CUTOFF)
+    scored = accounts.score_churn(summary(spark, folder), _model(spark, folder))
     return scored.select("account_id", "is_churned", "churn_probability", "risk_tier")
 
 
 @query("score_accounts")
 def _(spark, folder):
-    return accounts.score_accounts(summary(spark, folder), _CUTOFF)
+    return _really_scored(spark, folder)
+
+
+@query(
+    "score_accounts_rows",
+    over(
+        "scored_accounts",
+        """SELECT account_id, is_churned, growth_score, growth_tier, true AS chance_fits, true AS tier_fits,
+                  CASE WHEN is_churned = 1 THEN recommended_action END AS churned_action FROM scored_accounts""",
+    ),
+)
+def _(spark, folder):
+    """What SQL can tell of the scored accounts: all are there, growth does not depend on the model, tiers follow the chance."""
+    chance, tier = F.col("churn_probability"), F.col("risk_tier")
+    right = F.when(chance >= C.HIGH_RISK_FROM, "High").when(chance >= C.MEDIUM_RISK_FROM, "Medium").otherwise("Low")
+    return _really_scored(spark, folder).select(
+        "account_id", "is_churned", "growth_score", "growth_tier",
+        (chance.between(0, 1) & ((F.col("is_churned") == 0) | (chance == 1))).alias("chance_fits"), (tier == right).alias("tier_fits"),
+        F.when(F.col("is_churned") == 1, F.col("recommended_action")).alias("churned_action"),
+    )
+
+
+@query("portfolio_scored")
+def _(spark, folder):
+    return accounts.portfolio_kpis(_really_scored(spark, folder))
+
+
+@query(
+    "portfolio_scored_known",
+    over(
+        "scored_accounts",
+        """SELECT count(*) AS total_accounts, count(*) FILTER (WHERE is_churned = 0) AS active_accounts, count(*) FILTER (WHERE is_churned = 1) AS churned_accounts,
+                  count(*) FILTER (WHERE growth_tier = 'High Potential') AS high_growth_accounts,
+                  round_even(coalesce(sum(last_3m_avg * 12) FILTER (WHERE is_churned = 0), 0), 2) AS total_arr, true AS risk_fits FROM scored_accounts""",
+    ),
+)
+def _(spark, folder):
+    """The figures of the really scored portfolio that do not depend on the model, and whether the others are possible."""
+    found = accounts.portfolio_kpis(_really_scored(spark, folder))
+    fits = (F.col("high_risk_accounts") >= F.col("churned_accounts")) & F.col("avg_churn_prob").between(0, 1) & F.col("pct_at_risk").between(0, 1)
+    return found.select("total_accounts", "active_accounts", "churned_accounts", "high_growth_accounts", "total_arr", fits.alias("risk_fits"))
+
+
+@query("top_churn_scored")
+def _(spark, folder):
+    return accounts.top_churn_risk(_really_scored(spark, folder))
+
+
+@query("churn_model_agrees", over("account_summary", "SELECT account_id, true AS agrees FROM account_summary"))
+def _(spark, folder):
+    """The model table scores every account as the library's own model does."""
+    rows = pin(summary(spark, folder))
+    stages, fitted = accounts.fit_churn(rows, _CUTOFF, 60)
+    labels = zip(accounts.CHURN_CATEGORIES, stages.stages[0].labelsArray)
+    columns = [(c, None) for c in accounts.CHURN_NUMBERS] + [(c, x) for c, found in labels for x in found]
+    model = trees.TreeModel(trees.feature_table(spark, columns), trees.fitted_nodes(spark, fitted))
+    own = trees.probability(F.col("_margin"))
+    filled = rows.fillna(0.0, list(accounts.CHURN_NUMBERS))
+    scored = fitted.transform(stages.transform(trees.score(filled, model, accounts.CHURN_DEPTH, "_margin")))
+    return scored.select("account_id", (F.abs(own - vector_to_array("probability")[1]) < 1e-9).alias("agrees"))
+
+
+# A small model in the form of the model tables: two splits on numbers and one on a category per tree.
+_GIVEN_FEATURES = [("avg_monthly_revenue", None), ("mom_growth_3m", None), ("months_since_close", None), ("industry", "MACHINERY"), ("deal_size_band", "Large")]
+_GIVEN_NODES = [
+    (0, 0, 0, 90000.0, 1, 2, 0.0, 1.0), (0, 1, 1, -0.25, 3, 4, 0.1, 1.0), (0, 2, 3, 0.5, 5, 6, -0.2, 1.0),
+    (0, 3, -1, None, -1, -1, 0.75, 1.0), (0, 4, -1, None, -1, -1, 0.25, 1.0), (0, 5, -1, None, -1, -1, -0.5, 1.0), (0, 6, -1, None, -1, -1, -0.125, 1.0),
+    (1, 0, 4, 0.5, 1, 2, 0.0, 0.25), (1, 1, 2, 40.0, 3, 4, 0.0, 0.25), (1, 2, -1, None, -1, -1, 0.5, 0.25),
+    (1, 3, -1, None, -1, -1, -1.5, 0.25), (1, 4, -1, None, -1, -1, 1.25, 0.25), (2, 0, -1, None, -1, -1, -0.375, 0.5),
+]
+
+
+def _given_sql() -> str:
+    def text(v):
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
+
+    values = " UNION ALL ".join(
+        f"SELECT account_id, {i} AS position, coalesce(CAST({c} AS DOUBLE), 0) AS x FROM account_summary" if category is None
+        else f"SELECT account_id, {i}, CAST({c} = '{category}' AS DOUBLE) FROM account_summary" for i, (c, category) in enumerate(_GIVEN_FEATURES)
+    )
+    nodes = ", ".join("(" + ", ".join(map(text, n)) + ")" for n in _GIVEN_NODES)
+    walk = """SELECT account_id, tree, 0 AS node, 0 AS steps FROM account_summary CROSS JOIN (SELECT DISTINCT tree FROM nodes)
+        UNION ALL SELECT w.account_id, w.tree, CASE WHEN v.x <= n.threshold THEN n.below ELSE n.above END, steps + 1
+        FROM walk w JOIN nodes n USING (tree, node) JOIN feature_values v ON v.account_id = w.account_id AND v.position = n.feature WHERE n.feature >= 0"""
+    body = """SELECT account_id, round_even(1 / (1 + exp(-2 * sum(n.weight * n.value))), 6) AS chance
+        FROM walk w JOIN nodes n USING (tree, node) WHERE n.feature < 0 GROUP BY account_id"""
+    return over(
+        "account_summary", body, feature_values=values,
+        nodes=f"SELECT * FROM (VALUES {nodes}) n(tree, node, feature, threshold, below, above, value, weight)", walk=walk,
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("tree_scores", _given_sql())
+def _(spark, folder):
+    """A model given as tables, saved, read back and scored."""
+    kept = scratch_folder(spark, "given")
+    trees.TreeModel(trees.feature_table(spark, _GIVEN_FEATURES), spark.createDataFrame(_GIVEN_NODES, trees.NODES)).save(kept)
+    scored = trees.score(summary(spark, folder), trees.load_model(spark, kept), 2)
+    return scored.select("account_id", round_to(trees.probability(F.col("margin")), 6).alias("chance"))

@@ -154,6 +154,78 @@ def _(spark, folder):
     return train.agg(F.count("*").alias("weeks")).select("weeks", F.inline(values))
 
 
+@query("mix_weights_optimal", " UNION ALL ".join(f"SELECT '{c}' AS feature, true AS optimal" for c in _COLUMNS))
+def _(spark, folder):
+    """The fitted weights meet the conditions of the optimum, each from sums over the train weeks."""
+    train = pin(buckets.chrono_split(pin(_features(spark, folder)), "week_start").filter(F.col("split") == "train"))
+    fit = mix.nonneg_ridge(train, _COLUMNS, "total_revenue")
+    return mix.is_optimal(mix.optimality(train, fit, "total_revenue"))
+
+
+# Weights that both sides are given, so that the explanation can be compared.
+_GIVEN = {c: 40.0 + 7.5 * i for i, c in enumerate(_COLUMNS)} | {"sin_week": -1500.5, "cos_week": 0.0, "trend": 12345.25}
+_INTERCEPT = 250000.0
+
+
+def _sum_sql(columns):
+    return " + ".join(f'{_GIVEN[c]}::DOUBLE * "{c}"' for c in columns)
+
+
+_TERMS = _COLUMNS[: len(_CHANNELS)]
+_EXPLAINED = {
+    "predicted": f"""SELECT *, {_INTERCEPT}::DOUBLE + {_sum_sql(_COLUMNS)} AS p, {_sum_sql(_TERMS)} AS media, {_sum_sql(_COLUMNS[len(_CHANNELS):])} AS calendar FROM features""",
+}
+
+
+@query(
+    "decompose_given",
+    _mix_sql(
+        f"""SELECT week_start, {_INTERCEPT}::DOUBLE AS base_sales, round_even(calendar, 2) AS calendar_sales, round_even(media, 2) AS media_sales,
+                   round_even(p, 2) AS total_predicted, round_even(total_revenue, 2) AS actual_sales FROM predicted""",
+        **_EXPLAINED,
+    ),
+)
+def _(spark, folder):
+    found = mix.decompose(_features(spark, folder), mix.given_fit(_GIVEN, _INTERCEPT), _CHANNELS)
+    return found.withColumns({c: round_to(c, 2) for c in found.columns[1:]})
+
+
+@query(
+    "channel_contribution_given",
+    _mix_sql(
+        """SELECT channel, round_even(gain / greatest(mean_predicted, 1) * 100, 2) AS contribution_pct, round_even(gain * weeks, 0) AS incremental_revenue,
+                  round_even(round_even(coalesce(spend, 0), 2), 0) AS total_spend, round_even(gain * weeks / greatest(coalesce(spend, 0), 1), 3) AS incremental_roi
+           FROM gains LEFT JOIN (SELECT channel, sum(spend) AS spend FROM media_spend GROUP BY 1) USING (channel)""",
+        **_EXPLAINED,
+        gains=" UNION ALL ".join(
+            f"""SELECT '{c}' AS channel, avg({_GIVEN[t]}::DOUBLE * "{t}") AS gain, count(*) AS weeks, avg(p) AS mean_predicted FROM predicted"""
+            for c, t in zip(_CHANNELS, _TERMS)
+        ),
+    ),
+)
+def _(spark, folder):
+    media, sales = _media_and_sales(spark, folder)
+    features = pin(mix.mix_features(media, sales, _CHANNELS))
+    return mix.channel_contribution(features, mix.given_fit(_GIVEN, _INTERCEPT), media, _CHANNELS)
+
+
+@query(
+    "mix_metrics_given",
+    _mix_sql(
+        f"""SELECT mape, rmse, r2, CASE WHEN mape > {C.MIX_MAPE_LIMIT} THEN printf('{C.MIX_MAPE_TEXT}', round_even(mape, 1))
+                   WHEN r2 < {C.R2_LIMIT} THEN printf('{C.MIX_R2_TEXT}', round_even(r2, 2)) END AS warning FROM (
+            SELECT round_even(avg(abs((total_revenue - p) / total_revenue)) FILTER (WHERE total_revenue <> 0) * 100, 3) AS mape,
+                   round_even(sqrt(avg((total_revenue - p) * (total_revenue - p))), 2) AS rmse,
+                   round_even(1 - avg((total_revenue - p) * (total_revenue - p)) / var_pop(total_revenue), 4) AS r2
+            FROM predicted WHERE week_start > {_TRAIN_END} AND week_start <= {_TRAIN_END.replace("0.7", "0.85")})""",
+        **_EXPLAINED,
+    ),
+)
+def _(spark, folder):
+    marked = buckets.chrono_split(pin(_features(spark, folder)), "week_start")
+    return mix.mix_metrics(marked.filter(F.col("split") == "validation"), mix.given_fit(_GIVEN, _INTERCEPT))
+
+
 # A model that can be written in SQL: the mean of the four weeks before.
 _NAIVE = """SELECT category, week_start, split, x, p FROM (
     SELECT *, avg(x) OVER (PARTITION BY category ORDER BY week_start ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS p FROM marked) WHERE p IS NOT NULL"""
@@ -294,3 +366,21 @@ def _(spark, folder):
 @query("forecast_trees")
 def _(spark, folder):
     return _trees(spark, folder).forecast
+
+
+@query(
+    "forecast_trees_agree",
+    over(
+        "online_sales",
+        """SELECT channel, date, true AS agrees FROM (SELECT DISTINCT channel, date FROM online_sales) UNION ALL
+           SELECT channel, CAST(hi + CAST(i AS INT) AS DATE), true FROM (SELECT channel, max(date) AS hi FROM online_sales GROUP BY 1), unnest(range(1, 91)) t(i)""",
+    ),
+)
+def _(spark, folder):
+    """The trees' table predicts every date, known and to come, as the library's own model does."""
+    marked = buckets.chrono_split(
+        pin(_daily(spark, folder).select("channel", "date", F.col("revenue").cast("double").alias("actual"))), "date", keys=["channel"]
+    ).drop("train_end", "validation_end")
+    found = forecast.forecast_trees(marked, 90, ["channel"], rounds=40, library=True)
+    near = F.abs(F.col("yhat") - F.col("library_yhat")) <= 1e-9 * F.abs("yhat")
+    return found.select("channel", "date", near.alias("agrees"))
