@@ -29,7 +29,7 @@ def test_saved_trees_score_like_a_plain_walk(spark, tmp_path):
             inner = node < 3
             nodes.append((
                 tree, node, rng.randrange(4) if inner else -1, rng.choice([0.5, 0.0, -1.0]) if inner else None,
-                2 * node + 1 if inner else -1, 2 * node + 2 if inner else -1, rng.uniform(-1, 1), rng.choice([1.0, 0.1]),
+                2 * node + 1 if inner else -1, 2 * node + 2 if inner else -1, rng.uniform(-1, 1), 1.0 - tree / 10,
             ))
     model = trees.TreeModel(trees.feature_table(spark, columns), spark.createDataFrame(nodes, trees.NODES).orderBy(F.rand(3)))
     model.save(str(tmp_path))
