@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import html, pieces, toxicity
+from tidemark.llm import decontam, html, jaccard, linededup, pieces, toxicity
 from tidemark.llm.common import slices
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string"
@@ -182,3 +182,56 @@ def test_pipeline(spark, tmp_path):
     clean = [i for i, _, m in rows if not m]
     assert np.mean([i in left for i in clean]) > 0.9 and np.mean([i in left for i in toxic]) < 0.2
     assert all(r["round_trip"] for r in left.values())
+
+
+ARTICLE = "<article><p>Hello there.</p><p>More text here.</p></article>"
+
+
+@pytest.mark.parametrize("before", [
+    "<datalist><option value=a>A<option value=b>B</datalist>", "<button>Menu", "<button>One <button>Two</button>",
+    "<select><option>x<option>y", "<object><object>in</object>fallback</object>", "<svg><title>t</title><g><svg><path d=''/></svg>text</g></svg>",
+    "<svg/>", "<template><div>t<template>u</template>v</div></template>", "<noscript><div>on</div></noscript>",
+    "<button><div>Deep</div></button>", "<div><noscript>open</div>", "<script>a</script>", "<svg><circle r=1 />",
+])
+def test_no_element_swallows_an_article(before):
+    assert [b.text for b in html.blocks(before + ARTICLE)] == ["Hello there.", "More text here."]
+
+
+def test_pages_without_a_marked_container():
+    net = html.train(["<div>one</div><div>two</div>"])
+    assert html.main_text(net, ["<nav>Home</nav><div><p>Hello there.</p><p>Yes.</p></div>", "", "<nav>x</nav>"]) == ["Hello there.\n\nYes.", "", ""]
+
+
+def test_the_space_mark_itself_comes_back():
+    p = pieces.Pieces()
+    encoder = pieces.Encoder(p)
+    texts = ["a\U0010ffffb", "▁", " ▁ ▁▁  x", "a▁b c", "\U0010ffff\U0010fffe", "▁" * 50]
+    assert [p.decode(ids) for ids in encoder.encode(texts)] == texts
+
+
+def test_stages_tell_rows_apart(spark, tmp_path):
+    """Null ids, ids that come twice, and columns of clashing names: no row is lost, none gets another's text."""
+    long_ = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (None, "A first line that stays here.", "x", 7), (2, "Another line of its own kind.", "y", 7), (2, "A third text under the same id.", "z", 8),
+        (None, long_, "n", 1), (2**60 + 1, long_ + " end", "n", 2), (5, None, "e", 0),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _score string, n_chars long")
+    spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(20, 40)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def texts(df):
+        assert df.columns == docs.columns
+        return sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", r["_score"]) for r in df.collect())
+
+    want = sorted((r[0] is None, r[0] or 0, r[1] or "", r[2]) for r in rows)
+    lines = texts(linededup.stage(spark, docs, str(tmp_path)))
+    assert [w for w in want if w[3] != "n"] == [x for x in lines if x[3] != "n"] and 1 <= sum(x[3] == "n" for x in lines) <= 2
+    near = texts(jaccard.stage(spark, docs, str(tmp_path)))
+    assert len(near) == 5 and [w for w in want if w[3] != "n"] == [x for x in near if x[3] != "n"]
+    assert texts(decontam.stage(spark, docs, str(tmp_path))) == [w for w in want if w[3] != "n"]
+    linked = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard.link(docs).collect()}
+    assert linked[2**60 + 1, 58] == linked[None, 57] == 2**60 + 1 and len(linked) == 6
+    assert texts(toxicity.score(docs, None, "__score").drop("__score")) == want
+    empty = docs.limit(0)
+    for stage in (linededup.stage, jaccard.stage, decontam.stage, pieces.stage):
+        assert stage(spark, empty, str(tmp_path)).collect() == []

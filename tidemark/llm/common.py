@@ -45,6 +45,28 @@ def park(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_row(docs: DataFrame) -> tuple[DataFrame, str | None]:
+    """docs as they are if doc_id tells their rows apart; otherwise written once with row numbers as doc_id.
+
+    The second value names the column that then has the rows' own ids.
+    """
+    ids = docs.groupBy("doc_id").count()
+    if ids.filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs, None
+    own = "_own_doc_id"
+    while own in docs.columns:
+        own = "_" + own
+    numbered = docs.withColumn(own, F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id())
+    return park(numbered), own
+
+
+def own_ids(df: DataFrame, own: str | None, columns: list[str]) -> DataFrame:
+    """Undo by_row: the rows' own ids again, and the given columns."""
+    if own is None:
+        return df.select(columns)
+    return df.drop("doc_id").withColumnRenamed(own, "doc_id").select(columns)
+
+
 def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of rows of about `limit` bytes: first row, end row, bytes, offsets.
 

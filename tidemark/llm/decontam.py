@@ -15,7 +15,7 @@ repeated rows of a document count once; further columns are ignored.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import broadcast_if_small, read, texts_of
+from tidemark.llm.common import broadcast_if_small, by_row, own_ids, read, texts_of
 from tidemark.session import pin
 
 SHINGLE = 5
@@ -45,7 +45,7 @@ def _shingles(df: DataFrame, keep: list[str], k: int) -> DataFrame:
 
 
 def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item_shingles), a row for each leak.
+    """(doc_id, item_id, n_shared, n_item_shingles), a row for each leak. A document without an id has none to report.
 
     The sketches are broadcast only after their size has been measured; past the limit the join
     shuffles by hash. Matches are reduced to (document, item) before they are shuffled.
@@ -88,9 +88,10 @@ def query(spark, folder: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
-    bad = pin(leaks(docs, read(spark, folder, "benchmark")).select("doc_id").distinct())
-    return docs.join(broadcast_if_small(bad), "doc_id", "left_anti").select(docs.columns)
+    """Documents that leak no benchmark item. If ids are null or come twice, each row is judged by itself."""
+    rows, own = by_row(docs)
+    bad = pin(leaks(rows, read(spark, folder, "benchmark")).select("doc_id").distinct())
+    return own_ids(rows.join(broadcast_if_small(bad), "doc_id", "left_anti"), own, docs.columns)
 
 
 SQL = f"""

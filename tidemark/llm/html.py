@@ -10,7 +10,9 @@ says (containers of articles, and of menus, notices and so on), and each page is
 containers and foreign blocks, so that the network meets more layouts than the table has. Training is
 seeded. Pages of more than TRAIN_BLOCKS blocks are not used for it; labelling has no such limit.
 
-Null and empty pages, and pages without main text, have an empty text. White space within a block
+If no sampled page has a marked container, there is nothing to learn from, and all blocks that the markup does not mark as
+something else are kept. Null and empty pages, and pages without main text, have an empty text. Text in elements such as buttons,
+options, templates and objects is not the page's; one that is not closed ends at the next block or with its parent. White space within a block
 becomes one space. A page that breaks off is read to its end. Repeated rows give repeated results;
 further columns are ignored.
 """
@@ -36,7 +38,15 @@ DIM = PATH_DIM + WORD_DIM + NUMBERS
 
 # Kinds of elements in HTML, and the container names that mark training blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg title select option button object".split())
+# Elements whose content is no markup and ends at their end tag, or at the end of the page as in a browser.
+RAW = frozenset("script style textarea iframe title xmp noembed noframes".split())
+# Elements whose text is not the page's. Those of FLAT cannot hold blocks: if one is not closed, a block ends it.
+UNSEEN = frozenset("noscript template object svg select optgroup option datalist button".split())
+FLAT = frozenset("svg select optgroup option datalist button".split())
+BLOCK_TAGS = frozenset(
+    "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark q s samp small span strike strong "
     "sub sup time tt u var".split()
@@ -63,7 +73,8 @@ class Block(NamedTuple):
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # Name, what the path says of it, and whether its end tag is known to come.
+    stack: list[tuple[str, tuple[str, ...], bool]] = []
     parts: list[str] = []
     path: tuple[str, ...] = ()
     linked = 0
@@ -78,11 +89,11 @@ def blocks(page: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal path, linked
-        if text:
+        if text and not any(t in UNSEEN for t, _, _ in stack):
             if not parts or not any(p.strip() for p in parts):
-                path = tuple(e for _, own in stack for e in own)
+                path = tuple(e for _, own, _ in stack for e in own)
             parts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if any(t == "a" for t, _, _ in stack):
                 linked += len(text)
 
     at, end = 0, len(page)
@@ -98,8 +109,6 @@ def blocks(page: str) -> list[Block]:
             continue
         closing = bool(m[1])
         if name in RAW and not closing:
-            if m[3].endswith("/") and name == "svg":
-                continue
             close = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)", re.I).search(page, at)
             at = close.start() if close else end
             continue
@@ -111,8 +120,15 @@ def blocks(page: str) -> list[Block]:
             elif name == "hr":
                 flush()
             continue
+        if name in BLOCK_TAGS and not closing:
+            for i, (t, _, closed) in enumerate(stack):
+                if t in FLAT and not closed:
+                    del stack[i:]
+                    break
         if name not in INLINE:
             flush()
+        if m[3].endswith("/") and any(t == "svg" for t in (name, *(s[0] for s in stack))):
+            continue
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
@@ -129,11 +145,17 @@ def blocks(page: str) -> list[Block]:
         own = [name]
         for a in _NAMED.finditer(m[3]):
             own += [f".{w.lower()}" for w in re.split(r"[\s_-]+", a[1] or a[2] or a[3] or "") if w]
-        stack.append((name, tuple(own)))
+        stack.append((name, tuple(own), name in FLAT and _is_closed(page, name, at)))
     flush()
     return out
 
 
+def _is_closed(page: str, name: str, at: int) -> bool:
+    """Whether an element that begins before `at` has an end tag before the next one of its name begins."""
+    found = re.compile(f"<(/?){name}(?=[\\s/>]|\\Z)", re.I).search(page, at)
+    return found is not None and bool(found[1])
+
+
 def mark(path: tuple[str, ...]) -> int | None:
     """What the markup says of a block: 1 main text, 0 not, None nothing."""
     names = {e if e in _TAGS else e[1:] if e[0] == "." else "" for e in path}
@@ -195,6 +217,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Labeller:
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
+        self.knows = True
 
         def normal(*shape, scale):
             return (rng.standard_normal(shape) * scale).astype(np.float32)
@@ -312,6 +335,7 @@ def train(pages: list[str]) -> Labeller:
     rng, net = np.random.default_rng(9), Labeller()
     read_pages = [b for b in map(blocks, pages) if 0 < len(b) <= TRAIN_BLOCKS]
     read_pages = [b for b in read_pages if any(mark(x.path) == 1 for x in b)]
+    net.knows = bool(read_pages)
     adam = Adam(net.p, RATE)
     for _ in range(EPOCHS):
         order = rng.permutation(len(read_pages))
@@ -328,6 +352,8 @@ def main_text(net: Labeller, pages: list[str]) -> list[str]:
     found = [blocks(p) for p in pages]
     arrays = Pages(found)
     keep = (net.forward(net.inputs(arrays), arrays.first) >= 0).tolist() if arrays.first[-1] else []
+    if not net.knows:
+        keep = [mark(b.path) != 0 for page in found for b in page]
     return [
         "\n\n".join(b.text for b, k in zip(page, keep[a:e]) if k)
         for page, a, e in zip(found, arrays.first[:-1].tolist(), arrays.first[1:].tolist())

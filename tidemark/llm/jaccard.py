@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import (
-    BYTE_CODES, broadcast_if_small, components, mixed, park, prefix_sums, read, slices, stretch_hashes, texts_of, word_bounds,
+    BYTE_CODES, broadcast_if_small, by_row, components, mixed, own_ids, park, prefix_sums, read, slices, stretch_hashes, texts_of, word_bounds,
 )
 from tidemark.session import pin
 
@@ -504,8 +504,20 @@ _PART_BYTES = 32 << 20
 def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
-    `percent` is 80 at least: candidates() counts on that for pairs of unequal size.
+    `percent` is 80 at least: candidates() counts on that for pairs of unequal size. If ids are null or come twice, rows
+    are linked by number; a component has the smallest id of its rows then, null if none of them has one.
     """
+    rows, own = by_row(docs.select("doc_id", "text"))
+    found = _link(rows, shingle, percent)
+    if own is None:
+        return found
+    named = found.join(rows.select("doc_id", own), "doc_id")
+    least = named.groupBy("component_id").agg(F.min(own).alias("_least"))
+    return named.join(least, "component_id").select(F.col(own).alias("doc_id"), "n_shingles", F.col("_least").alias("component_id"))
+
+
+def _link(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """link() of rows whose doc_id tells them apart."""
     if percent < STAGE_PERCENT:
         raise ValueError(f"percent {percent} is below {STAGE_PERCENT}")
     docs = texts_of(docs)
@@ -538,9 +550,13 @@ def query(spark, folder: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group: the one of smallest doc_id. Five words and 80 %, as in decontamination."""
-    found = pin(link(docs, STAGE_SHINGLE, STAGE_PERCENT).filter("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(broadcast_if_small(found), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group: the one of smallest doc_id (of the first row, if ids are null or come twice).
+
+    Five words and 80 %, as in decontamination.
+    """
+    rows, own = by_row(docs)
+    found = pin(_link(rows, STAGE_SHINGLE, STAGE_PERCENT).filter("component_id <> doc_id").select("doc_id").distinct())
+    return own_ids(rows.join(broadcast_if_small(found), "doc_id", "left_anti"), own, docs.columns)
 
 
 SQL = f"""

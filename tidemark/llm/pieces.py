@@ -37,10 +37,12 @@ from tidemark.session import pin
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, BLOCK = 32_768, 128
 CACHED_UNITS, BATCH_CODES = 300_000, 200_000
-MARK, OWN_MARK = "▁", "\U0010ffff"  # the mark, and what stands for it where a text itself has it
+# The mark stands for a space. Marked texts have no spaces, so a space stands for a mark that the text itself has.
+MARK, OWN_MARK = "▁", " "
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _BOUND = re.compile(f"[^{MARK}](?={MARK})")
 _NEVER = -1e8
+_SWAP = {ord(MARK): OWN_MARK, ord(" "): MARK}
 _LOW = -1e300
 _SLOT = np.uint64(64 - 21)
 
@@ -129,7 +131,9 @@ def code_values(codes: np.ndarray) -> np.ndarray:
 
 
 def marked(text: str) -> str:
-    return MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK) if text else ""
+    if not text:
+        return ""
+    return MARK + (text.translate(_SWAP) if MARK in text else text.replace(" ", MARK))
 
 
 def solve_units(pieces: Pieces, units: list[str]) -> tuple[list[list[int]], list[float]]:

@@ -277,17 +277,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], prior)
 
 
-def score(docs: DataFrame, net: Network | None) -> DataFrame:
-    """All columns of docs, and _score."""
+def score(docs: DataFrame, net: Network | None, into: str = "_score") -> DataFrame:
+    """All columns of docs, and the score."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of weights, under 1 MB
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             parts = [scores(shared.value, d, o) for _, _, d, o in slices(batch.column("text"))]
             found = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, into])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, DoubleType())]))
 
 
 def query(spark, folder: str) -> DataFrame:
@@ -301,4 +301,7 @@ def query(spark, folder: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that are not toxic."""
-    return score(docs, fit(docs, read(spark, folder, "labels"))).filter("_score < 0.5").drop("_score")
+    into = "_score"
+    while into in docs.columns:
+        into = "_" + into
+    return score(docs, fit(docs, read(spark, folder, "labels")), into).filter(F.col(into) < 0.5).drop(into)
