@@ -1,8 +1,11 @@
+import datetime as dt
 import json
+import math
 
 import pytest
 
 from tidemark.dashboard import Dashboard
+from tidemark.operators import accounts, trees
 from tidemark.sources import bridge, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +81,31 @@ def test_context_document(board):
     ranked = list(found["revenue"]["by_channel"].values())
     assert ranked == sorted(ranked, reverse=True) and len(ranked) == 5
     assert sum(ranked) == pytest.approx(found["revenue"]["online_total"], abs=5)
+
+
+def test_accounts_are_scored_from_a_saved_model(board, spark, tmp_path):
+    """Every account is scored, nothing is fitted, and the lists follow the scores."""
+    deals, monthly, as_of = bridge.account_books(spark, SF)
+    sinks.write_tables(board.folder, account_summary=accounts.account_summary(monthly, deals, as_of))
+    nodes = [(0, 0, 0, 12.0, 1, 2, 0.0, 1.0), (0, 1, -1, None, -1, -1, 0.4, 1.0), (0, 2, -1, None, -1, -1, -0.6, 1.0)]
+    trees.TreeModel(trees.feature_table(spark, [("months_since_close", None)]), spark.createDataFrame(nodes, trees.NODES)).save(str(tmp_path))
+    found = board.accounts(trees.load_model(spark, str(tmp_path)), n=3)
+    rows = found.scored.collect()
+    assert len(rows) == deals.count()
+    for r in rows:
+        want = 1.0 if r["is_churned"] else 1 / (1 + math.exp(-2 * (0.4 if r["months_since_close"] <= 12 else -0.6)))
+        assert r["churn_probability"] == pytest.approx(want, abs=1e-4)
+    assert found.portfolio.first()["total_accounts"] == len(rows)
+    top = [r["churn_probability"] for r in found.churn_risk.collect()]
+    assert top == sorted((r["churn_probability"] for r in rows if not r["is_churned"]), reverse=True)[:3]
+    assert found.growth.count() == 3
+
+
+def test_watch(board):
+    found = board.watch(dt.datetime(2030, 1, 1))
+    rows = found.alerts.filter("type = 'pipeline_monitor'").collect()
+    assert {(r["table"], r["check"]) for r in rows} == {
+        (t, c) for t in ("online_sales", "offline_sales", "media_spend", "crm_funnel") for c in ("freshness", "row_count", "schema_drift")
+    }
+    assert all(r["severity"] == "critical" for r in rows if r["check"] == "freshness")
+    assert found.counts.first()["critical"] >= 4 and 0 < found.top.count() <= 5

@@ -1,18 +1,22 @@
 """The dashboard questions, asked of a folder of business tables.
 
-Each method loads, filters and computes lazily and gives the answer with its warnings: a table
-of texts that is empty when there is nothing to warn about.
+Each method loads, filters and computes and gives the answer with its warnings: a table of texts that is
+empty when there is nothing to warn about. Questions that fit a model, or that read a table more than
+once, run jobs when they are asked; the others when the answer is read.
 """
 
+import datetime as dt
+
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import constants as C
-from tidemark.operators import context, filters, forecast, funnel, kpis, mix
+from tidemark.operators import accounts, alerts, anomaly, checks, context, filters, forecast, funnel, kpis, mix
 from tidemark.operators.buckets import period_totals
 from tidemark.operators.filters import FilterParams, apply_filters, reliability_warning
+from tidemark.operators.trees import TreeModel
 from tidemark.session import pin
 from tidemark.sources import tables
 
@@ -28,6 +32,34 @@ def _texts(*frames: DataFrame) -> DataFrame:
     return texts.filter(F.col("warning").isNotNull())
 
 
+@dataclass(frozen=True)
+class AccountsAnswer:
+    """Scored accounts, the portfolio's figures, and the accounts to look at first."""
+
+    scored: DataFrame
+    portfolio: DataFrame
+    churn_risk: DataFrame
+    growth: DataFrame
+
+
+@dataclass(frozen=True)
+class WatchAnswer:
+    """All checks and anomalies in one table, their counts, and the lines of a message."""
+
+    alerts: DataFrame
+    counts: DataFrame
+    top: DataFrame
+
+
+# Date column and checked columns of each table; the money columns are searched for anomalies.
+_WATCHED = {
+    "online_sales": ("date", ("date", "channel", "category", "revenue", "orders"), ("revenue", "orders")),
+    "offline_sales": ("week_start", ("week_start", "region", "total_revenue"), ("total_revenue",)),
+    "media_spend": ("week_start", ("week_start", "channel", "spend"), ("spend",)),
+    "crm_funnel": ("lead_date", ("contact_id", "lead_date", "outcome"), ()),
+}
+
+
 @dataclass(frozen=True)
 class Dashboard:
     spark: SparkSession
@@ -104,3 +136,26 @@ class Dashboard:
             self._online(period), self._offline(period), self._media(period), self._crm(period), start, end
         )
         return context.build_context(metrics)
+
+    def accounts(self, model: TreeModel | None = None, path: str | None = None, cutoff: dt.date = C.CHURN_TRAIN_BEFORE, n: int = 10) -> AccountsAnswer:
+        """Churn, growth and actions of the accounts; with a saved `model` nothing is fitted."""
+        summary = tables.read_account_summary(self.spark, self.folder, path)
+        scored = pin(accounts.score_accounts(summary, cutoff, model=model))
+        return AccountsAnswer(scored, accounts.portfolio_kpis(scored), accounts.top_churn_risk(scored, n), accounts.top_growth(scored, n))
+
+    def watch(self, now: dt.datetime, names=tuple(_WATCHED)) -> WatchAnswer:
+        """Freshness, volume and schema of the tables, and anomalies of their daily or weekly sums."""
+        loads = {
+            "online_sales": tables.load_online_sales, "offline_sales": tables.load_offline_sales,
+            "media_spend": tables.load_media_spend, "crm_funnel": tables.load_crm_funnel,
+        }
+        found = {name: loads[name](self.spark, self.folder) for name in names}
+        checked = checks.run_all_checks({n: (df, _WATCHED[n][0], list(_WATCHED[n][1])) for n, df in found.items()}, now)
+        odd = [
+            anomaly.detect_anomalies(period_totals(df, _WATCHED[n][0], _WATCHED[n][2]), _WATCHED[n][0], list(_WATCHED[n][2]), n)
+            for n, df in found.items() if _WATCHED[n][2]
+        ]
+        if not odd:
+            raise ValueError("name at least one table with a money column")
+        both = pin(alerts.combine_alerts(checked, reduce(DataFrame.unionByName, odd), now))
+        return WatchAnswer(both, alerts.alert_counts(both), alerts.top_alerts(both))
