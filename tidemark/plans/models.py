@@ -357,6 +357,30 @@ def _(spark, folder):
     return _seasonal(spark, folder).forecast.select("channel", "date", ordered.alias("ordered"))
 
 
+@query(
+    "forecast_seasonal_balanced",
+    over(
+        "online_sales",
+        """SELECT channel, split, count(*) AS days, CASE WHEN split = 'train' THEN true END AS balanced FROM (
+             SELECT channel, date, CASE WHEN date <= lo + CAST(floor((hi - lo) * 0.7::DOUBLE) AS INT) THEN 'train'
+                    WHEN date <= lo + CAST(floor((hi - lo) * 0.85::DOUBLE) AS INT) THEN 'validation' ELSE 'test' END AS split
+             FROM (SELECT DISTINCT channel, date, min(date) OVER (PARTITION BY channel) AS lo, max(date) OVER (PARTITION BY channel) AS hi FROM online_sales)
+             UNION ALL SELECT channel, NULL, 'future' FROM (SELECT DISTINCT channel FROM online_sales), unnest(range(90)))
+           GROUP BY 1, 2""",
+    ),
+)
+def _(spark, folder):
+    """What holds at the optimum of the seasonal fit: its intercept is free, so the train residuals add up to nothing."""
+    marked = buckets.chrono_split(
+        pin(_daily(spark, folder).select("channel", "date", F.col("revenue").cast("double").alias("actual"))), "date", keys=["channel"]
+    ).drop("train_end", "validation_end")
+    found = forecast.forecast_seasonal(marked, 90, ["channel"])
+    level = F.abs(F.avg(F.col("actual") - F.col("yhat"))) <= 1e-6 * F.avg(F.abs("actual"))
+    return found.groupBy("channel", "split").agg(
+        F.count("*").alias("days"), F.when(F.first("split") == "train", level).alias("balanced")
+    )
+
+
 @query("forecast_weekly_single")
 def _(spark, folder):
     """One weekly series, with weekly steps past its end."""

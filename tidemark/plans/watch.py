@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tidemark import constants as C
 from tidemark.functions.scalars import round_to
 from tidemark.operators import alerts, anomaly, checks
 from tidemark.plans.registry import query
@@ -11,6 +12,13 @@ from tidemark.plans.views import over
 from tidemark.sources import bridge
 
 _KEY = ["metric"]
+
+
+def _text(words: str) -> str:
+    """A message text as an SQL string."""
+    return "'" + words.replace("'", "''") + "'"
+
+
 NOW = dt.datetime(2024, 2, 4, 12, 0)
 
 
@@ -39,7 +47,7 @@ def _z_parts(source):
 
 _Z_BODY = _alert_sql(
     "c", "x", "m - 3 * s", "m + 3 * s", "CASE WHEN z > 4.5 THEN 'critical' ELSE 'warning' END",
-    "printf('Value is %.1f standard deviations from the mean. Check for data pipeline issues, promotions, or external events.', z)",
+    f"printf({_text(C.Z_HINT % '%.1f')}, z)",
     "zscore", "zs", "z > 3",
 )
 
@@ -54,7 +62,7 @@ def _shift_parts(source):
 
 _SHIFT_BODY = _alert_sql(
     "c", "p", "0.0::DOUBLE", "0.4::DOUBLE", "'warning'",
-    "printf('Rolling mean shifted by %.1f%% in ''%s''. Possible structural break, promotion, or data gap.', p * 100, c)",
+    f"printf({_text(C.SHIFT_HINT.replace('%s', '%.1f', 1))}, p * 100, c)",
     "level_shift", "moved", "p > 0.4",
 )
 
@@ -76,7 +84,7 @@ def _(spark, folder):
     over(
         "metric_series",
         _alert_sql("c", "x", "q1 - 1.5 * (q3 - q1)", "q3 + 1.5 * (q3 - q1)", "'warning'",
-                   "'Value lies outside the interquartile fences of ''' || c || '''.'", "iqr", "q",
+                   f"printf({_text(C.IQR_HINT)}, c)", "iqr", "q",
                    "x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)"),
         long=_LONG,
         q="SELECT * FROM long JOIN (SELECT metric, c, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM long GROUP BY 1, 2) USING (metric, c) WHERE x IS NOT NULL",
@@ -101,7 +109,7 @@ def _(spark, folder):
 def _null_sql(rates, key):
     return _alert_sql(
         "c", "rate", "0.0::DOUBLE", "0.1::DOUBLE", "CASE WHEN rate > 0.3 THEN 'critical' ELSE 'warning' END",
-        "printf('%.1f%% of values are null in ''%s''. Possible ingestion failure or upstream schema change.', rate * 100, c)",
+        f"printf({_text(C.NULL_HINT)}, rate * 100, c)",
         "null_spike", rates, "rate > 0.1", "'overall'", key,
     )
 
@@ -150,11 +158,11 @@ _EVENTS = "SELECT *, CAST(ts AS DATE) AS date FROM events"
 def fresh_sql(name, source, day, now="TIMESTAMP '2024-02-04 12:00:00'"):
     return f"""SELECT '{name}' AS table_name, 'freshness' AS check,
         CASE WHEN n = 0 OR age >= 7 THEN 'critical' WHEN age >= 3 THEN 'warning' ELSE 'ok' END AS status,
-        CASE WHEN n = 0 THEN 'Table is empty.' ELSE 'Latest record: ' || strftime(latest, '%Y-%m-%d') || '  (' || age || ' days ago)' END AS detail,
+        CASE WHEN n = 0 THEN {_text(C.EMPTY_DETAIL)} ELSE printf({_text(C.FRESH_DETAIL)}, strftime(latest, '%Y-%m-%d'), age) END AS detail,
         CAST(age AS DOUBLE) AS metric_value, CASE WHEN n > 0 THEN 3.0::DOUBLE END AS threshold,
-        CASE WHEN n = 0 THEN 'Ingestion may have never run or failed on first load.'
-             WHEN age >= 7 THEN 'No new data for ' || age || ' days. Check pipeline run logs and upstream data sources.'
-             WHEN age >= 3 THEN 'Data is ' || age || ' days old. Expected refresh cadence may have been missed.' END AS root_cause_hint
+        CASE WHEN n = 0 THEN {_text(C.EMPTY_HINT)}
+             WHEN age >= 7 THEN printf({_text(C.STALE_HINT)}, age)
+             WHEN age >= 3 THEN printf({_text(C.LATE_HINT)}, age) END AS root_cause_hint
         FROM (SELECT n, latest, CAST(floor((epoch({now}) - epoch(latest)) / 86400) AS BIGINT) AS age
               FROM (SELECT count(*) AS n, max({day}) AS latest FROM ({source})))"""
 
@@ -162,11 +170,11 @@ def fresh_sql(name, source, day, now="TIMESTAMP '2024-02-04 12:00:00'"):
 def count_sql(name, source, day):
     return f"""SELECT '{name}' AS table_name, 'row_count' AS check,
         CASE WHEN total < 8 THEN 'warning' WHEN periods < 5 THEN 'ok' WHEN p >= 0.6 THEN 'critical' WHEN p >= 0.4 THEN 'warning' ELSE 'ok' END AS status,
-        CASE WHEN total < 8 THEN 'Insufficient data for row count comparison.' WHEN periods < 5 THEN 'Not enough periods to compare.'
-             ELSE printf('Recent: %.0f rows  |  Historical avg: %.0f rows', recent, before) END AS detail,
+        CASE WHEN total < 8 THEN {_text(C.TOO_FEW_ROWS_DETAIL)} WHEN periods < 5 THEN {_text(C.TOO_FEW_PERIODS_DETAIL)}
+             ELSE printf({_text(C.ROWS_DETAIL)}, recent, before) END AS detail,
         CASE WHEN total >= 8 AND periods >= 5 THEN round_even(p, 4) END AS metric_value,
         CASE WHEN total >= 8 AND periods >= 5 THEN 0.4::DOUBLE END AS threshold,
-        CASE WHEN total >= 8 AND periods >= 5 AND p >= 0.4 THEN printf('Row count dropped %.0f%% vs recent average (%.0f vs %.0f). Possible partial ingestion, upstream truncation, or filter change.', p * 100, recent, before) END AS root_cause_hint
+        CASE WHEN total >= 8 AND periods >= 5 AND p >= 0.4 THEN printf({_text(C.ROWS_HINT)}, p * 100, recent, before) END AS root_cause_hint
         FROM (SELECT *, (before - recent) / greatest(before, 1) AS p FROM (
               SELECT coalesce(sum(n), 0) AS total, count(*) AS periods, CAST(max(n) FILTER (WHERE back = 1) AS DOUBLE) AS recent,
                      avg(n) FILTER (WHERE back BETWEEN 2 AND 5) AS before
@@ -191,9 +199,8 @@ def _(spark, folder):
 
 def _schema_sql(name, missing):
     if not missing:
-        return f"SELECT '{name}' AS table_name, 'schema_drift' AS check, 'ok' AS status, 'All expected columns present.' AS detail, NULL::DOUBLE AS metric_value, NULL::DOUBLE AS threshold, NULL::VARCHAR AS root_cause_hint"
-    hint = "Schema change detected. Upstream source may have renamed or removed columns. Update ingestion mapping before proceeding."
-    return f"SELECT '{name}' AS table_name, 'schema_drift' AS check, 'critical' AS status, 'Missing columns: [''{missing}'']' AS detail, NULL::DOUBLE AS metric_value, NULL::DOUBLE AS threshold, '{hint}' AS root_cause_hint"
+        return f"SELECT '{name}' AS table_name, 'schema_drift' AS check, 'ok' AS status, {_text(C.SCHEMA_OK_DETAIL)} AS detail, NULL::DOUBLE AS metric_value, NULL::DOUBLE AS threshold, NULL::VARCHAR AS root_cause_hint"
+    return f"SELECT '{name}' AS table_name, 'schema_drift' AS check, 'critical' AS status, {_text(C.MISSING_DETAIL % [missing])} AS detail, NULL::DOUBLE AS metric_value, NULL::DOUBLE AS threshold, {_text(C.SCHEMA_HINT)} AS root_cause_hint"
 
 
 _CHECKS = " UNION ALL ".join(
