@@ -136,9 +136,9 @@ def marked(text: str) -> str:
     return MARK + (text.translate(_SWAP) if MARK in text else text.replace(" ", MARK))
 
 
-def solve_units(pieces: Pieces, units: list[str]) -> tuple[list[list[int]], list[float]]:
-    """The best path of each unit, and its score; all of them advance by one character at a step."""
-    out: list[list[int]] = [[] for _ in units]
+def solve_units(pieces: Pieces, units: list[str]) -> tuple[list[bytes], list[float]]:
+    """The best path of each unit as packed ids, and its score; all of them advance by one character at a step."""
+    out = [b""] * len(units)
     totals = [0.0] * len(units)
     order = sorted(range(len(units)), key=lambda i: -len(units[i]))
     at = 0
@@ -182,13 +182,13 @@ def solve_units(pieces: Pieces, units: list[str]) -> tuple[list[list[int]], list
         flat, length, unit = flat[order_flat], length[order_flat], unit[order_flat]
         found = ids[length - 1, flat]
         ends = np.cumsum(np.bincount(unit, minlength=len(part))).tolist()
-        plain, a = found.tolist(), 0
+        packed, a = found.astype("<i4").tobytes(), 0
         for u, e in enumerate(ends):
-            out[part[u]] = plain[a:e]
+            out[part[u]] = packed[4 * a : 4 * e]
             a = e
         for u in np.unique(unit[found < 0]).tolist():
             a = ends[u - 1] if u else 0
-            out[part[u]] = pieces.written(found[a : ends[u]], text, flat[a : ends[u]])
+            out[part[u]] = np.array(pieces.written(found[a : ends[u]], text, flat[a : ends[u]]), "<i4").tobytes()
     return out, totals
 
 
@@ -208,12 +208,15 @@ class Encoder:
         known.update(zip(new, solve_units(self.pieces, new)[self.scores]))
         return known
 
-    def encode_marked(self, texts: list[str]) -> list[list[int]]:
+    def encode_marked(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text. Units keep theirs packed, so a text costs one step per unit and none per piece."""
         rows = [_UNIT.findall(t) for t in texts]
         known = self.units(rows)
-        return [[i for u in row for i in known[u]] for row in rows]
+        packed = [b"".join(map(known.__getitem__, row)) for row in rows]
+        ends = np.cumsum([0, *map(len, packed)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> pa.ListArray:
         return self.encode_marked([marked(t) for t in texts])
 
 
@@ -292,9 +295,6 @@ def boundary_states(matrices: list[np.ndarray]) -> list[int]:
     return states[::-1]
 
 
-_IDS = pa.list_(pa.int32())
-
-
 def _encode_short(shared):
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
@@ -302,9 +302,10 @@ def _encode_short(shared):
             for at, end, _, _ in slices(batch.column(1), 2 << 20):
                 texts = batch.column(1).slice(at, end - at).to_pylist()
                 found = encoder.encode(texts)
-                same = [shared.value.decode(f) == t if f else not t for f, t in zip(found, texts)]
+                ids, ends = found.values.to_numpy().tolist(), found.offsets.to_numpy().tolist()
+                same = [shared.value.decode(ids[a:b]) == t if a < b else not t for a, b, t in zip(ends, ends[1:], texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, end - at), pa.array(found, _IDS), pa.array(same)],
+                    [batch.column(0).slice(at, end - at), found, pa.array(same)],
                     names=["doc_id", "ids", "round_trip"],
                 )
 
@@ -363,7 +364,7 @@ def _traced(shared):
             rows = zip(*(batch.column(c).to_pylist() for c in ("part", "size", "enter", "leave")))
             found = encoder.encode_marked([part[enter : size + leave] for part, size, enter, leave in rows])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), batch.column("chunk"), pa.array(found, _IDS)],
+                [batch.column("doc_id"), batch.column("row"), batch.column("chunk"), found],
                 names=["doc_id", "row", "chunk", "ids"],
             )
 
