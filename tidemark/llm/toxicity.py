@@ -15,6 +15,7 @@ repeated results; null labels are not used; without a labelled row of each kind
 EMPTY_SCORE. Further columns are ignored.
 """
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -266,15 +267,23 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     known = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IN (0, 1)").dropDuplicates(["doc_id"])
     known = pin(known.filter(~held_out(F.col("doc_id"))))
-    rows = []
+    parts = []
     for mark in (0, 1):
         # SAMPLE rows at most, so the broadcast is bounded; twice as many ids, as some texts are too long.
         ids = known.filter(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE)
         own = texts_of(docs).join(F.broadcast(ids), "doc_id").filter((F.length("text") > 0) & (F.length("text") <= TRAIN_CHARS))
-        rows += own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id", "text", "toxic").collect()
+        parts.append(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows], prior)
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((t, h, i, x) for b in arrow for h, i, x, t in zip(*(c.to_pylist() for c in b.columns)))
+        net = train([x for *_, x in rows], [int(t) for t, *_ in rows], prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    # The sample is bounded, so one task takes it; the driver gets the weights only.
+    found = parts[0].union(parts[1]).repartition(1).mapInArrow(run, "net binary").collect()
+    return pickle.loads(found[0]["net"]) if found else None
 
 
 def score(docs: DataFrame, net: Network | None, into: str = "_score") -> DataFrame:
