@@ -44,3 +44,18 @@ def test_saved_trees_score_like_a_plain_walk(spark, tmp_path):
     assert "Python" not in plan and "Arrow" not in plan
     chance = spark.range(1).select(trees.probability(F.lit(0.3))).first()[0]
     assert chance == pytest.approx(1 / (1 + math.exp(-0.6)))
+
+
+def test_trees_are_constants_of_the_expression(spark):
+    """A row must not carry the trees, nor build its feature list again at every node."""
+    features = trees.feature_table(spark, [("a", None), ("kind", "it's")])
+    nodes = [(0, 0, 0, 0.5, 1, 2, 0.0, 1.0), (0, 1, 1, 0.5, 3, 4, 7.0, 1.0), (0, 2, -1, None, -1, -1, 1e-05, 1.0),
+             (0, 3, -1, None, -1, -1, 3.0, 1.0), (0, 4, -1, None, -1, -1, -4.0, 1.0)]
+    model = trees.TreeModel(features, spark.createDataFrame(nodes, trees.NODES))
+    df = spark.createDataFrame([(None, "it's"), (0.0, None), (2.0, "it's"), (float("nan"), "x")], "a double, kind string")
+    scored = trees.score(df, model, 2)
+    assert [r["margin"] for r in scored.collect()] == [-4.0, 3.0, 1e-05, 1e-05]
+    assert [r["margin"] for r in trees.score(df, model, 1).collect()] == [7.0, 7.0, 1e-05, 1e-05]
+    assert trees.score(df, trees.TreeModel(features, model.nodes.limit(0)), 2).agg(F.sum("margin")).first()[0] == 0.0
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Subquery" not in plan and "scalar" not in plan and "nodes[" not in plan

@@ -5,6 +5,7 @@ per node: tree, node, feature (-1 for a leaf), threshold, below and above (the n
 Both are as small as the parameters say: rounds times nodes of a tree, whatever the data.
 """
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -58,43 +59,51 @@ def fitted_nodes(spark: SparkSession, model) -> DataFrame:
     )
 
 
-def feature_array(features: DataFrame) -> Column:
-    """The feature list of a row; nulls count as 0, an unknown category sets no indicator."""
-    def one(r) -> Column:
-        column = F.col(f"`{r['column']}`")
-        return F.coalesce((column.cast("double") if r["category"] is None else (column == r["category"]).cast("double")), F.lit(0.0))
+def feature_values(features: DataFrame) -> dict[int, str]:
+    """The SQL expression of each place of the feature list; nulls count as 0, an unknown category sets no indicator."""
+    def one(r) -> str:
+        column = "`" + r["column"].replace("`", "``") + "`"
+        if r["category"] is None:
+            return f"coalesce(CAST({column} AS DOUBLE), 0D)"
+        category = r["category"].replace("\\", "\\\\").replace("'", "\\'")
+        return f"coalesce(CAST({column} = '{category}' AS DOUBLE), 0D)"
 
-    return F.array(*[one(r) for r in features.orderBy("position").collect()])
+    return {r["position"]: one(r) for r in features.collect()}
 
 
-def _tree_list(nodes: DataFrame) -> Column:
-    """All trees as one value of a scalar subquery, each an array of nodes."""
-    node = F.struct("node", "feature", "threshold", "below", "above", "value")
-    by_tree = nodes.groupBy("tree").agg(F.array_sort(F.collect_list(node)).alias("nodes"), F.max("weight").alias("weight"))
-    return by_tree.agg(F.array_sort(F.collect_list(F.struct("tree", "nodes", "weight"))).alias("trees")).select("trees").scalar()
+def _number(x: float | None) -> str:
+    if x is None:
+        return "CAST(NULL AS DOUBLE)"
+    return f"{x!r}D" if math.isfinite(x) else f"CAST('{x}' AS DOUBLE)"
 
 
-def margin(trees: Column, values: Column, depth: int) -> Column:
-    """Weighted sum of the leaves that a feature list falls into; a walk takes `depth` steps down."""
+def _leaf(nodes: dict, at: int, values: dict[int, str], steps: int) -> str:
+    """The value of the leaf that a row falls into, as nested conditions; after `steps` steps down the walk ends."""
+    here = nodes[at]
+    if here["feature"] < 0 or not steps:
+        return _number(here["value"])
+    below, above = (_leaf(nodes, here[side], values, steps - 1) for side in ("below", "above"))
+    return f"CASE WHEN {values[here['feature']]} <= {_number(here['threshold'])} THEN {below} ELSE {above} END"
 
-    def step(tree: Column):
-        def go(at: Column, _: Column) -> Column:
-            here = F.get(tree["nodes"], at)
-            on = F.when(F.get(values, here["feature"]) <= here["threshold"], here["below"]).otherwise(here["above"])
-            return F.when(here["feature"] < 0, at).otherwise(on)
 
-        return go
+def margin(model: TreeModel, depth: int) -> Column:
+    """Weighted sum of the leaves that a row falls into; a walk takes `depth` steps down.
 
-    def leaf(tree: Column) -> Column:
-        return F.get(tree["nodes"], F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step(tree)))["value"]
-
-    return F.aggregate(trees, F.lit(0.0), lambda total, tree: total + tree["weight"] * leaf(tree))
+    The trees are constants of the expression: a row costs `depth` comparisons a tree. They are added in their order.
+    """
+    values, trees = feature_values(model.features), {}
+    for r in model.nodes.collect():
+        trees.setdefault(r["tree"], {})[r["node"]] = r
+    parts = []
+    for _, nodes in sorted(trees.items()):
+        weight = max(r["weight"] for r in nodes.values())
+        parts.append(F.expr(f"{_number(weight)} * {_leaf(nodes, min(nodes), values, depth)}"))
+    return F.aggregate(F.array(*parts), F.lit(0.0), lambda total, part: total + part) if parts else F.lit(0.0)
 
 
 def score(rows: DataFrame, model: TreeModel, depth: int, into: str = "margin") -> DataFrame:
     """Add the margin of each row."""
-    listed = rows.withColumns({"_features": feature_array(model.features), "_trees": _tree_list(model.nodes)})
-    return listed.withColumn(into, margin(F.col("_trees"), F.col("_features"), depth)).drop("_features", "_trees")
+    return rows.withColumn(into, margin(model, depth))
 
 
 def probability(margin_: Column) -> Column:
