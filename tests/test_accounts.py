@@ -133,3 +133,51 @@ def test_funnel_of_nothing_won_has_zero_means(spark):
 def test_best_and_worst_with_ties(spark):
     df = spark.createDataFrame([("c", 5.0), ("a", 5.0), ("b", 1.0), ("d", 1.0)], "name string, score double")
     assert tuple(funnel.best_and_worst(df, "name", "score").first()) == ("a", "d")
+
+
+def test_training_table_fills_the_cores_and_whole_waves(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    cores = spark.sparkContext.defaultParallelism
+    vectors = spark.range(0, 4000, 1, 2).select(array_to_vector(F.array(F.col("id") * 1.0, F.lit(1.0))).alias("features"))
+    assert accounts.packed(vectors).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(accounts, "_TRAIN_LEAST", 64)
+    wide = accounts.packed(vectors)
+    assert wide.rdd.getNumPartitions() == cores and wide.count() == 4000
+    monkeypatch.setattr(accounts, "_TRAIN_BYTES", 64000 // cores - 1)
+    assert accounts.packed(vectors).rdd.getNumPartitions() == 2 * cores
+
+
+def test_slope_over_months_with_gaps_and_months_spread_after_the_join(spark):
+    from tidemark.sources import bridge
+
+    monthly = spark.createDataFrame(
+        [("a", D(2023, m, 1), v) for m, v in ((1, 9.0), (2, 1.0), (7, 1.0), (9, 3.0), (10, 8.0))] + [("b", D(2023, 1, 1), 4.0), ("c", D(2023, 12, 1), 4.0)],
+        "account_id string, month date, monthly_revenue double",
+    )
+    deals = spark.createDataFrame(
+        [(k, "i", "l", "s", D(2022, 12, 5), 1.0) for k in "abc"],
+        "account_id string, industry string, lead_source string, deal_size_band string, close_date date, deal_value double",
+    )
+    found = accounts.account_summary(monthly, deals, D(2023, 12, 31))
+    assert {r["account_id"]: r["revenue_trend_slope"] for r in found.collect()} == {"a": 3.5, "b": 0.0, "c": 0.0}
+    months = spark.createDataFrame([(1, D(2023, 2, 1), 5.4), (1, None, 7.0), (2, D(2023, 2, 1), None)], "o_custkey long, month date, revenue double")
+    own = deals.limit(1).drop("account_id").crossJoin(spark.range(1, 4).select(F.col("id").cast("string").alias("account_id")))
+    spread = bridge.account_revenue(own.select(deals.columns), months, D(2023, 3, 31))
+    assert spread.columns == ["account_id", "month", "industry", "lead_source", "deal_size_band", "close_date", "months_since_close", "monthly_revenue"]
+    assert sorted((r["account_id"], r["month"].month, r["monthly_revenue"]) for r in spread.collect()) == [
+        (k, m, 5.0 if (k, m) == ("1", 2) else 0.0) for k in "123" for m in (1, 2, 3)]
+    plan = spread._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join LeftOuter") and plan.count("Join LeftOuter") == 1
+
+
+def test_scored_questions_build_the_summary_once(spark, scored, monkeypatch):
+    from tidemark.plans import books
+
+    own = spark.createDataFrame(scored).drop("churn_probability", "risk_tier", "growth_score", "growth_tier", "recommended_action")
+    calls, fit = [], accounts.churn_model
+    monkeypatch.setattr(books, "summary", lambda *a: calls.append(a) or own)
+    monkeypatch.setattr(accounts, "churn_model", lambda rows, cutoff: fit(rows, D(2023, 11, 1), 2))
+    monkeypatch.setattr(books, "_MODELS", {})
+    assert books._really_scored(spark, "own").count() == 240
+    assert len(calls) == 1

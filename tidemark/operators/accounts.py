@@ -23,8 +23,8 @@ CHURN_NUMBERS = (
     "revenue_volatility", "deal_value", "months_active",
 )
 CHURN_CATEGORIES = ("industry", "deal_size_band")
-# Bytes of features that a partition of the training table holds; every boosting round reads it.
-_TRAIN_BYTES = 32 << 20
+# Bytes of features that a partition of the training table holds at least and at most; every boosting round reads it.
+_TRAIN_LEAST, _TRAIN_BYTES = 2 << 20, 32 << 20
 
 
 def _months_back(as_of: dt.date, months: int) -> dt.date:
@@ -48,38 +48,39 @@ def attach_deal_value(accounts: DataFrame, deals: DataFrame, key: str = "account
 def account_summary(monthly: DataFrame, deals: DataFrame, as_of: dt.date) -> DataFrame:
     """One feature row per account from its monthly revenue up to `as_of`.
 
-    `monthly` has one row per account and month, so a window holds an account's months only.
-    The window, the aggregate and the join all use one partitioning by account.
+    `monthly` has one row per account and month. The slope is taken over the last half year's months by their order. It does
+    not depend on where the numbering starts, so that the window holds these months only, and no other step sorts rows. The
+    window, the aggregates and the joins use one partitioning by account. Reads `monthly` twice.
     """
     month, revenue = F.col("month"), F.col("monthly_revenue")
     last3, prev3 = F.lit(_months_back(as_of, 2)), F.lit(_months_back(as_of, 5))
     recent, before, half_year = month >= last3, (month >= prev3) & (month < last3), month >= prev3
     active = revenue > 0
-    place = F.row_number().over(Window.partitionBy("account_id").orderBy("month"))
     figures = (
-        monthly.select("account_id", "month", "monthly_revenue", place.alias("_place"))
-        .groupBy("account_id")
+        monthly.groupBy("account_id")
         .agg(
             F.count_if(active).alias("months_active"),
             F.sum(revenue).alias("total"),
             F.coalesce(F.avg(F.when(active, revenue)), F.lit(0.0)).alias("mean"),
             F.coalesce(F.avg(F.when(recent, revenue)), F.lit(0.0)).alias("last3"),
             F.coalesce(F.avg(F.when(before, revenue)), F.lit(0.0)).alias("prev3"),
-            F.coalesce(F.regr_slope(F.when(half_year, revenue), F.when(half_year, F.col("_place"))), F.lit(0.0)).alias("slope"),
             F.coalesce(F.max(F.when(active, month)), F.min(month)).alias("last_order"),
             F.coalesce(F.stddev_samp(F.when(active, revenue)), F.lit(0.0)).alias("spread"),
             ((F.count_if(recent) == 3) & (F.count_if(recent & (revenue == 0)) == 3)).cast("long").alias("is_churned"),
         )
     )
+    place = F.row_number().over(Window.partitionBy("account_id").orderBy("month"))
+    placed = monthly.filter(half_year).select("account_id", "monthly_revenue", place.alias("_place"))
+    slopes = placed.groupBy("account_id").agg(F.regr_slope("monthly_revenue", "_place").alias("slope"))
     growth = F.when(F.col("prev3") > 0, scalars.clip((F.col("last3") - F.col("prev3")) / F.col("prev3"), -0.5, 1.0)).otherwise(0.0)
     end = F.lit(as_of)
-    return figures.join(first_deals(deals), "account_id").select(
+    return figures.join(slopes, "account_id", "left").join(first_deals(deals), "account_id").select(
         "account_id", "industry", "lead_source", "deal_size_band", "close_date", "deal_value", "months_active",
         round_to("total", 2).alias("total_revenue"),
         round_to("mean", 2).alias("avg_monthly_revenue"),
         round_to("last3", 2).alias("last_3m_avg"),
         round_to("prev3", 2).alias("prev_3m_avg"),
-        round_to("slope", 4).alias("revenue_trend_slope"),
+        round_to(F.coalesce("slope", F.lit(0.0)), 4).alias("revenue_trend_slope"),
         round_to(growth, 4).alias("mom_growth_3m"),
         months_between_30(end, F.col("last_order")).alias("months_since_last_order"),
         round_to("spread", 2).alias("revenue_volatility"),
@@ -107,10 +108,15 @@ def feature_stages(numbers=CHURN_NUMBERS, categories=CHURN_CATEGORIES) -> Pipeli
 
 
 def packed(vectors: DataFrame) -> DataFrame:
-    """A training table in as few partitions as its bytes need: each of many short rounds reads it."""
+    """A training table in few partitions, as each of many short rounds reads it: one while it is small, then one for
+    each core, and whole waves of the cores beyond _TRAIN_BYTES a partition.
+    """
     vectors = pin(vectors)
     size = vectors.agg(F.coalesce(F.sum(F.size(vector_to_array("features"))), F.lit(0))).first()[0] * 8
-    return vectors.coalesce(max(1, -(-size // _TRAIN_BYTES)))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    waves = max(1, -(-size // (_TRAIN_BYTES * cores)))
+    wanted = min(max(1, -(-size // _TRAIN_LEAST)), waves * cores)
+    return vectors.coalesce(wanted) if vectors.rdd.getNumPartitions() >= wanted else vectors.repartition(wanted)
 
 
 def class_weight(accounts: DataFrame, label: str = "is_churned") -> DataFrame:

@@ -174,23 +174,25 @@ def _(spark, folder):
 _MODELS: dict[tuple[str, str], trees.TreeModel] = {}
 
 
-def _model(spark, folder) -> trees.TreeModel:
-    """The churn model of a folder, fitted once a session, saved and read back; all questions score from it."""
+def _model(spark, folder, rows) -> trees.TreeModel:
+    """The churn model of a folder's pinned accounts, fitted once a session, saved and read back; all questions score from it."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _MODELS:
         kept = scratch_folder(spark, "churn")
-        accounts.churn_model(pin(summary(spark, folder)), _CUTOFF).save(kept)
+        accounts.churn_model(rows, _CUTOFF).save(kept)
         _MODELS[key] = trees.load_model(spark, kept)
     return _MODELS[key]
 
 
 def _really_scored(spark, folder):
-    return pin(accounts.score_accounts(summary(spark, folder), model=_model(spark, folder)))
+    rows = pin(summary(spark, folder))
+    return pin(accounts.score_accounts(rows, model=_model(spark, folder, rows)))
 
 
 @query("churn_score")
 def _(spark, folder):
-    scored = accounts.score_churn(summary(spark, folder), _model(spark, folder))
+    rows = pin(summary(spark, folder))
+    scored = accounts.score_churn(rows, _model(spark, folder, rows))
     return scored.select("account_id", "is_churned", "churn_probability", "risk_tier")
 
 

@@ -259,10 +259,19 @@ def account_as_of(months: DataFrame) -> dt.date:
 
 
 def account_revenue(deals: DataFrame, months: DataFrame, as_of: dt.date) -> DataFrame:
-    """Account × month after the close in whole units of money, silent months at 0."""
-    spine = month_spine(deals.drop("deal_value"), "close_date", as_of)
-    earned = months.select(F.col("o_custkey").cast("string").alias("account_id"), "month", F.rint("revenue").alias("monthly_revenue"))
-    return spine.join(earned, ["account_id", "month"], "left").fillna(0.0, ["monthly_revenue"])
+    """Account × month after the close in whole units of money, silent months at 0.
+
+    The earned months go to their account as one map, before the months are spread: only the accounts are joined, and
+    the spread rows stay where their account is.
+    """
+    entry = F.struct("month", F.rint("revenue").alias("monthly_revenue"))
+    earned = months.filter(F.col("month").isNotNull()).groupBy(F.col("o_custkey").cast("string").alias("account_id")).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("_earned")
+    )
+    spine = month_spine(deals.drop("deal_value").join(earned, "account_id", "left"), "close_date", as_of)
+    rest = [c for c in deals.columns if c not in ("account_id", "deal_value")]
+    found = spine.select("account_id", "month", *rest, "months_since_close", F.try_element_at("_earned", F.col("month")).alias("monthly_revenue"))
+    return found.fillna(0.0, ["monthly_revenue"])
 
 
 def account_books(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, dt.date]:
